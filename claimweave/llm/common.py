@@ -37,3 +37,14 @@ def fold(doc_id: Column | str, k: int) -> Column:
     """crc32 of the id as text, modulo k; null ids fall in fold 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % k, F.lit(0)).cast("int")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int) -> DataFrame:
+    """doc_id, text and y of at most `most` labelled documents, chosen by a hash of the id: the same ones every time.
+
+    A document with several labels takes the largest, one with several rows the smallest text.
+    """
+    chosen = labels.filter(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded by `most`, so it may be broadcast
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
