@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import bpe, language, packing, quality_model, quality_rules, toxicity
+from claimweave.llm import bpe, chat, language, packing, quality_model, quality_rules, topk, toxicity
 from claimweave.llm.common import table
 
 
@@ -32,6 +32,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_digests(table(spark, sf_dir, "conversations"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.every_fiftieth(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted_languages(table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE, "op9_exact_top_k": topk.ORACLE}
