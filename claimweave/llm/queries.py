@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import bpe, chat, language, packing, quality_model, quality_rules, topk, toxicity
+from claimweave.llm import bpe, chat, language, near_dup, packing, quality_model, quality_rules, topk, toxicity
 from claimweave.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(table(spark, sf_dir, "conversations"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_minhash_near_dup": op6_minhash_near_dup,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
