@@ -48,3 +48,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded by `most`, so it may be broadcast
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+
+
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once for each row, however often later expressions use them."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_held")
+    return df.select("*", one).select(*[F.col(f"`{c}`") for c in df.columns], "_held.*")

@@ -66,25 +66,40 @@ def predict(texts: list[str | None], compressors: list, names: list[str]) -> tup
     return langs, scores
 
 
-def identified(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NARROW) -> DataFrame:
-    """doc_id, lang_pred, score and accepted for every row."""
-    content = docs.sparkSession.sparkContext.broadcast(dictionaries)
+def identifier(dictionaries: dict[str, bytes]):
+    """A column function from a text to a struct of lang_pred and score."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        names = list(content.value)
+        names = list(dictionaries)
         compressors = []
         for name in names:
-            d = zstandard.ZstdCompressionDict(content.value[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
-        for b in batches:
-            langs, scores = predict(b["text"].tolist(), compressors, names)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": langs, "score": scores})
+        for texts in batches:
+            langs, scores = predict(texts.tolist(), compressors, names)
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+
+    return run
+
+
+def _accepted(answer: Column, narrow: float) -> Column:
+    return (answer["lang_pred"] != UNDETERMINED) & (answer["score"] >= narrow)
+
+
+def identified(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NARROW) -> DataFrame:
+    """doc_id, lang_pred, score and accepted for every row."""
+    out = docs.select("doc_id", identifier(dictionaries)("text").alias("_l"))
+    return out.select("doc_id", "_l.lang_pred", "_l.score", _accepted(F.col("_l"), narrow).alias("accepted"))
+
 
-    out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
-    return out.withColumn("accepted", (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= narrow))
+def accepted_documents(docs: DataFrame, narrow: float = NARROW) -> DataFrame:
+    """The rows of docs whose language is clear, with their columns as they were; learns from all rows with a language."""
+    out = docs.select(F.struct("*").alias("_row"), identifier(learn(docs, F.lit(True)))("text").alias("_l"))
+    return out.filter(_accepted(F.col("_l"), narrow)).select("_row.*")
 
 
 def predicted_languages(docs: DataFrame) -> DataFrame:

@@ -145,9 +145,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
             keys = [xxhash.xxh3_128_digest(shingler(t).tobytes()) for t in b["text"]]
             yield b.loc[[k == bytes(w) for k, w in zip(keys, b["set_key"])], ["cid", "text"]]
 
-    # rows that the class's own text is not among need no look at the text at all
-    sizes = docs.select("doc_id", "text").filter("doc_id is not null").join(wanted, "doc_id")
-    texts = stored(sizes.select("cid", "text", "set_key").mapInPandas(own_text, "cid long, text string").dropDuplicates(["cid"]))
+    named = docs.select("doc_id", "text").filter("doc_id is not null").join(wanted, "doc_id")
+    texts = stored(named.select("cid", "text", "set_key").mapInPandas(own_text, "cid long, text string").dropDuplicates(["cid"]))
     links = stored(_confirmed(star, texts, shingle, similarity))
     found = stored(components(links))
 
@@ -177,3 +176,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
 def near_duplicate_components(docs: DataFrame, shingle: int = 2, similarity: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept: whether the document is its component's smallest."""
     return near_duplicates(docs, shingle, similarity).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
+    """docs with one document of each group, that of the smallest id; columns stay as they were.
+
+    Rows with a null id stay. Rows of one id go together, and of rows with the same id and text one stays.
+    """
+    stay = near_duplicates(docs, shingle, similarity).filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.filter("doc_id is null"))

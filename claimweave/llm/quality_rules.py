@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import SPACE
+from claimweave.llm.common import SPACE, held
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 POSITION_BITS = 22
@@ -41,12 +41,6 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << list(RULES).index(r) for r in rules)
 
 
-def _held(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are computed once for each row, however often later expressions use them."""
-    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_held")
-    return df.select("*", one).select(*[F.col(c) for c in df.columns], "_held.*")
-
-
 def _covered(positions: Column) -> Column:
     """Words in windows of three that begin at the given distinct positions, in order."""
     pairs = F.arrays_zip(positions.alias("a"), F.slice(positions, 2, F.greatest(F.size(positions), F.lit(1))).alias("b"))
@@ -71,12 +65,12 @@ def _ends(pairs: Column, place) -> Column:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the MEASURES of every whole text in place of any columns of those names."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = _held(docs.drop(*MEASURES, "_w", "_l", "_s", "_d", "_held"), _w=F.array_remove(F.split(t, SPACE), ""), _l=F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
+    df = held(docs.drop(*MEASURES, "_w", "_l", "_s", "_d"), _w=F.array_remove(F.split(t, SPACE), ""), _l=F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
     low = F.lit((1 << POSITION_BITS) - 1).cast("long")
     packed = F.transform(_zip3(F.col("_w")), lambda x, i: F.shiftleft(F.xxhash64(x["a"], x["b"], x["c"]), POSITION_BITS).bitwiseOR(i.cast("long")))
-    df = _held(df, _s=F.sort_array(packed))
+    df = held(df, _s=F.sort_array(packed))
     same = F.filter(_neighbours(F.col("_s")), lambda p: F.shiftright(p["a"].bitwiseXOR(p["b"]), POSITION_BITS) == 0)
-    df = _held(df, _d=same)
+    df = held(df, _d=same)
     word = lambda at, k: F.element_at(F.col("_w"), at.bitwiseAND(low).cast("int") + k)
     clash = F.exists(F.col("_d"), lambda p: (word(p["a"], 1) != word(p["b"], 1)) | (word(p["a"], 2) != word(p["b"], 2)) | (word(p["a"], 3) != word(p["b"], 3)))
     by_words = F.array_sort(F.transform(_zip3(F.col("_w")), lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["c"].alias("c"), i.cast("long").alias("i"))))
@@ -112,6 +106,12 @@ def judged(rows: DataFrame, policy: str = "v1") -> DataFrame:
     return rows.withColumns({"base_failed": hits(BASE), "kept": ~(hits(BASE) | hits(POLICIES[policy])), "policy": F.lit(policy)})
 
 
+def kept_documents(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """The rows of docs that the policy keeps, with their columns as they were."""
+    rows = ledger(docs.select(F.struct("*").alias("_row"), "text"))
+    return judged(rows, policy).filter("kept").select("_row.*")
+
+
 def ablation(rows: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICIES) -> DataFrame:
     """For every policy and rule in it: documents that fail the rule, that only this rule rejects, and kept without it."""
     sums, names = [F.count("*").alias("n")], []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import bpe, chat, language, near_dup, packing, quality_model, quality_rules, topk, toxicity
+from claimweave.llm import bpe, chat, language, near_dup, packing, pii, quality_model, quality_rules, topk, toxicity
 from claimweave.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(table(spark, sf_dir, "conversations"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.every_fiftieth(table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_minhash_near_dup": op6_minhash_near_dup,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_pii": op8_pii,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
 }
