@@ -5,6 +5,246 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimweave.functions import dims
+from claimweave.operators import claims as claim_ops
+from claimweave.operators import judgments, scoring, selection
+from claimweave.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judgments.deduplicated(fx.raw_judgments(spark, sf_dir))
+
+
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.dense(cells(spark, sf_dir), fx.elements(spark, sf_dir), fx.case_documents(spark, sf_dir))
+
+
+@query(fx.ctes() + "\nSELECT case_id, claim_number, doc_idx, label, judgment, directness, quote_len, seq FROM cells")
+def dedup_judgments(spark, sf_dir):
+    return cells(spark, sf_dir).select(*fx.KEY, "judgment", "directness", "quote_len", "seq")
+
+
+@query(fx.ctes() + "\nSELECT case_id, claim_number, doc_idx, label FROM dense WHERE not_evaluated")
+def completeness_gaps(spark, sf_dir):
+    return judgments.missing_cells(cells(spark, sf_dir), fx.elements(spark, sf_dir), fx.case_documents(spark, sf_dir))
+
+
+@query(fx.ctes() + "\nSELECT c.case_id, c.claim_number, d.doc_idx FROM claims c JOIN docs d USING (case_id) ANTI JOIN cells x ON x.case_id = c.case_id AND x.claim_number = c.claim_number AND x.doc_idx = d.doc_idx")
+def missing_work(spark, sf_dir):
+    return judgments.missing_work(cells(spark, sf_dir), fx.claims(spark, sf_dir), fx.case_documents(spark, sf_dir))
+
+
+@query(fx.ctes() + "\nSELECT case_id, claim_number, doc_idx, label, round(item_sim + 1e-11, 9) AS item_similarity, round(direct_sim + 1e-11, 9) AS direct_similarity, round(selection_factor + 1e-11, 9) AS selection_factor, round(metric_factor + 1e-11, 9) AS metric_factor FROM scored")
+def item_similarity(spark, sf_dir):
+    return dense(spark, sf_dir).select(*fx.KEY, dims.settled(F.col("item_sim")).alias("item_similarity"), dims.settled(F.col("direct_sim")).alias("direct_similarity"), dims.settled(F.col("selection_factor")).alias("selection_factor"), dims.settled(F.col("metric_factor")).alias("metric_factor"))
+
+
+COVERAGE = """each AS (SELECT case_id, claim_number, label, importance, max(base_sim) AS v, arg_max(doc_idx, (base_sim, -doc_idx)) AS best_doc,
+  arg_max(base_sim * metric_factor, (base_sim, -doc_idx)) AS adjusted, coalesce(max(base_sim) FILTER (doc_idx = 0), 0.0) AS p FROM scored GROUP BY ALL),
+sums AS (SELECT case_id, claim_number, sum(importance)::DOUBLE AS t, sum(importance * p) AS p, sum(importance * v) AS c, sum(importance * adjusted) AS e,
+  coalesce(sum(importance) FILTER (best_doc <> 0 AND v > p), 0) AS d, count(*) FILTER (v < 0.55) AS n_uncovered, count(*) FILTER (importance >= 4 AND v < 0.35) AS n_critical,
+  coalesce(string_agg(label, ',' ORDER BY label) FILTER (v < 0.55), '') AS uncovered_labels FROM each GROUP BY ALL),
+shares AS (SELECT *, CASE WHEN c + e > 0 THEN 2 * (c / t) * (e / t) / (c / t + e / t) ELSE 0.0 END AS r FROM sums)"""
+
+
+@query(fx.ctes(COVERAGE) + """
+SELECT case_id, claim_number, round(p / t + 1e-11, 9) AS primary_coverage, round(c / t + 1e-11, 9) AS combined_coverage, round(e / t + 1e-11, 9) AS evidence_strength, round(r + 1e-11, 9) AS reliability, round(d / t + 1e-11, 9) AS complement_dependency,
+  CASE WHEN n_critical > 0 THEN 'critical_gap' WHEN n_uncovered > 0 THEN 'incomplete_coverage' WHEN r < 0.70 THEN 'evidence_review_required' ELSE 'coverage_supported' END AS status, uncovered_labels, n_critical FROM shares""")
+def coverage_metrics(spark, sf_dir):
+    return scoring.coverage_metrics(dense(spark, sf_dir).withColumn("pos_doc", F.col("doc_idx")))
+
+
+@query(fx.ctes("""each AS (SELECT case_id, claim_number, label, importance, max(base_sim) FILTER (doc_idx <= 1) AS inherited, max(base_sim) FILTER (doc_idx <= 2) AS total FROM scored GROUP BY ALL)""") + """
+SELECT case_id, claim_number, round(sum(importance * inherited) / sum(importance) + 1e-11, 9) AS inherited_coverage, round(sum(importance * total) / sum(importance) + 1e-11, 9) AS total_coverage,
+  round(sum(importance * total) / sum(importance) - sum(importance * inherited) / sum(importance) + 1e-11, 9) AS coverage_gain FROM each JOIN claims USING (case_id, claim_number) WHERE claim_type = 'dependent' GROUP BY ALL""")
+def dependent_gain(spark, sf_dir):
+    """Coverage of dependents by documents 0 and 1, which they inherit, and with 2, which is added."""
+    dependents = fx.claims(spark, sf_dir).filter("claim_type = 'dependent'").select("case_id", "claim_number")
+    rows = dense(spark, sf_dir).join(dependents, ["case_id", "claim_number"], "left_semi")
+    return scoring.dependent_gain(rows, F.col("doc_idx") <= 1, F.col("doc_idx") <= 2)
+
+
+@query(fx.ctes() + """
+SELECT case_id, claim_number, label, doc_idx, judgment FROM (SELECT *, row_number() OVER (PARTITION BY case_id, claim_number, label ORDER BY CASE judgment WHEN 'difference' THEN 1 ELSE gap_rank END DESC, doc_idx) AS rn FROM scored) WHERE rn = 1""")
+def best_match(spark, sf_dir):
+    return scoring.best_matches(dense(spark, sf_dir), "doc_idx").select("case_id", "claim_number", "label", "doc_idx", "judgment")
+
+
+WEIGHTS = """freq AS (SELECT case_id, claim_number, label, importance::DOUBLE AS w, is_generic, is_simple, is_distinctive,
+  count(*) FILTER (has_quote AND directness <> 'absent' AND base_sim >= 0.55 AND NOT not_evaluated) AS hits, count(*) FILTER (NOT not_evaluated) AS n FROM scored GROUP BY ALL),
+ratio AS (SELECT *, CASE WHEN n > 0 THEN hits / n ELSE 1.0 END AS r FROM freq),
+weights AS (SELECT *, CASE WHEN is_generic THEN least(2.0::DOUBLE, greatest(1.0::DOUBLE, w * 0.5)) WHEN is_simple THEN least(2.0::DOUBLE, greatest(1.0::DOUBLE, w * 0.4))
+  WHEN is_distinctive AND hits > 0 AND r <= 0.5 THEN least(10.0::DOUBLE, greatest(4.0::DOUBLE, w) * 1.25) WHEN is_distinctive AND r >= 0.7 THEN greatest(4.0::DOUBLE, greatest(4.0::DOUBLE, w) * 0.85)
+  WHEN is_distinctive THEN greatest(4.0::DOUBLE, w) WHEN r >= 0.7 THEN greatest(1.0::DOUBLE, w * 0.5) ELSE w END AS weight,
+  CASE WHEN is_generic THEN 'generic_interface' WHEN is_simple THEN 'simple_component' WHEN is_distinctive AND hits > 0 AND r <= 0.5 THEN 'distinctive_rare' WHEN is_distinctive AND r >= 0.7 THEN 'distinctive_common'
+  WHEN is_distinctive THEN 'distinctive' WHEN r >= 0.7 THEN 'common' ELSE 'declared' END AS weight_reason FROM ratio)"""
+
+
+@query(fx.ctes(WEIGHTS) + "\nSELECT case_id, claim_number, label, round(r + 1e-11, 9) AS disclosure_frequency, weight, weight_reason FROM weights")
+def rarity_weights(spark, sf_dir):
+    return scoring.rarity_weights(dense(spark, sf_dir))
+
+
+PRIMARY = """g AS (SELECT s.case_id, s.claim_number, s.doc_idx, sum(w) AS w, sum(w * item_sim) AS a, sum(w * item_sim * selection_factor) AS ev, sum(w) FILTER (item_sim >= 0.85) AS strong,
+  count(*) AS n, count(*) FILTER (direct_sim >= 0.55) AS nd, count(*) FILTER (gap_rank >= 3) AS match_count, count(*) FILTER (w >= 4) AS nc,
+  sum(w) FILTER (w >= 4) AS cw, sum(w * CASE WHEN item_sim >= 0.35 THEN item_sim ELSE 0 END) FILTER (w >= 4) AS cs, sum(w * direct_sim) FILTER (w >= 4) AS cd, sum(w) FILTER (w >= 4 AND direct_sim >= 0.55) AS cb, sum(w) FILTER (w >= 4 AND item_sim < 0.35) AS cg,
+  sum(w * CASE WHEN item_sim >= 0.35 THEN item_sim ELSE 0 END) AS s_, sum(w * direct_sim) AS d_, sum(w) FILTER (direct_sim >= 0.55) AS b_, sum(w) FILTER (item_sim < 0.35) AS g_,
+  avg(direct_sim) AS fa_all, avg(direct_sim) FILTER (w < 4) AS fa_side, count(*) FILTER (w < 4 AND direct_sim >= 0.55) AS hits_side
+  FROM (SELECT *, importance::DOUBLE AS w FROM scored) s GROUP BY ALL),
+p AS (SELECT *, CASE WHEN nc > 0 THEN cd / cw ELSE d_ / w END AS distinctive_direct, CASE WHEN nc > 0 THEN cs / cw ELSE s_ / w END AS core_coverage,
+  CASE WHEN nc > 0 THEN coalesce(cb, 0) / cw ELSE coalesce(b_, 0) / w END AS core_breadth, CASE WHEN nc > 0 THEN coalesce(cg, 0) / cw ELSE coalesce(g_, 0) / w END AS core_gap_weight,
+  a / w AS element_coverage, ev / w AS evidence_coverage, coalesce(strong, 0) / w AS strong_breadth, nd / n AS direct_breadth,
+  CASE WHEN nc > 0 AND nc < n THEN CASE WHEN hits_side >= 2 THEN fa_side ELSE 0 END ELSE CASE WHEN nd >= 2 THEN fa_all ELSE 0 END END AS field_alignment FROM g)"""
+
+
+@query(fx.ctes(PRIMARY) + """
+SELECT case_id, claim_number, doc_idx, round(greatest(0.0::DOUBLE, 0.40 * distinctive_direct + 0.25 * core_coverage + 0.15 * core_breadth + 0.12 * element_coverage + 0.08 * evidence_coverage - 0.20 * core_gap_weight) * 100 + 1e-11, 9) AS primary_score,
+  round(distinctive_direct + 1e-11, 9) AS distinctive_direct, round(core_coverage + 1e-11, 9) AS core_coverage, round(core_breadth + 1e-11, 9) AS core_breadth, round(core_gap_weight + 1e-11, 9) AS core_gap_weight, round(element_coverage + 1e-11, 9) AS element_coverage,
+  round(evidence_coverage + 1e-11, 9) AS evidence_coverage, round(strong_breadth + 1e-11, 9) AS strong_breadth, round(direct_breadth + 1e-11, 9) AS direct_breadth, round(field_alignment + 1e-11, 9) AS field_alignment, match_count FROM p""")
+def primary_score(spark, sf_dir):
+    return scoring.primary_scores(dense(spark, sf_dir))
+
+
+@query(fx.ctes() + "\nSELECT case_id, claim_number, doc_idx, label, CASE WHEN gap_rank < 3 THEN 'hard' ELSE 'soft' END AS gap FROM scored WHERE gap_rank <= 3")
+def hard_soft_gaps(spark, sf_dir):
+    return scoring.gaps(dense(spark, sf_dir))
+
+
+SECONDARY = """m AS (SELECT c.*, p.doc_idx AS primary_idx, p.item_sim AS psim, p.gap_rank < 3 AS hard, c.importance::DOUBLE * CASE WHEN p.gap_rank < 3 THEN 1 ELSE 0.65 END AS w, c.importance::DOUBLE AS w0,
+  greatest(0.0::DOUBLE, c.item_sim - p.item_sim) AS gain FROM scored c JOIN scored p USING (case_id, claim_number, label) WHERE c.doc_idx <> p.doc_idx AND p.gap_rank <= 3),
+q AS (SELECT case_id, claim_number, primary_idx, doc_idx, sum(w) AS den, 100 * (0.60 * sum(w * gain) / sum(w) + 0.20 * sum(w * item_sim) / sum(w) + 0.20 * sum(w * gain * selection_factor) / sum(w)) AS base, sum(w * gain * selection_factor) AS ev,
+  count(*) FILTER (hard AND gap_rank >= 3) AS hard_fill, count(*) FILTER (NOT hard AND gap_rank >= 4) AS soft_fill, count(*) FILTER (psim > 0.15 AND psim <= 0.55 AND item_sim >= 0.85) AS specific_fill,
+  count(DISTINCT label) FILTER ((hard AND gap_rank >= 3) OR (NOT hard AND gap_rank >= 4)) AS filled_labels, count(*) AS targets, count(*) FILTER (base_sim >= 0.35) AS reached, coalesce(sum(w) FILTER (base_sim >= 0.35), 0) AS rw,
+  coalesce(sum(w0 * gain) FILTER (hard AND is_distinctive AND has_quote), 0) AS cg, coalesce(sum(gap_rank * w0) FILTER (hard AND gap_rank >= 3), 0)::DOUBLE AS complement_score, coalesce(sum(gap_rank * w0) FILTER (NOT hard AND gap_rank >= 4), 0)::DOUBLE AS soft_score,
+  coalesce(sum(greatest(1, gap_rank) * w0) FILTER (has_quote AND judgment <> 'none'), 0)::DOUBLE AS support_score FROM m GROUP BY ALL)"""
+
+
+@query(fx.ctes(SECONDARY) + """
+SELECT case_id, claim_number, primary_idx, doc_idx, round(base + 1e-11, 9) AS base_score, round(base + 8 * rw / den + CASE WHEN reached >= 2 THEN 7 ELSE 0 END - CASE WHEN targets >= 3 AND reached <= 1 AND base > 0 THEN least(12.0::DOUBLE, 8 + 0.06 * base) ELSE 0 END + 1e-11, 9) AS adjusted_score,
+  round(cg + 1e-11, 9) AS critical_gain, CASE WHEN hard_fill > 0 THEN 'hard' WHEN soft_fill > 0 THEN 'soft' WHEN ev > 0 THEN 'support' ELSE '' END AS reason, hard_fill, soft_fill, specific_fill, filled_labels, round(complement_score + 1e-11, 9) AS complement_score, round(soft_score + 1e-11, 9) AS soft_score, round(support_score + 1e-11, 9) AS support_score FROM q""")
+def secondary_score(spark, sf_dir):
+    return scoring.secondary_scores(dense(spark, sf_dir))
+
+
+@query(fx.ctes("""each AS (SELECT case_id, claim_number, label, importance, max(item_sim) FILTER (doc_idx = 0) AS p, max(item_sim) AS c, bool_or(gap_rank >= 4 AND missing_count = 0) AS whole, max(gap_rank) AS r FROM scored WHERE doc_idx <= 1 GROUP BY ALL)""") + """
+SELECT case_id, claim_number, round(100 * sum(importance * p) / sum(importance) + 1e-11, 9) AS primary_similarity, round(100 * sum(importance * c) / sum(importance) + 1e-11, 9) AS combined_similarity,
+  coalesce(string_agg(label, ',' ORDER BY label) FILTER (c * 100 <= 35), '') AS uncovered_labels, coalesce(string_agg(label, ',' ORDER BY label) FILTER (NOT whole), '') AS residual_labels, bool_and(r >= 3) AS full_coverage FROM each GROUP BY ALL""")
+def claim_similarity(spark, sf_dir):
+    """Documents 0 and 1 selected, 0 as primary."""
+    chosen = fx.case_documents(spark, sf_dir).filter("doc_idx <= 1").join(fx.claims(spark, sf_dir).select("case_id", "claim_number"), "case_id")
+    return scoring.claim_similarity(dense(spark, sf_dir), chosen.withColumn("pos_doc", F.col("doc_idx")))
+
+
+DISCLOSURE = """disclosure AS (SELECT case_id, claim_number, doc_idx, bool_and(NOT not_evaluated AND has_quote AND gap_rank >= 4 AND directness = 'direct' AND missing_count = 0) AS is_complete,
+  coalesce(string_agg(label, ',' ORDER BY label) FILTER (NOT (NOT not_evaluated AND has_quote AND gap_rank >= 4 AND directness = 'direct' AND missing_count = 0)), '') AS missing_labels, count(*) FILTER (not_evaluated) AS n_not_evaluated FROM scored GROUP BY ALL)"""
+
+
+@query(fx.ctes(DISCLOSURE) + "\nSELECT * FROM disclosure")
+def single_document_disclosure(spark, sf_dir):
+    return scoring.single_document_disclosure(dense(spark, sf_dir))
+
+
+@query(fx.ctes(DISCLOSURE, PRIMARY, "ps AS (SELECT *, round(greatest(0.0::DOUBLE, 0.40 * distinctive_direct + 0.25 * core_coverage + 0.15 * core_breadth + 0.12 * element_coverage + 0.08 * evidence_coverage - 0.20 * core_gap_weight) * 100 + 1e-11, 9) AS primary_score FROM p)") + """
+SELECT case_id, claim_number, arg_max(doc_idx, (primary_score, -doc_idx)) FILTER (is_complete) AS selected_doc, count(*) FILTER (is_complete) AS n_complete FROM disclosure JOIN ps USING (case_id, claim_number, doc_idx) GROUP BY ALL""")
+def novelty_screen(spark, sf_dir):
+    return scoring.novelty_screen(dense(spark, sf_dir))
+
+
+ROOTS = """up AS (SELECT case_id, claim_number, claim_number AS at, claim_type, parent_claim FROM claims
+  UNION ALL SELECT u.case_id, u.claim_number, c.claim_number, c.claim_type, c.parent_claim FROM up u JOIN claims c ON c.case_id = u.case_id AND c.claim_number = u.parent_claim WHERE u.claim_type = 'dependent'),
+roots AS (SELECT c.case_id, c.claim_number, r.at AS root FROM claims c LEFT JOIN (SELECT * FROM up WHERE claim_type = 'independent') r USING (case_id, claim_number))"""
+
+
+@query(fx.ctes(ROOTS) + "\nSELECT * FROM roots")
+def family_root(spark, sf_dir):
+    return claim_ops.family_roots(fx.claims(spark, sf_dir))
+
+
+@query(fx.ctes("""up AS (SELECT c.case_id, c.claim_number, p.claim_number AS ancestor, p.parent_claim, 1 AS depth FROM claims c JOIN claims p ON p.case_id = c.case_id AND p.claim_number = c.parent_claim
+  UNION ALL SELECT u.case_id, u.claim_number, p.claim_number, p.parent_claim, u.depth + 1 FROM up u JOIN claims p ON p.case_id = u.case_id AND p.claim_number = u.parent_claim)""") + "\nSELECT case_id, claim_number, ancestor, depth FROM up")
+def ancestors(spark, sf_dir):
+    return claim_ops.ancestors(fx.claims(spark, sf_dir))
+
+
+@query(fx.ctes("""hit AS (SELECT case_id, claim_number FROM claims WHERE claim_number = 2),
+down AS (SELECT * FROM hit UNION SELECT c.case_id, c.claim_number FROM down d JOIN claims c ON c.case_id = d.case_id AND c.parent_claim = d.claim_number)""") + "\nSELECT * FROM down")
+def descendant_invalidation(spark, sf_dir):
+    """What falls when claim 2 of every case changes."""
+    claims = fx.claims(spark, sf_dir)
+    return claim_ops.descendants(claims, claims.filter("claim_number = 2"))
+
+
+@query(fx.ctes(ROOTS, """fam AS (SELECT *, greatest(0.65::DOUBLE, 1 - 0.05::DOUBLE * (row_number() OVER (PARTITION BY case_id, root ORDER BY claim_number) - 1)) AS depth FROM roots WHERE claim_number <> root)""") + """
+SELECT case_id, root, doc_idx, round(sum(importance * depth * CASE WHEN has_quote AND directness <> 'absent' THEN item_sim ELSE 0 END) / sum(importance * depth) + 1e-11, 9) AS reuse FROM scored JOIN fam USING (case_id, claim_number) GROUP BY ALL""")
+def dependent_reuse(spark, sf_dir):
+    return scoring.dependent_reuse(dense(spark, sf_dir), claim_ops.family_roots(fx.claims(spark, sf_dir)))
+
+
+ELIGIBLE = PRIMARY + """,
+core AS (SELECT case_id, claim_number, doc_idx, string_agg(label, ',' ORDER BY label) AS core_labels FROM scored WHERE is_distinctive AND has_quote AND directness <> 'absent' AND item_sim >= 0.85 GROUP BY ALL),
+elig AS (SELECT case_id, claim_number, doc_idx, round(distinctive_direct + 1e-11, 9) AS distinctive_direct, round(core_coverage + 1e-11, 9) AS core_coverage, round(greatest(0.0::DOUBLE, 0.40 * distinctive_direct + 0.25 * core_coverage + 0.15 * core_breadth + 0.12 * element_coverage + 0.08 * evidence_coverage - 0.20 * core_gap_weight) * 100 + 1e-11, 9) AS primary_score,
+  coalesce(core_labels, '') AS core_labels, max(round(distinctive_direct + 1e-11, 9)) OVER (PARTITION BY case_id, claim_number) AS best FROM p LEFT JOIN core USING (case_id, claim_number, doc_idx)),
+eligible AS (SELECT *, best <= 0 OR distinctive_direct >= best * 0.72::DOUBLE OR distinctive_direct >= best - 0.10::DOUBLE OR core_labels <> '' AS eligible FROM elig)"""
+
+
+@query(fx.ctes(ELIGIBLE) + "\nSELECT case_id, claim_number, doc_idx, core_labels, eligible FROM eligible")
+def eligible_primary(spark, sf_dir):
+    rows = dense(spark, sf_dir)
+    out = selection.eligible_primaries(scoring.primary_scores(rows), selection.core_disclosers(rows))
+    return out.select("case_id", "claim_number", "doc_idx", F.coalesce("core_labels", F.lit("")).alias("core_labels"), "eligible")
+
+
+@query(fx.ctes(ELIGIBLE) + """
+SELECT case_id, claim_number, doc_idx, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY case_id, claim_number ORDER BY distinctive_direct DESC, core_coverage DESC, primary_score DESC, doc_idx) AS INTEGER) AS rank FROM eligible WHERE eligible) WHERE rank <= 5""")
+def primary_shortlist(spark, sf_dir):
+    rows = dense(spark, sf_dir)
+    return selection.primary_shortlist(selection.eligible_primaries(scoring.primary_scores(rows), selection.core_disclosers(rows))).select("case_id", "claim_number", "doc_idx", "rank")
+
+
+@query(fx.ctes(SECONDARY, """sc AS (SELECT *, round(base + 8 * rw / den + CASE WHEN reached >= 2 THEN 7 ELSE 0 END - CASE WHEN targets >= 3 AND reached <= 1 AND base > 0 THEN least(12.0::DOUBLE, 8 + 0.06 * base) ELSE 0 END + 1e-11, 9) AS adjusted_score, round(cg + 1e-11, 9) AS critical_gain FROM q WHERE hard_fill > 0 OR soft_fill > 0 OR ev > 0)""") + """
+SELECT case_id, claim_number, primary_idx, doc_idx, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY case_id, claim_number, primary_idx ORDER BY critical_gain DESC, adjusted_score DESC, doc_idx) AS INTEGER) AS rank FROM sc WHERE adjusted_score > 0) WHERE rank <= 4""")
+def secondary_shortlist(spark, sf_dir):
+    return selection.secondary_shortlist(scoring.secondary_scores(dense(spark, sf_dir))).select("case_id", "claim_number", "primary_idx", "doc_idx", "rank")
+
+
+@query()
+def family_selection(spark, sf_dir):
+    """The best pair of documents for every independent claim: the flagship."""
+    rows = dense(spark, sf_dir)
+    claims = fx.claims(spark, sf_dir)
+    roots = claims.filter("claim_type = 'independent'").select("case_id", "claim_number")
+    reuse = scoring.dependent_reuse(rows, claim_ops.family_roots(claims))
+    return selection.selected_pairs(rows.join(roots, ["case_id", "claim_number"], "left_semi"), reuse)
+
+
+@query(fx.ctes() + """
+SELECT case_id, claim_number, primary_idx, label, primary_judgment, coalesce(string_agg(doc_idx || ':' || judgment, ',' ORDER BY doc_idx) FILTER (has_quote), '') AS evidence
+FROM (SELECT s.*, p.doc_idx AS primary_idx, p.judgment AS primary_judgment FROM scored s JOIN scored p USING (case_id, claim_number, label) WHERE p.doc_idx = 0 AND p.gap_rank < 3 AND s.doc_idx <> 0) GROUP BY ALL""")
+def gap_matrix(spark, sf_dir):
+    """Document 0 as primary: its open elements and the other documents' quoted evidence."""
+    return scoring.gap_evidence(dense(spark, sf_dir), 0)
+
+
+@query(fx.ctes("""cap AS (SELECT *, CASE WHEN directness = 'absent' AND judgment IN ('identical', 'substantially_identical', 'partial_difference') THEN 'partial_similarity'
+  WHEN missing_count > 0 AND judgment IN ('identical', 'substantially_identical') AND directness = 'inferred' THEN 'partial_difference' WHEN missing_count >= 2 AND judgment IN ('identical', 'substantially_identical') THEN 'partial_similarity'
+  WHEN missing_count > 0 AND judgment IN ('identical', 'substantially_identical') THEN 'partial_difference' WHEN judgment = 'partial_difference' AND missing_count >= 2 THEN 'partial_similarity' ELSE judgment END AS capped FROM cells)""") + """
+SELECT case_id, claim_number, doc_idx, label, judgment AS judgment_before, capped AS judgment, CASE WHEN judgment = capped THEN '' WHEN directness = 'absent' THEN 'evidence_absent' WHEN missing_count >= 2 THEN 'several_limitations_missing' ELSE 'limitation_missing' END AS adjustment FROM cap""")
+def coverage_cap(spark, sf_dir):
+    return judgments.capped(cells(spark, sf_dir), F.lit(False)).select(*fx.KEY, "judgment_before", "judgment", "adjustment")
