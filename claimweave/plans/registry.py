@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.functions import dims
+from claimweave.functions import dims, text
 from claimweave.operators import claims as claim_ops
-from claimweave.operators import judgments, scoring, selection
+from claimweave.operators import evidence, judgments, scoring, segments, selection
 from claimweave.sources import fixtures as fx
+from claimweave.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -248,3 +249,128 @@ def gap_matrix(spark, sf_dir):
 SELECT case_id, claim_number, doc_idx, label, judgment AS judgment_before, capped AS judgment, CASE WHEN judgment = capped THEN '' WHEN directness = 'absent' THEN 'evidence_absent' WHEN missing_count >= 2 THEN 'several_limitations_missing' ELSE 'limitation_missing' END AS adjustment FROM cap""")
 def coverage_cap(spark, sf_dir):
     return judgments.capped(cells(spark, sf_dir), F.lit(False)).select(*fx.KEY, "judgment_before", "judgment", "adjustment")
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\[\]【】()（）,.;:"''“”‘’<>]', ' ', 'g'), '\s+', ' ', 'g')) AS normalized_text, sha256(coalesce(text, '')) AS text_hash FROM documents""")
+def normalize_text_hash(spark, sf_dir):
+    return fx.read(spark, sf_dir, "documents").select("doc_id", text.normalized_text("text").alias("normalized_text"), text.text_hash("text").alias("text_hash"))
+
+
+WINDOWS = r"""windows AS (SELECT doc_id, i AS window_no, regexp_replace(substr(text, (i - 1) * 1200 + 1, 1200), '^\s+|\s+$', '', 'g') AS piece FROM
+  (SELECT doc_id, coalesce(text, '') AS text, CAST(unnest(range(1, CAST(floor((greatest(length(coalesce(text, '')), 1) - 1) / 1200) AS BIGINT) + 2)) AS INTEGER) AS i FROM documents))"""
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, window_no, length(piece) AS n_chars, sha256(piece) AS text_hash FROM windows WHERE piece <> ''")
+def windows_1200(spark, sf_dir):
+    cut = segments.fixed_windows(fx.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "window_no", F.length("window").cast("long").alias("n_chars"), text.text_hash("window").alias("text_hash"))
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, window_no, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY window_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 3000 AS excluded FROM windows WHERE piece <> ''")
+def abstract_cap(spark, sf_dir):
+    cut = segments.fixed_windows(fx.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return segments.summary_capped(cut).select("doc_id", "window_no", "excluded")
+
+
+def quoted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that its id selects, as the quotations to verify in it."""
+    items = fx.read(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text").alias("quote"), (F.col("item_id") % 40).alias("m"))
+    return fx.read(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("m")).join(items, "m")
+
+
+@query(r"""WITH q AS (SELECT d.doc_id, b.item_id, trim(b.text) AS q, lower(d.text) AS low FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40),
+s AS (SELECT *, CASE WHEN len(list_filter(list_transform(string_split_regex(q, '\s*(?:…|\.{3,})\s*'), lambda x: trim(x)), lambda x: length(x) >= 15)) > 0
+  THEN list_filter(list_transform(string_split_regex(q, '\s*(?:…|\.{3,})\s*'), lambda x: trim(x)), lambda x: length(x) >= 15) ELSE [q] END AS parts FROM q),
+m AS (SELECT *, list_transform(parts, lambda p: CASE WHEN contains(low, lower(substr(p, 1, 70))) THEN 2 WHEN contains(low, lower(substr(p, 1, 30))) THEN 1
+  WHEN len(list_filter(string_split_regex(lower(substr(p, 1, 70)), '\s+'), lambda w: length(w) >= 3)) > 0 AND
+    len(list_filter(string_split_regex(lower(substr(p, 1, 70)), '\s+'), lambda w: length(w) >= 3 AND contains(low, w))) / len(list_filter(string_split_regex(lower(substr(p, 1, 70)), '\s+'), lambda w: length(w) >= 3)) >= 0.6 THEN 1 ELSE 0 END) AS marks FROM s)
+SELECT doc_id, item_id, CASE WHEN q = '' THEN 'empty' WHEN length(q) < 15 THEN 'short' WHEN list_min(marks) = 2 THEN 'verified' WHEN list_max(marks) > 0 THEN 'partial' ELSE 'not_found' END AS status FROM m""")
+def quote_verify(spark, sf_dir):
+    return quoted_documents(spark, sf_dir).select("doc_id", "item_id", evidence.quote_status(F.col("quote"), F.col("text")).alias("status"))
+
+
+@query(r"""WITH q AS (SELECT d.doc_id, b.item_id, trim(lower(regexp_replace(b.text, '\s+', ' ', 'g'))) AS q, trim(lower(regexp_replace(d.text, '\s+', ' ', 'g'))) AS low FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40)
+SELECT doc_id, item_id, length(q) >= 12 AND contains(low, q) AS verbatim FROM q WHERE NOT regexp_matches(q, '…|\.\.\.|^\[')""")
+def quote_verbatim(spark, sf_dir):
+    rows = quoted_documents(spark, sf_dir).filter(~F.trim(F.col("quote")).rlike(r"…|\.\.\.|^\["))
+    return rows.select("doc_id", "item_id", evidence.is_verbatim(F.col("quote"), F.col("text")).alias("verbatim"))
+
+
+STOP = "[" + ", ".join(f"'{w}'" for w in text.CLAIM_STOPWORDS) + "]"
+
+
+@query(f"""WITH {WINDOWS},
+k AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9가-힣]{{2,}}')), lambda w: NOT list_contains({STOP}, w)) AS k FROM benchmark),
+s AS (SELECT doc_id, window_no, item_id, CAST(len(list_filter(k, lambda w: contains(lower(piece), w))) AS INTEGER) AS score FROM windows JOIN k ON doc_id % 40 = item_id % 40 WHERE piece <> '')
+SELECT doc_id, window_no, item_id, score FROM s WHERE score > 0""")
+def keyword_score(spark, sf_dir):
+    items = fx.read(spark, sf_dir, "benchmark").select("item_id", text.claim_keywords("text").alias("keywords"), (F.col("item_id") % 40).alias("m"))
+    cut = segments.fixed_windows(fx.read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("m", F.col("doc_id") % 40).join(items, "m")
+    return evidence.keyword_scores(cut).select("doc_id", "window_no", "item_id", "score")
+
+
+@query()
+def budget_context(spark, sf_dir):
+    """Windows of every document that a budget of 6 000 characters keeps for the items its id selects."""
+    items = fx.read(spark, sf_dir, "benchmark").select("item_id", text.claim_keywords("text").alias("keywords"), (F.col("item_id") % 40).alias("m"))
+    cut = segments.fixed_windows(fx.read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("m", F.col("doc_id") % 40).join(items, "m")
+    low = F.lower("window")
+    scored = cut.withColumn("score", F.size(F.filter("keywords", lambda k: F.contains(low, k))))
+    place = F.struct("window_no", (F.length("window") + 8).alias("size"), "score")
+    docs = scored.groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_list(place)).alias("w"))
+    chunks = F.transform("w", lambda c, i: F.struct(i.alias("place"), c["size"].alias("size"), c["score"].alias("score")))
+    return docs.withColumn("c", chunks).select("doc_id", "item_id", F.array_join(evidence.budgeted_orders(F.col("c"), 6_000), ",").alias("kept"))
+
+
+@query(r"""WITH u AS (SELECT page_id % 50 AS batch, regexp_replace(unnest(regexp_extract_all(url, '(?i)https?://[^\s)<>\]]+')), '[.,;]+$', '') AS u FROM pages)
+SELECT b.batch, count(DISTINCT u) AS url_count, CAST(0 AS BIGINT) AS identifier_count, true AS needs_expansion FROM (SELECT DISTINCT page_id % 50 AS batch FROM pages) b LEFT JOIN u USING (batch) GROUP BY b.batch""")
+def search_stats(spark, sf_dir):
+    """Distinct addresses over batches of pages; their identifiers are none."""
+    return evidence.search_stats(fx.read(spark, sf_dir, "pages").withColumn("batch", F.col("page_id") % 50), "batch", "url")
+
+
+@query(fx.ctes("""arriving AS (SELECT case_id, claim_number, doc_idx, label, judgment, seq FROM cells WHERE seq % 7 = 0)""") + """
+SELECT case_id, claim_number, doc_idx, label, judgment FROM cells c WHERE NOT EXISTS (SELECT 1 FROM arriving a WHERE a.case_id = c.case_id AND a.doc_idx = c.doc_idx AND a.claim_number = c.claim_number)
+UNION ALL SELECT case_id, claim_number, doc_idx, label, judgment FROM arriving""")
+def judgment_merge(spark, sf_dir):
+    """Every seventh row arrives again and replaces all rows of its document and claim."""
+    rows = cells(spark, sf_dir).select(*fx.KEY, "judgment", "seq")
+    return judgments.merged_by_claim(rows, rows.filter("seq % 7 = 0")).drop("seq")
+
+
+@query(fx.ctes() + """
+SELECT case_id, claim_number, role, seq FROM (SELECT case_id, claim_number, label AS role, seq, row_number() OVER (PARTITION BY case_id, claim_number, label ORDER BY seq DESC) AS rn FROM raw WHERE doc_idx = 1) WHERE rn = 1
+UNION ALL SELECT case_id, claim_number, label, seq FROM raw r WHERE doc_idx = 0 AND NOT EXISTS (SELECT 1 FROM raw a WHERE a.doc_idx = 1 AND a.case_id = r.case_id AND a.claim_number = r.claim_number)""")
+def reference_history(spark, sf_dir):
+    """Rows of document 0 as the history, those of document 1 as the batch that replaces its scopes."""
+    rows = fx.raw_judgments(spark, sf_dir).select("case_id", "claim_number", F.col("label").alias("role"), "seq", "doc_idx")
+    old, new = (rows.filter(F.col("doc_idx") == k).drop("doc_idx") for k in (0, 1))
+    return tables.upsert_scoped(old, new, ["case_id", "claim_number"], ["case_id", "claim_number", "role"], F.col("seq"))
+
+
+@query("""WITH f AS (SELECT source AS case_id, 'doc-' || doc_id AS filename, doc_id FROM documents), m AS (SELECT case_id, filename, doc_id % 13 AS position FROM f WHERE doc_id % 3 = 0)
+SELECT case_id, filename, CAST(row_number() OVER (PARTITION BY case_id ORDER BY position NULLS LAST, filename) - 1 AS INTEGER) AS doc_idx FROM f LEFT JOIN m USING (case_id, filename)""")
+def document_order(spark, sf_dir):
+    files = fx.read(spark, sf_dir, "documents").select(F.col("source").alias("case_id"), F.concat(F.lit("doc-"), "doc_id").alias("filename"), "doc_id")
+    manifest = files.filter("doc_id % 3 = 0").withColumn("position", F.col("doc_id") % 13)
+    return tables.document_order(files, manifest, most=None)
+
+
+@query("""SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE lang = 'en')""")
+def incremental_intake(spark, sf_dir):
+    """Documents whose content no English document has: what must be parsed after those."""
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    known = docs.filter("lang = 'en'").select(text.text_hash("text").alias("sha256"))
+    return tables.new_content(docs, known).select("doc_id", "sha256")
+
+
+@query(fx.ctes() + "\nSELECT d.case_id, CAST(n_documents AS BIGINT) AS n_documents, n_claims, n_independent FROM (SELECT case_id, count(*) AS n_documents FROM docs GROUP BY ALL) d JOIN (SELECT case_id, count(*) AS n_claims, count(*) FILTER (claim_type = 'independent') AS n_independent FROM claims GROUP BY ALL) c USING (case_id)")
+def case_counters(spark, sf_dir):
+    return tables.case_counters(fx.case_documents(spark, sf_dir), fx.claims(spark, sf_dir))
+
+
+@query("SELECT user_id, event_id, ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC, value DESC) AS rn FROM events) WHERE rn = 1")
+def latest_arrivals(spark, sf_dir):
+    """The batch form of the streaming upsert: each user's latest event."""
+    rows = fx.read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return rows.groupBy("user_id").agg(F.max_by(F.struct(*rows.columns), F.struct("ts", "event_id", "event_type", "value")).alias("row")).select("row.*")
