@@ -26,16 +26,14 @@ def marker_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Texts over COVERED_FROM characters of which the paragraphs hold under COVERED_SHARE have none.
     """
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     lines = docs.select(key, F.length(text).alias("whole"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("at", "line"))
     mark = F.regexp_extract("line", pattern, 1)
     order = Window.partitionBy(key).orderBy("at")
-    marked = lines.withColumns({"no": F.when(mark != "", mark), "part": F.sum(F.when(mark != "", 1).otherwise(0)).over(order)}).filter("part > 0")
-    body = F.when(F.col("no").isNotNull(), F.trim(F.regexp_replace("line", rf"^.*?{pattern}", ""))).otherwise(F.col("line"))
-    marked = marked.withColumn("body", body).filter("not (no is not null and body = '')")
-    parts = lines.select(key).distinct().join(marked, key)
-    numbers = lines.withColumns({"no": F.when(mark != "", mark), "part": F.sum(F.when(mark != "", 1).otherwise(0)).over(order)}).filter("no is not null").select(key, "part", F.col("no").alias("paragraph_no"), "whole")
-    texts = parts.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("at", "body"))).alias("lines"))
-    out = numbers.join(texts, [key, "part"], "left").withColumn("paragraph", F.trim(F.coalesce(F.array_join(F.col("lines.body"), "\n"), F.lit(""))))
+    body = F.when(mark != "", strip(F.regexp_replace("line", rf"^.*?{pattern}", ""))).otherwise(F.col("line"))
+    marked = lines.withColumns({"no": F.when(mark != "", mark), "body": body, "part": F.sum(F.when(mark != "", 1).otherwise(0)).over(order)}).filter("part > 0")
+    parts = marked.groupBy(key, "part").agg(F.max("no").alias("paragraph_no"), F.first("whole").alias("whole"), F.array_sort(F.collect_list(F.struct("at", "body"))).alias("lines"))
+    out = parts.withColumn("paragraph", strip(F.array_join(F.col("lines.body"), "\n")))
     last = Window.partitionBy(key, "paragraph_no").orderBy(F.desc("part"))
     out = out.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1")
     held = F.sum(F.length("paragraph")).over(Window.partitionBy(key))

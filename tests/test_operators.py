@@ -1,0 +1,139 @@
+"""Small hand-made cases for the operators of the evidence engine."""
+
+from pyspark.sql import functions as F
+
+from claimweave.functions import dims, text
+from claimweave.operators import claims, evidence, judgments, scoring, segments
+from claimweave.sources import tables
+from claimweave.streaming import upserts
+
+
+def one(spark, value, column):
+    return spark.createDataFrame([(value,)], "t string").select(column).first()[0]
+
+
+def test_scale_keeps_two_ordinals(spark):
+    row = spark.createDataFrame([("difference",), ("unheard",)], "judgment string").select(dims.gap_rank(), dims.best_rank(), dims.similarity()).collect()
+    assert [tuple(r) for r in row] == [(0, 1, 0.15), (0, 0, 0.0)]
+    assert one(spark, "실질적 동일", dims.judgment_code("t")) == "substantially_identical"
+
+
+def test_text_functions(spark):
+    assert one(spark, "a [b], “c”;\n d", text.normalized_text("t")) == "a b c d"
+    assert one(spark, "Con-\n  nected  Parts", text.verbatim_text("t")) == "connected parts"
+    assert one(spark, "(12) and (104a) and (12)", text.reference_signs("t")) == ["12", "104a"]
+    assert one(spark, "shown in 도 3a here", text.figure_no("t")) == "도3a"
+    assert one(spark, None, text.normalized_text("t")) == ""
+    long = " ".join(f"word{i}" for i in range(100))
+    short = one(spark, long, text.shortened_quote("t"))
+    assert " ... " in short and len(short) <= 335 and long.startswith(short.split(" ... ")[0]) and long.endswith(short.split(" ... ")[1])
+
+
+def test_labels(spark):
+    rows = spark.createDataFrame([("(A)",), ("preamble",), ("b-2",), (" C ",), (None,)], "label string")
+    assert [r[0] for r in rows.select(judgments.normalized_label("label")).collect()] == ["A", "P", "B-2", "C", ""]
+
+
+def matrix(spark, rows):
+    """(claim, doc, label, importance, judgment, directness, has_quote, missing, evidence) as a dense matrix."""
+    df = spark.createDataFrame(rows, "claim_number long, doc_idx long, label string, importance int, judgment string, directness string, has_quote boolean, missing_count int, evidence_count int")
+    df = df.withColumn("case_id", F.lit(1).cast("long"))
+    elements = df.select("case_id", "claim_number", "label", "importance", F.lit(False).alias("is_distinctive"), F.lit(False).alias("is_generic"), F.lit(False).alias("is_simple")).distinct()
+    cells = df.select("case_id", "claim_number", "doc_idx", "label", "judgment", "directness", "has_quote", F.lit(True).alias("has_location"), F.lit(True).alias("has_reason"), "missing_count", "evidence_count")
+    return scoring.dense(cells, elements, df.select("case_id", "doc_idx").distinct())
+
+
+def test_coverage_of_two_documents(spark):
+    rows = matrix(spark, [(1, 0, "A", 5, "identical", "direct", True, 0, 0), (1, 0, "B", 3, "none", "absent", False, 0, 0), (1, 1, "B", 3, "identical", "direct", True, 0, 0)])
+    got = scoring.coverage_metrics(rows.withColumn("pos_doc", F.col("doc_idx"))).first()
+    assert (got["primary_coverage"], got["combined_coverage"], got["complement_dependency"], got["status"]) == (0.625, 1.0, 0.375, "coverage_supported")
+
+
+def test_single_document_and_gaps(spark):
+    rows = matrix(spark, [(1, 0, "A", 5, "identical", "direct", True, 0, 1), (1, 0, "B", 5, "substantially_identical", "direct", True, 0, 1), (1, 1, "A", 5, "partial_difference", "direct", True, 1, 1)])
+    got = {r["doc_idx"]: (r["is_complete"], r["missing_labels"]) for r in scoring.single_document_disclosure(rows).collect()}
+    assert got == {0: (True, ""), 1: (False, "A,B")}
+    assert scoring.novelty_screen(rows).first()["selected_doc"] == 0
+    assert sorted((r["doc_idx"], r["label"], r["gap"]) for r in scoring.gaps(rows).collect()) == [(1, "A", "soft"), (1, "B", "hard")]
+
+
+def test_caps(spark):
+    rows = spark.createDataFrame([("identical", "absent", 0), ("identical", "inferred", 1), ("identical", "direct", 2), ("partial_difference", "direct", 2), ("identical", "direct", 0)], "judgment string, directness string, missing_count int")
+    got = [r["judgment"] for r in judgments.capped(rows, F.lit(False)).collect()]
+    assert got == ["partial_similarity", "partial_difference", "partial_similarity", "partial_similarity", "identical"]
+
+
+def test_claim_tree_with_cycle_and_orphan(spark):
+    rows = [(1, 1, "independent", None), (1, 2, "dependent", 1), (1, 3, "dependent", 2), (1, 4, "dependent", 5), (1, 5, "dependent", 4), (1, 6, "dependent", 99), (1, 7, "dependent", 3), (1, 8, "dependent", 7)]
+    df = spark.createDataFrame(rows, "case_id long, claim_number long, claim_type string, parent_claim long")
+    roots = {r["claim_number"]: r["root"] for r in claims.family_roots(df).collect()}
+    assert roots == {1: 1, 2: 1, 3: 1, 4: None, 5: None, 6: None, 7: 1, 8: 1}
+    deep = {r["ancestor"]: r["depth"] for r in claims.ancestors(df).filter("claim_number = 8").collect()}
+    assert deep == {7: 1, 3: 2, 2: 3, 1: 4}
+    assert sorted(r["claim_number"] for r in claims.descendants(df, df.filter("claim_number = 3")).collect()) == [3, 7, 8]
+
+
+def test_marker_paragraphs(spark):
+    doc = "preface\n[0001] first\nmore\n【 0002 】second\n[0001] again\n"
+    df = spark.createDataFrame([(1, doc), (2, "none"), (3, "x" * 6000 + "\n[0001] short"), (4, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["paragraph_no"], r["paragraph"]) for r in segments.marker_paragraphs(df).collect())
+    assert got == [(1, "0001", "again"), (1, "0002", "second")]
+
+
+def test_sections_groups_and_blocks(spark):
+    paragraphs = spark.createDataFrame([(1, 5, "p1"), (1, 20, "p2"), (1, 30, "p3")], "doc_id long, at int, p string")
+    headings = spark.createDataFrame([(1, 10, "SUMMARY"), (1, 20, "BACKGROUND")], "doc_id long, at int, heading string")
+    got = {r["p"]: r["section"] for r in segments.with_sections(paragraphs, headings).collect()}
+    assert got == {"p1": "", "p2": "BACKGROUND", "p3": "BACKGROUND"}
+    records = spark.createDataFrame([(1, i, "A" if i < 8 else "B", "변형예" if i == 3 else "t") for i in range(10)], "doc_id long, at int, section string, t string")
+    groups = [r["group_no"] for r in segments.grouped_paragraphs(records, F.col("t") == "변형예").orderBy("at").collect()]
+    assert groups == [1, 1, 1, 2, 2, 2, 2, 2, 3, 3]
+    blocks = spark.createDataFrame([("a" * 600 + "\n\n" + "b" * 600 + "\n \n" + "c",)], "text string")
+    assert [len(s) for s in segments.accumulated_sections(blocks).first()["sections"]] == [1202, 1]
+
+
+def test_budget_takes_neighbours_then_single_hits(spark):
+    df = spark.createDataFrame([([(0, 10, 0), (1, 10, 0), (2, 10, 3), (3, 10, 0), (4, 10, 1), (5, 10, 0)],)], "c array<struct<place:int,size:int,score:int>>")
+    assert df.select(evidence.budgeted_orders(F.col("c"), 40)).first()[0] == [0, 1, 2, 3]
+    assert df.select(evidence.budgeted_orders(F.col("c"), 50)).first()[0] == [0, 1, 2, 3, 4]
+    assert df.select(evidence.budgeted_orders(F.col("c"), 1000, first=False)).first()[0] == [1, 2, 3, 4, 5]
+
+
+def test_quotes(spark):
+    corpus = "the quick brown fox jumps over the lazy dog near the river bank at noon"
+    cases = {"": "empty", "too short": "short", "quick brown fox jumps": "verified", "quick brown fox jumps ... river bank at noon": "verified", "unrelated words entirely different": "not_found", "quick brown wolf jumps lazy": "partial"}
+    df = spark.createDataFrame([(q, corpus) for q in cases], "q string, c string")
+    assert [r[0] for r in df.select(evidence.quote_status(F.col("q"), F.col("c"))).collect()] == list(cases.values())
+    assert df.select(evidence.is_verbatim(F.lit("[P1] quick  brown FOX"), F.col("c"))).first()[0]
+
+
+def test_search_stats(spark):
+    df = spark.createDataFrame([(1, "see https://a.b/c. and US 1234567 A1, arXiv:2101.00001"), (1, "https://a.b/c"), (2, None)], "k int, t string")
+    got = {r["k"]: (r["url_count"], r["identifier_count"], r["needs_expansion"]) for r in evidence.search_stats(df, "k", "t").collect()}
+    assert got[1][0] == 1 and got[1][1] >= 1 and got[2] == (0, 0, True)
+
+
+def test_upserts_are_idempotent_and_stream_equals_batch(spark, tmp_path):
+    old = spark.createDataFrame([(1, 1, "p", 1), (1, 2, "p", 2)], "case_id long, claim_number long, role string, seq int")
+    new = spark.createDataFrame([(1, 1, "q", 3), (1, 1, "q", 4)], old.schema)
+    merge = lambda a, b: tables.upsert_scoped(a, b, ["case_id", "claim_number"], ["case_id", "claim_number", "role"], F.col("seq"))
+    once = merge(old, new)
+    assert sorted(map(tuple, once.collect())) == [(1, 1, "q", 4), (1, 2, "p", 2)] == sorted(map(tuple, merge(once, new).collect()))
+    source, state = str(tmp_path / "in"), {"rows": old}
+    new.write.parquet(source)
+
+    def write(df):
+        path = str(tmp_path / f"out{len(list(tmp_path.iterdir()))}")
+        df.write.parquet(path)
+        state["rows"] = spark.read.parquet(path)
+
+    stream = spark.readStream.schema(old.schema).parquet(source)
+    upserts.merged_stream(stream, lambda: state["rows"], write, merge, str(tmp_path / "cp")).awaitTermination(60)
+    assert sorted(map(tuple, state["rows"].collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_document_order(spark):
+    files = spark.createDataFrame([("c", "b"), ("c", "a"), ("c", "z")], "case_id string, filename string")
+    manifest = spark.createDataFrame([("c", "z", 0), ("c", "gone", 1), ("c", "z", 2)], "case_id string, filename string, position int")
+    got = {r["filename"]: r["doc_idx"] for r in tables.document_order(files, manifest).collect()}
+    assert got == {"z": 0, "a": 1, "b": 2}
