@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from claimweave.llm.segments import ChunkEncoder, Memo, grouped, per_group, spread
 
@@ -68,29 +70,48 @@ class PairTable:
 
 
 class ByteBpe:
-    """A vocabulary of ranks with its encoder and decoder."""
+    """A vocabulary with its merges; encodes by rank of merge and decodes."""
 
-    def __init__(self, rank_path: str, pattern: str):
-        with open(rank_path, "rb") as lines:
-            vocab = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    def __init__(self, tokens: dict[bytes, int], left: list[int], right: list[int], ranks: list[int], merged: np.ndarray, pattern: str):
+        """tokens: bytes to id; the pair (left[i], right[i]) merges at ranks[i], and merged[rank] is its id."""
         self.find = regex.compile(pattern).findall
-        self.of_byte = np.array([vocab[bytes([i])] for i in range(256)], np.int64)
-        left, right, merged = [], [], []
-        for token, rank in vocab.items():
-            for i in range(1, len(token)):
-                a, b = vocab.get(token[:i]), vocab.get(token[i:])
-                if a is not None and b is not None:
-                    left.append(a), right.append(b), merged.append(rank)
-        self.pairs = PairTable(np.array(left), np.array(right), np.array(merged, np.int64))
-        size = max(vocab.values()) + 1
-        tokens = [b""] * size
-        for token, rank in vocab.items():
-            tokens[rank] = token
-        self.token_len = np.array([len(t) for t in tokens], np.int64)
+        self.of_byte = np.array([tokens[bytes([i])] for i in range(256)], np.int64)
+        self.pairs, self.merged = PairTable(np.array(left), np.array(right), np.array(ranks, np.int64)), merged
+        texts = [b""] * (max(tokens.values()) + 1)
+        for token, i in tokens.items():
+            texts[i] = token
+        self.token_len = np.array([len(t) for t in texts], np.int64)
         self.token_at = np.cumsum(self.token_len) - self.token_len
-        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.token_bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.memo = Memo(self.encode_pieces)
 
+    @classmethod
+    def of_ranks(cls, path: str, pattern: str) -> ByteBpe:
+        """A file of base64 tokens and ranks: any two tokens merge if their concatenation is a token, at its rank."""
+        with open(path, "rb") as lines:
+            tokens = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        left, right, ranks = [], [], []
+        for token, rank in tokens.items():
+            for i in range(1, len(token)):
+                a, b = tokens.get(token[:i]), tokens.get(token[i:])
+                if a is not None and b is not None:
+                    left.append(a), right.append(b), ranks.append(rank)
+        return cls(tokens, left, right, ranks, np.arange(max(tokens.values()) + 1), pattern)
+
+    @classmethod
+    def of_merges(cls, path: str, pattern: str) -> ByteBpe:
+        """A tokenizer file with a vocabulary and a list of merges, bytes written as printable characters."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+        vocab = model["vocab"]
+        tokens = {bytes(byte[c] for c in t): i for t, i in vocab.items() if all(c in byte for c in t)}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        return cls(tokens, [vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], list(range(len(pairs))), merged, pattern)
+
     # ---- encoding
     def _rows(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Yields (row numbers, their final ids padded with -1) as rows finish."""
@@ -110,7 +131,7 @@ class ByteBpe:
             each, last = np.arange(len(rows)), ids.shape[1] - 1
             source = np.arange(last) + (np.arange(last) > at[:, None])
             ids = np.take_along_axis(ids, source, 1)
-            ids[each, at] = best
+            ids[each, at] = self.merged[best]
             ranks = np.take_along_axis(ranks, np.minimum(source, last - 1), 1)[:, : max(last - 1, 1)]
             if last == 1:
                 ranks[:] = NONE
@@ -128,11 +149,13 @@ class ByteBpe:
             run = np.concatenate([[True], np.diff(hits) > 1])
             begin = np.maximum.accumulate(np.where(run, hits, -1))
             hits = hits[(hits - begin) % 2 == 0]
+            new = self.merged[best]
             after = np.append(ids, -1)[hits + 2]
-            before = np.where(np.isin(hits - 2, hits), best, np.where(hits > 0, ids[hits - 1], -1))
-            if min(self.pairs(np.full(len(hits), best), after).min(), self.pairs(before, np.full(len(hits), best)).min()) < best:
+            before = np.where(np.isin(hits - 2, hits), new, np.where(hits > 0, ids[hits - 1], -1))
+            made = np.full(len(hits), new)
+            if min(self.pairs(made, after).min(), self.pairs(before, made).min()) < best:
                 hits = hits[:1]
-            ids[hits] = best
+            ids[hits] = new
             ids = np.delete(ids, hits + 1)
             ranks = np.delete(ranks, hits + 1 if hits[-1] + 1 < len(ranks) else np.append(hits[:-1] + 1, hits[-1]))
             here = hits - np.arange(len(hits))
@@ -203,7 +226,7 @@ def encoded_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the bytes that they decode to, one row per document row."""
 
     def run(batches):
-        bpe = ByteBpe(rank_path, pattern)
+        bpe = ByteBpe.of_ranks(rank_path, pattern)
         encoder = ChunkEncoder(bpe.encode_chunks)
         for batch in batches:
             yield _digests(batch, bpe, encoder)
@@ -213,10 +236,10 @@ def encoded_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs with a column ids array<int>; a null or empty text has no ids."""
-    schema = docs.drop("ids").schema.add("ids", "array<int>")
+    schema = docs.drop("ids").schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches):
-        encoder = ChunkEncoder(ByteBpe(rank_path, pattern).encode_chunks)
+        encoder = ChunkEncoder(ByteBpe.of_ranks(rank_path, pattern).encode_chunks)
         for batch in batches:
             texts = batch.column(text).to_pylist()
             parts: list[list[np.ndarray]] = [[] for _ in texts]
@@ -232,10 +255,10 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text") ->
 
 def decode(ids: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """ids (array<int>) back to a column bytes; null ids give null bytes."""
-    schema = ids.drop("bytes").schema.add("bytes", "binary")
+    schema = ids.drop("bytes").schema.add("bytes", BinaryType())
 
     def run(batches):
-        bpe = ByteBpe(rank_path, pattern)
+        bpe = ByteBpe.of_ranks(rank_path, pattern)
         for batch in batches:
             rows = [None if r is None else bpe.decode(np.array(r, np.int64))[0].tobytes() for r in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], [*batch.schema.names, "bytes"])

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.llm.bpe import ByteBpe
 from claimweave.llm.common import stored
 from claimweave.llm.segments import ChunkEncoder, grouped
 
@@ -33,19 +34,25 @@ PLACED = PIECES + ", sequence_id long, offset long, settled boolean"
 PER_PARTITION = 200_000
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, closing_id: int, special: str = "<|endoftext|>") -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, closing_id: int, pattern: str, special: str = "<|endoftext|>") -> DataFrame:
     """The pieces of every document: all of the capacity's length but the first, which takes the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        tokenizer, bpe = Tokenizer.from_file(tokenizer_path), ByteBpe.of_merges(tokenizer_path, pattern)
 
         def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            rows = [x.ids for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-            lengths = np.array(list(map(len, rows)), np.int64)
-            return np.fromiter((i for row in rows for i in row), np.uint32, lengths.sum()), lengths
+            # the file's merges in numpy; what its split of rarer letters or its special token might decide goes to the library
+            plain = [c.isascii() or max(c) < "\u0250" for c in chunks]
+            rare = [c == special or not p for c, p in zip(chunks, plain)]
+            ids, lengths = bpe.encode_chunks([c for c, r in zip(chunks, rare) if not r])
+            if not any(rare):
+                return ids, lengths
+            parts = iter(np.split(ids, np.cumsum(lengths)[:-1]))
+            rows = [np.array(tokenizer.encode(c, add_special_tokens=False).ids, np.int64) if r else next(parts) for c, r in zip(chunks, rare)]
+            return np.concatenate(rows), np.array(list(map(len, rows)), np.int64)
 
         encoder = ChunkEncoder(encode, special)
         for batch in batches:
@@ -176,6 +183,6 @@ def pack_pieces(pieces: DataFrame, capacity: int, per_partition: int = PER_PARTI
     return out.drop("settled")
 
 
-def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, closing_id: int = 2) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 1024, closing_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of every document row."""
-    return pack_pieces(tokenized_pieces(docs, tokenizer_path, capacity, closing_id), capacity)
+    return pack_pieces(tokenized_pieces(docs, tokenizer_path, capacity, closing_id, pattern), capacity)
