@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 SEGMENTS = (4, 8, 16)
 #: Rows of a block of queries and of candidates: what a task holds at once.
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
+#: Candidate blocks that meet a block of queries under one key, about.
+BLOCKS_PER_TASK = 4
 #: Components of this size or more are scored as Python integers, as their products may exceed a double's 53 bits.
 EXACT_BELOW = 1 << 22
 
@@ -104,12 +106,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: every query's k best other rows by exact integer inner product."""
     rows = integer_vectors(vectors)
     queries = rows.filter(is_query)
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    # queries fill n partitions of one block or two; every candidate block meets each of them
+    n_rows, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    n, parts = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // (BLOCKS_PER_TASK * CANDIDATE_BLOCK)))
+    # queries fill n partitions of a block or two; candidate blocks fall in parts by a hash, and every pair of a
+    # query partition and a part is a key of its own, so that a key holds a bounded number of blocks
     q_blocks = _packed(queries.repartition(n), QUERY_BLOCK, "q").withColumn("meets", F.spark_partition_id())
-    q_blocks = q_blocks.select("dim", "meets", "q_ids", "q_x")
-    c_blocks = _packed(rows, CANDIDATE_BLOCK, "c").withColumn("meets", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = c_blocks.join(q_blocks, ["dim", "meets"])
+    q_blocks = q_blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    c_blocks = _packed(rows, CANDIDATE_BLOCK, "c").withColumn("part", F.pmod(F.xxhash64("c_ids"), F.lit(parts)).cast("int"))
+    c_blocks = c_blocks.withColumn("meets", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = c_blocks.join(q_blocks, ["dim", "meets", "part"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
