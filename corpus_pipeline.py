@@ -1,8 +1,63 @@
-"""The corpus pipeline; stages follow."""
+"""From raw documents to packed training sequences: five stages, each over all rows that the one before it kept.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+Stages take rows with nulls in any column, empty and very long texts, repeated rows, empty tables and extra columns
+as the operators that they call do.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimweave.llm import language, near_dup, packing, pii, quality_rules
+from claimweave.llm.common import stored, table
+
+
+def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.kept_documents(docs)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear."""
+    return language.accepted_documents(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with 80 % of five-word shingles in common."""
+    return near_dup.one_of_each(docs, shingle=5, similarity=80)
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced; n_chars follows the text."""
+    out = pii.redacted(docs)
+    if "n_chars" in out.columns:
+        kind = out.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return out
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", rule_stage),
+    ("language_id", language_stage),
+    ("near_dedup", near_duplicate_stage),
+    ("pii", personal_data_stage),
+    ("packing", packing_stage),
+]
+#: MinHash, trained trees and compression are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
