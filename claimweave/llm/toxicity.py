@@ -24,6 +24,8 @@ from claimweave.llm.common import fold, labelled_sample
 
 #: Labelled rows that the model is trained on, at most, and words that it may keep.
 TRAINING_ROWS, WORDS = 20_000, 4_000
+#: Documents that must hold a word before it can be kept.
+LEAST = 4
 PREDICTED_FROM = 0.7
 #: Terms that name groups; those in one line are swapped for each other.
 IDENTITY_TERMS = (
@@ -49,46 +51,64 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(raw + self.intercept, -40, 40)))
 
 
-def _telling_words(words: list[set[str]], y: np.ndarray, most: int) -> list[str]:
-    """Words whose documents are labelled 1 or 0 far from the base rate."""
-    ones, all_ = Counter(), Counter()
-    for own, label in zip(words, y):
-        all_.update(own)
-        if label:
-            ones.update(own)
+class Sample:
+    """Labelled texts as arrays of word hashes; of the texts themselves only sentences that name a group are kept."""
+
+    def __init__(self, terms):
+        self.swaps = {t: [o for o in group if o != t] for group in terms for t in group}
+        self.hashes: list[np.ndarray] = []
+        self.labels: list[int] = []
+        self.named: list[list[set[str]]] = []
+        self.seen: set = set()
+        self.counts: Counter = Counter()
+        self.words: dict[int, str] = {hash_of(t): t for t in self.swaps}
+
+    def add(self, text: str, label: int) -> None:
+        words = set(_WORD.findall(text.lower()))
+        of = {hash_of(w): w for w in words}
+        own = np.sort(np.fromiter(of, np.uint64, len(of)))
+        # near copies of one document must not make its rare words look telling: one for each pair of least hashes
+        if len(own) and (own[0], own[1 % len(own)]) in self.seen:
+            return
+        if len(own):
+            self.seen.add((own[0], own[1 % len(own)]))
+        self.counts.update(of.keys())
+        for h in of:
+            if self.counts[h] == LEAST:
+                self.words[h] = of[h]
+        found = words & self.swaps.keys()
+        self.named.append([s & (self.swaps.keys()) for s in map(set, map(_WORD.findall, _SENTENCE.split(text.lower()))) if s & found] if found else [])
+        self.hashes.append(own)
+        self.labels.append(label)
+
+
+def _telling_words(sample: Sample, y: np.ndarray, most: int) -> list[int]:
+    """Hashes of words whose documents are labelled 1 or 0 far from the base rate."""
     p = y.mean()
-    z = {w: (ones[w] - n * p) / np.sqrt(n * p * (1 - p)) for w, n in all_.items() if n >= 4}
-    return sorted((w for w in z if abs(z[w]) >= 4.5), key=lambda w: (-abs(z[w]), w))[:most]
-
-
-def fit(texts: list[str], y: np.ndarray, terms=IDENTITY_TERMS, most: int = WORDS, fairness: float = 1.0, ridge: float = 0.02, steps: int = 300) -> Model:
-    words = [set(_WORD.findall(t.lower())) for t in texts]
-    # near copies of one document must not make its rare words look telling: one document for each pair of least hashes
-    seen: dict = {}
-    for i, own in enumerate(words):
-        seen.setdefault(tuple(sorted(own, key=lambda w: hash_of(w))[:2]) or i, i)
-    kept = sorted(seen.values())
-    words, texts, y = [words[i] for i in kept], [texts[i] for i in kept], y[kept]
+    ones = Counter(h for own, label in zip(sample.hashes, y) if label for h in own.tolist() if sample.counts[h] >= LEAST)
+    z = {h: (ones[h] - n * p) / np.sqrt(n * p * (1 - p)) for h, n in sample.counts.items() if n >= LEAST}
+    return sorted((h for h in z if abs(z[h]) >= 4.5), key=lambda h: (-abs(z[h]), h))[:most]
+
+
+def fit(sample: Sample, most: int = WORDS, fairness: float = 1.0, ridge: float = 0.02, steps: int = 300) -> Model:
+    y = np.array(sample.labels, float)
     p = (y.sum() + 1) / (len(y) + 2)
     intercept = float(np.log(p / (1 - p)))
     if not len(y) or not 0 < y.sum() < len(y):
         return Model({}, intercept)
-    swaps = {t: [o for o in group if o != t] for group in terms for t in group}
-    vocab = _telling_words(words, y, most)
-    place = {w: k for k, w in enumerate(dict.fromkeys([*vocab, *swaps]))}
-    hits = [sorted(place[w] for w in own & place.keys()) for own in words]
+    place = {h: k for k, h in enumerate(dict.fromkeys([*_telling_words(sample, y, most), *map(hash_of, sample.swaps)]))}
+    known = np.sort(np.array(list(place), np.uint64))
+    hits = [[place[h] for h in own[np.isin(own, known)].tolist()] for own in sample.hashes]
     row = np.repeat(np.arange(len(y)), [len(h) for h in hits])
     col = np.array([k for h in hits for k in h], np.int64)
     # the difference that each swap makes to a labelled sentence, as pairs of columns
-    changes = Counter()
-    for text, own in zip(texts, words):
-        if own & swaps.keys():
-            for sentence in _SENTENCE.split(text.lower()):
-                found = set(_WORD.findall(sentence))
-                for term in found & swaps.keys():
-                    for other in swaps[term]:
-                        if other not in found:
-                            changes[place[term], place[other]] += 1
+    changes: Counter = Counter()
+    for sentences in sample.named:
+        for found in sentences:
+            for term in found:
+                for other in sample.swaps[term]:
+                    if other not in found:
+                        changes[place[hash_of(term)], place[hash_of(other)]] += 1
     away, to = (np.array([c[i] for c in changes], np.int64) for i in (0, 1))
     times = np.array(list(changes.values()), float)
     times = times / max(1.0, times.sum())
@@ -103,8 +123,7 @@ def fit(texts: list[str], y: np.ndarray, terms=IDENTITY_TERMS, most: int = WORDS
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, intercept = w - move[:-1], intercept - move[-1]
-    names = list(place)
-    return Model({names[k]: float(w[k]) for k in np.flatnonzero(np.abs(w) > 1e-3)}, float(intercept))
+    return Model({sample.words[h]: float(w[k]) for h, k in place.items() if abs(w[k]) > 1e-3}, float(intercept))
 
 
 def hash_of(word: str) -> int:
@@ -113,10 +132,12 @@ def hash_of(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode())
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", most: int = TRAINING_ROWS) -> Model:
-    rows = labelled_sample(docs, labels, label, usable, most).toLocalIterator()  # at most `most` rows, one partition at a time
-    own = sorted((r["doc_id"], r["text"], r["y"]) for r in rows)
-    return fit([t for _, t, _ in own], np.array([y for _, _, y in own], float))
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", most: int = TRAINING_ROWS, terms=IDENTITY_TERMS) -> Model:
+    """From at most `most` labelled rows, which the driver takes one partition of the sample at a time."""
+    sample = Sample(terms)
+    for r in labelled_sample(docs, labels, label, usable, most).orderBy("doc_id").toLocalIterator():
+        sample.add(r["text"], r["y"])
+    return fit(sample)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
