@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import dims, text
 from claimweave.operators import claims as claim_ops
-from claimweave.operators import evidence, judgments, scoring, segments, selection
+from claimweave.operators import decisions, evidence, judgments, scoring, segments, selection
 from claimweave.sources import fixtures as fx
 from claimweave.sources import tables
 
@@ -374,3 +374,48 @@ def latest_arrivals(spark, sf_dir):
     """The batch form of the streaming upsert: each user's latest event."""
     rows = fx.read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     return rows.groupBy("user_id").agg(F.max_by(F.struct(*rows.columns), F.struct("ts", "event_id", "event_type", "value")).alias("row")).select("row.*")
+
+
+DECIDED = """l AS (SELECT case_id, claim_number, doc_idx, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY case_id, claim_number ORDER BY distinctive_direct DESC, core_coverage DESC, primary_score DESC, doc_idx) AS INTEGER) AS rank FROM eligible WHERE eligible) WHERE rank <= 5),
+f AS (SELECT case_id, claim_number, arg_min(doc_idx, rank) AS first, count(*) AS candidates FROM l GROUP BY ALL)"""
+
+
+def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dense(spark, sf_dir)
+    return selection.primary_shortlist(selection.eligible_primaries(scoring.primary_scores(rows), selection.core_disclosers(rows)))
+
+
+@query(fx.ctes(ELIGIBLE, DECIDED) + """
+SELECT f.case_id, f.claim_number, CASE WHEN l.rank IS NOT NULL THEN f.case_id % 7 ELSE f.first END AS primary_idx, coalesce(l.rank, 1) AS rank, l.rank IS NOT NULL AND f.case_id % 7 <> f.first AS changed,
+  CASE WHEN l.rank IS NULL THEN 'outside_shortlist' WHEN f.case_id % 7 = f.first THEN 'confirmed' ELSE 'changed' END AS reason FROM f LEFT JOIN l ON l.case_id = f.case_id AND l.claim_number = f.claim_number AND l.doc_idx = f.case_id % 7""")
+def decision_validation(spark, sf_dir):
+    """Every claim's decision proposes document case_id % 7, of which 5 and 6 do not exist."""
+    proposed = fx.claims(spark, sf_dir).select("case_id", "claim_number", (F.col("case_id") % 7).alias("proposed"))
+    return decisions.validated_primary(shortlist(spark, sf_dir), proposed)
+
+
+@query()
+def used_documents(spark, sf_dir):
+    return decisions.used_documents(family_selection(spark, sf_dir))
+
+
+@query("SELECT source, avg(CASE WHEN trim(text) <> '' THEN length(text) END) AS mean_chars, coalesce(avg(CASE WHEN trim(text) <> '' THEN length(text) END), 0) < 100 AS rejected FROM documents GROUP BY source")
+def text_layer_gate(spark, sf_dir):
+    """A source's documents as the pages of one text."""
+    return tables.text_layer_gate(fx.read(spark, sf_dir, "documents"), ["source"], "text")
+
+
+@query("SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn, text)) AS text_hash FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+def joined_pages(spark, sf_dir):
+    """A conversation's turns as the pages of one text."""
+    out = tables.joined_pages(fx.read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
+    return out.select("conv_id", text.text_hash("raw_text").alias("text_hash"))
+
+
+@query("""SELECT doc_id, coalesce(string_agg(DISTINCT CAST(n AS VARCHAR), ',' ORDER BY CAST(n AS VARCHAR)), '') AS outside FROM
+(SELECT doc_id, CASE WHEN n NOT IN (0, 1, 2) THEN n END AS n FROM (SELECT doc_id, unnest(list_append(list_transform(regexp_extract_all(text, '([0-9])\\.', 1), lambda x: CAST(x AS INTEGER)), 0)) AS n FROM documents)) GROUP BY doc_id""")
+def scope_violations(spark, sf_dir):
+    """Digits before a stop as document numbers, of which 0 to 2 are allowed."""
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text", F.array(F.lit(0), F.lit(1), F.lit(2)).alias("allowed"))
+    out = decisions.scope_violations(docs, "text", "allowed", r"([0-9])\.")
+    return out.select("doc_id", F.array_join(F.col("outside").cast("array<string>"), ",").alias("outside"))

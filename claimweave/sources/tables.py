@@ -41,3 +41,16 @@ def case_counters(documents: DataFrame, claims: DataFrame) -> DataFrame:
     d = documents.groupBy("case_id").agg(F.count("*").alias("n_documents"))
     c = claims.groupBy("case_id").agg(F.count("*").alias("n_claims"), F.count_if(F.col("claim_type") == "independent").alias("n_independent"))
     return d.join(c, "case_id", "full").na.fill(0, ["n_documents", "n_claims", "n_independent"])
+
+
+def joined_pages(pages: DataFrame, key: list[str], page: str, text: str) -> DataFrame:
+    """One text for every key: its non-blank pages in order, joined by line ends."""
+    kept = pages.filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
+    return kept.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(page, text))).alias("_p")).select(*key, F.array_join(F.col(f"_p.{text}"), "\n").alias("raw_text"))
+
+
+def text_layer_gate(pages: DataFrame, key: list[str], text: str, least: float = 100.0) -> DataFrame:
+    """Mean characters of a document's non-blank pages, and whether it is rejected as scanned."""
+    size = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) != "", F.length(text))
+    out = pages.groupBy(*key).agg(F.avg(size).alias("mean_chars"))
+    return out.withColumn("rejected", F.coalesce(F.col("mean_chars"), F.lit(0.0)) < least)
