@@ -1,16 +1,17 @@
 """Operator 6: near-duplicates by a signature-coordinate inverted join.
 
 A document is the set of its distinct word shingles; equal sets form one class, and only classes are joined. Each
-class has a MinHash signature of COORDINATES values and is posted under every coordinate-value pair. Pairs posted
-once are skipped. Two classes that agree in MATCHES coordinates agree in one of the rarest of each, so only that
+class has a signature of COORDINATES values, each of MINIMA MinHash minima, and is posted under every
+coordinate-value pair. Pairs posted once are skipped. Two classes that agree in MATCHES coordinates agree in one of the rarest of each, so only that
 prefix of a class's pairs, rarest first, is merged; collisions are then counted over all pairs and candidates
 above the match threshold are confirmed on the full sets.
 
 Groups of any size: within a posting every class is first tried against the posting's smallest class alone.
-Confirmed links give components; then, in each posting, classes of different components are tried against each
-other, all of them but pairs inside the largest component. That leaves no candidate pair of two components untried, and
-no group is ever expanded into all its pairs. A pair of exactly the similarity wanted is missed by the signature
-with a probability of about 1e-4, one well above it practically never.
+Confirmed links give components; then, for PIVOT_ROUNDS, every class outside its posting's largest component is
+tried against one class inside, another one in each posting. What is left is tried in full: in each posting,
+classes of different components against each other, all but pairs inside the largest component. So no candidate
+pair of two components stays untried, and no group of copies is expanded into all its pairs. A pair of exactly 80 % is missed by the signature with a
+probability of about 1e-5, one well above it practically never.
 
 Edge cases: null and blank texts have an empty set and are linked with nothing; a text with fewer words than a
 shingle is one shingle; rows of one id are one row each in the result; rows with a null id take no part and have
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 from claimweave.llm.common import stored
 from claimweave.llm.components import components
 
-#: Length of a signature and how many of its coordinates a candidate must share.
-COORDINATES, MATCHES = 40, 22
-_MULTIPLY, _ADD = np.random.default_rng(20_240_601).integers(0, 2**63, (2, COORDINATES), np.uint64)
+#: Length of a signature, how many of its coordinates a candidate must share, and minima to a coordinate. Coordinates of
+#: several minima are rarely shared by unlike documents, so that postings and candidates grow with the copies alone.
+COORDINATES, MATCHES, MINIMA = 24, 3, 3
+PIVOT_ROUNDS = 1
+_MULTIPLY, _ADD = np.random.default_rng(20_240_601).integers(0, 2**63, (2, COORDINATES * MINIMA), np.uint64)
 _MULTIPLY = _MULTIPLY * np.uint64(2) + np.uint64(1)
 SIGNED = "doc_id long, n_shingles long, set_key binary, signature array<long>"
 
@@ -65,11 +68,16 @@ class Shingler:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """Least value of every coordinate, its number in the low six bits."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+    """A hash of every coordinate's minima, with the coordinate's number in the low five bits."""
+    least = np.full(COORDINATES * MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(own), 8192):
         least = np.minimum(least, (_MULTIPLY[:, None] * own[at : at + 8192] + _ADD[:, None]).min(1))
-    return ((least & ~np.uint64(63)) | np.arange(COORDINATES, dtype=np.uint64)).view(np.int64)
+    least = least.reshape(COORDINATES, MINIMA)
+    out = least[:, 0]
+    for k in range(1, MINIMA):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + least[:, k]
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((out & ~np.uint64(31)) | np.arange(COORDINATES, dtype=np.uint64)).view(np.int64)
 
 
 def signed(docs: DataFrame, shingle: int) -> DataFrame:
@@ -116,6 +124,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
+def _mixed(prefix: DataFrame, found: DataFrame) -> DataFrame:
+    """pair, cid, component and the pair's largest component, for pairs that hold more than one."""
+    placed = prefix.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("pair", "cid", F.coalesce("component", "cid").alias("component"))
+    sizes = placed.groupBy("pair", "component").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("pair").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    return placed.join(several.select("pair", "largest"), "pair")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; documents are linked at `similarity` percent and over."""
     marked = stored(signed(docs, shingle))
@@ -130,11 +146,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
     lists = stored(lists.join(classes.select("cid", "doc_id", "set_key", "n_shingles"), "cid"))
     prefix = lists.select("cid", F.explode(F.slice("pairs", 1, F.size("pairs") - (MATCHES - 1))).alias("pair"))
 
-    # every class against the smallest of its postings
-    first = prefix.groupBy("pair").agg(F.min("cid").alias("b"))
-    star = prefix.join(first, "pair").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
-    star = stored(_candidates(star, lists, similarity))
-
     # the texts of classes with a posting that others share; a row of another text under the same id is none of them
     wanted = prefix.join(prefix.groupBy("pair").count().filter("count > 1"), "pair", "left_semi").select("cid").distinct()
     wanted = lists.join(wanted, "cid", "left_semi").select("cid", "doc_id", "set_key")
@@ -147,22 +158,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
 
     named = docs.select("doc_id", "text").filter("doc_id is not null").join(wanted, "doc_id")
     texts = stored(named.select("cid", "text", "set_key").mapInPandas(own_text, "cid long, text string").dropDuplicates(["cid"]))
-    links = stored(_confirmed(star, texts, shingle, similarity))
-    found = stored(components(links))
+    tested = None
 
-    # classes of different components in one posting, without pairs inside its largest component
-    placed = prefix.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("pair", "cid", F.coalesce("component", "cid").alias("component"))
-    sizes = placed.groupBy("pair", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("pair").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    placed = placed.join(mixed, "pair")
-    others = placed.filter("component <> largest").select("pair", F.col("cid").alias("a"), F.col("component").alias("of_a"))
-    members = placed.select("pair", F.col("cid").alias("b"), F.col("component").alias("of_b"), "largest")
-    rest = others.join(members, "pair").filter("of_a <> of_b and (of_b = largest or a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = stored(_candidates(rest.join(star, ["a", "b"], "left_anti"), lists, similarity))
-    if not rest.isEmpty():
-        links = links.unionByName(stored(_confirmed(rest, texts, shingle, similarity)))
+    def tried(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a > b) that were no candidates before."""
+        nonlocal tested
+        fresh = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
+        fresh = stored(_candidates(fresh, lists, similarity))
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        return stored(_confirmed(fresh, texts, shingle, similarity))
+
+    # every class against the smallest of its postings
+    first = prefix.groupBy("pair").agg(F.min("cid").alias("b"))
+    links = tried(prefix.join(first, "pair").filter("cid <> b").select(F.col("cid").alias("a"), "b"))
+    found = stored(components(links))
+    for r in range(PIVOT_ROUNDS):
+        mixed = _mixed(prefix, found)
+        inside = F.when(F.col("component") == F.col("largest"), F.struct(F.xxhash64("cid", "pair", F.lit(r)).alias("h"), F.col("cid").alias("pivot")))
+        pivots = mixed.groupBy("pair").agg(F.min(inside)["pivot"].alias("pivot"))
+        outside = mixed.filter("component <> largest").join(pivots, "pair")
+        more = tried(outside.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
         found = stored(components(links))
 
+    # all pairs of different components in one posting
+    mixed = _mixed(prefix, found)
+    others = mixed.filter("component <> largest").select("pair", F.col("cid").alias("x"), F.col("component").alias("of_x"))
+    members = mixed.select("pair", F.col("cid").alias("y"), F.col("component").alias("of_y"), "largest")
+    rest = others.join(members, "pair").filter("of_x <> of_y and (of_y = largest or x < y)").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    more = tried(rest)
+    if not more.isEmpty():
+        found = stored(components(links.unionByName(more)))
+
     # component_id: the smallest document of all the component's classes
     of_class = classes.select("set_key", "cid", "doc_id").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("set_key", "doc_id", F.coalesce("component", "cid").alias("component"))
     smallest = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
