@@ -9,7 +9,7 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -83,14 +83,17 @@ class Memo:
         """All ids in order, and how many belong to each key."""
         if len(self.index) > self.most or self.used > 8 * self.most:
             self._clear()
-        codes = list(map(self.index.get, keys))
-        if None in codes:
-            self._learn(list(dict.fromkeys(c for c, k in zip(keys, codes) if k is None)))
-            codes = list(map(self.index.__getitem__, keys))
-        codes = np.array(codes, np.int64)
+        codes = self._codes(keys)
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            self._learn(list(dict.fromkeys([keys[i] for i in new.tolist()])))
+            codes[new] = self._codes([keys[i] for i in new.tolist()])
         lengths = self.lengths[codes]
         return self.ids[spread(self.starts[codes], lengths)], lengths
 
+    def _codes(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+
 
 def per_group(lengths: np.ndarray, sizes: list[int]) -> np.ndarray:
     """Sums of lengths over consecutive groups of the given sizes."""
@@ -99,15 +102,31 @@ def per_group(lengths: np.ndarray, sizes: list[int]) -> np.ndarray:
 
 
 class ChunkEncoder:
-    """Ids of many texts at once, by way of their chunks."""
+    """Ids of many texts at once, by way of their chunks.
+
+    A key without a space stands for the chunk of a space and the key; one that begins with a space stands for the
+    rest of it. So most texts are split at spaces alone; only where a space is followed by white space or nothing
+    is the border looked for.
+    """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: str | None = None):
         gc.disable()  # a worker makes millions of strings and no cycles
-        self.memo, self.special = Memo(encode), special
+        self.encode, self.special = encode, special
+        self.memo = Memo(self._encode_keys)
+
+    def _encode_keys(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode([k[1:] if k[:1] == " " else " " + k for k in keys])
+
+    def _keys(self, text: str) -> list[str]:
+        if not self.special or self.special not in text:
+            first, *rest = text.split(" ")
+            if "" not in rest and not any(map(str.isspace, {k[0] for k in rest})):
+                return [" " + first, *rest]
+        return [c[1:] if c[0] == " " and len(c) > 1 and not c[1].isspace() else " " + c for c in chunks_of(text, self.special)]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many belong to each text."""
-        split = [chunks_of(x, self.special) for x in texts]
+        split = [self._keys(x) for x in texts]
         ids, lengths = self.memo(list(chain.from_iterable(split)))
         return ids, per_group(lengths, list(map(len, split)))
 
