@@ -4,7 +4,8 @@ Every partition packs its own pieces by best-fit decreasing and compares its bin
 bound that dual-feasible functions give. Full bins, and all bins of the last round, are settled. Bins with room
 are opened again: their documents are exchanged through a shuffle into fewer partitions, which pack anew. Rounds
 end when one partition has packed all open pieces, or when the bins over all partitions meet the bound over all
-lengths, which needs one count per length and no more.
+lengths, which needs one count per length and no more, or after eight exchanges (`rounds`): then the last round's
+bins stay as they are, so that no piece is lost but the bin count has no certificate.
 
 Edge cases: a null text is empty and has the closing id alone; repeated rows are packed once for each row; ties go
 to the earlier row; an empty table gives an empty result; extra columns are not read. Any length of text is
@@ -167,17 +168,16 @@ def pack_pieces(pieces: DataFrame, capacity: int, per_partition: int = PER_PARTI
     placed = stored(_packed(pieces, capacity, 0))
     settled = []
     for round_no in range(1, rounds + 1):
-        settled.append(placed.filter("settled"))
         still_open = placed.filter("not settled")
         n, used = still_open.agg(F.count("*"), F.count_distinct("sequence_id")).first()
         if not n or used <= lower_bound(_length_counts(still_open, capacity)):
             break  # the bound certifies that these pieces need as many bins
         partitions = -(-n // per_partition)
+        settled.append(placed.filter("settled"))
         placed = stored(_packed(still_open.repartition(partitions), capacity, round_no))
         if partitions == 1:
-            settled.append(placed.filter("settled"))
             break
-    out = placed.filter("not settled")
+    out = placed  # the last round whole, its full bins too
     for part in settled:
         out = out.unionByName(part)
     return out.drop("settled")

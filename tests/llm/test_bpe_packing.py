@@ -131,3 +131,13 @@ def test_exchange_comes_near_the_bound(spark):
     rows = packing.pack_pieces(df, 1024, per_partition=800).collect()
     n, bound = check_packing(rows, 1024), packing.lower_bound(np.bincount([p[3] for p in pieces], minlength=1025))
     assert len(rows) == len(pieces) and bound <= n <= bound * 1.01 + 1
+
+
+def test_no_piece_is_lost_when_rounds_run_out(spark):
+    rng = random.Random(3)
+    pieces = [(i, 0, 0, rng.randint(260, 500), 0) for i in range(3000)]
+    df = spark.createDataFrame(pieces, packing.PIECES).repartition(4)
+    for rounds in (0, 1, 2, 8):
+        rows = packing.pack_pieces(df, 1024, per_partition=50, rounds=rounds).collect()
+        assert sorted(r["doc_id"] for r in rows) == list(range(len(pieces)))
+        check_packing(rows, 1024)
