@@ -1,8 +1,10 @@
 """Operator 10: language by compression.
 
 For every learned language a zstandard dictionary of raw content is made from a bounded sample of its documents;
-a text's language is that of the dictionary under which the whole text compresses smallest. The score is the
-smallest size's distance from the second, as a share of the second; a text is rejected where it is narrow.
+a text's language is that of the dictionary under which the whole text compresses smallest. Texts are compressed in
+pieces of PIECE bytes, each against the fresh dictionary, and a language's size is the sum over all pieces: a dictionary
+saves about so many bytes once, which would vanish in a long text. The score is the smallest size's distance from the
+second, as a share of the second; a text is rejected where it is narrow.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0 and rejected; ties go to the more frequent
 language; if nothing can be learned every text is `und`; repeated rows get equal answers; empty
@@ -24,6 +26,8 @@ from claimweave.llm.common import fold
 #: Languages learned (the most frequent), documents sampled for each, characters taken of one, bytes of a dictionary.
 LANGUAGES, SAMPLED, TAKEN, DICTIONARY = 256, 400, 2_000, 96_000
 LEVEL, NARROW = 3, 0.01
+#: Bytes of a normalised text that are compressed at a time; the last piece takes the rest.
+PIECE = 16_384
 UNDETERMINED = "und"
 _LETTER, _NO_LETTERS = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
 
@@ -58,7 +62,8 @@ def predict(texts: list[str | None], compressors: list, names: list[str]) -> tup
             langs.append(UNDETERMINED)
             continue
         raw = normal(text)
-        sizes = [len(c.compress(raw)) for c in compressors]
+        parts = [raw[at : at + PIECE] for at in range(0, len(raw), PIECE)]
+        sizes = [sum(len(c.compress(p)) for p in parts) for c in compressors]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         second = min(sizes[:best] + sizes[best + 1 :], default=2 * sizes[best])
         scores[i] = (second - sizes[best]) / second

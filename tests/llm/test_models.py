@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from claimweave.llm import language, quality_model, toxicity, trees
@@ -85,3 +87,18 @@ def test_language_edges(spark):
     assert kept.columns == docs.columns and kept.filter(F.col("doc_id") >= 200).count() == 0
     assert language.predicted_languages(docs.limit(0)).count() == 0
     assert {r["lang_pred"] for r in language.predicted_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_language_of_clean_texts_of_several_megabytes(spark, sf_dir):
+    docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text", "lang").filter("lang is not null and text is not null")
+    long = []
+    for k, lang in enumerate(["de", "en", "es", "fr"]):
+        held = docs.filter((F.col("lang") == lang) & (F.col("doc_id") % 5 == 0)).orderBy("doc_id").limit(200).collect()
+        words = " ".join(r["text"] for r in held).split()
+        # drawn anew, so that no long copies of itself make a text short
+        long.append((-1 - k, " ".join(random.Random(k).choices(words, k=500_000)), None, lang))
+    given = spark.createDataFrame([r[:3] for r in long], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language.accepted_documents(docs.unionByName(given)).filter("doc_id < 0").collect()}
+    assert kept == {r[0] for r in long}
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predicted_languages(docs.unionByName(given)).filter("doc_id < 0").collect()}
+    assert got == {r[0]: r[3] for r in long}
