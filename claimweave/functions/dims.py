@@ -29,6 +29,7 @@ CORE_IMPORTANCE = 4
 ELIGIBLE_RATIO, ELIGIBLE_MARGIN = 0.72, 0.10
 SHORTLIST, SECONDARY_SHORTLIST, FORCED_SIMILARITY = 5, 4, 0.85
 REUSE_TIEBREAK = 2.0
+EXPLICIT_RISKS = ("contrary_teaching", "principle_change", "incompatible")
 
 
 def _reading(k: int, code: Column | str) -> Column:

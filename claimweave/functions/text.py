@@ -19,6 +19,15 @@ BRACKETS_AND_MARKS = "[\\[\\]【】()（）,.;:\"'“”‘’<>]"
 URL = r"(?i)https?://[^\s)<>\]]+"
 DOCUMENT_ID = r"(?i)\b(?:US|WO|EP|KR|JP|CN)\s*[-/]?\s*\d{4,}[A-Z]\d?\b|\barXiv\s*:?\s*\d{4}\.\d{4,5}(?:v\d+)?\b|\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b"
 MAX_KEYWORDS = 80
+#: Technical clusters of elements in the order in which they are tried; the rest is generic.
+CLUSTERS = {
+    "control": "mode|control|controller|process|processing|determin|detect|decision|switch|select|convert|generate|output|adaptive|luminance|remosaic|binning|depth|제어|판단|검출|모드|처리|생성|출력|변환|선택|스위칭|적응",
+    "sensor": "sensor|pixel|array|filter|photodiode|image sensor|센서|픽셀|어레이|필터|포토다이오드",
+    "signal": "signal|data|readout|sampling|demultiplex|map|신호|데이터|샘플링|역다중화|맵",
+    "mechanical": "motor|wheel|gear|shaft|hinge|구동축|기어|휠|모터|힌지",
+    "io": "display|transmit|receive|interface|memory|storage|표시|송신|수신|인터페이스|메모리|저장",
+}
+GENERIC = "generic"
 
 
 def _c(text: Column | str) -> Column:
@@ -30,6 +39,14 @@ def normalized_text(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(_c(text), BRACKETS_AND_MARKS, " "), r"\s+", " "))
 
 
+def element_cluster(text: Column | str) -> Column:
+    """The first cluster that has a word in the text, else generic."""
+    out = F.lit(GENERIC)
+    for name, words in reversed(CLUSTERS.items()):
+        out = F.when(_c(text).rlike(f"(?iu)(?:{words})"), name).otherwise(out)
+    return out
+
+
 def text_hash(text: Column | str) -> Column:
     return F.sha2(_c(text), 256)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.functions import dims
+from claimweave.functions import dims, text
 
 CLAIM = ["case_id", "claim_number"]
 PAIR = [*CLAIM, "doc_idx"]
@@ -43,10 +43,17 @@ def metric_factor() -> Column:
 
 
 def dense(cells: DataFrame, elements: DataFrame, documents: DataFrame) -> DataFrame:
-    """Every element of every claim against every document of its case; what was not judged is none and absent."""
-    read = cells.select(*PAIR, "label", "judgment", "directness", "has_quote", "has_location", "has_reason", "missing_count", "evidence_count", F.lit(False).alias("not_evaluated"))
+    """Every element of every claim against every document of its case; what was not judged is none and absent.
+
+    motivation_quote and combination_risk of cells and text of elements are read where they are given; without them
+    no pair has a motivation or an explicit risk, and every element is of the generic cluster.
+    """
+    motivated = F.coalesce(F.col("motivation_quote").rlike(r"\S"), F.lit(False)) if "motivation_quote" in cells.columns else F.lit(False)
+    risky = F.coalesce(F.lower(F.regexp_replace("combination_risk", r"^\s+|\s+$", "")).isin(*dims.EXPLICIT_RISKS), F.lit(False)) if "combination_risk" in cells.columns else F.lit(False)
+    elements = elements.withColumn("cluster", text.element_cluster("text") if "text" in elements.columns else F.lit(text.GENERIC))
+    read = cells.select(*PAIR, "label", "judgment", "directness", "has_quote", "has_location", "has_reason", "missing_count", "evidence_count", F.lit(False).alias("not_evaluated"), motivated.alias("motivated"), risky.alias("risky"))
     out = elements.join(documents, "case_id").join(read, [*PAIR, "label"], "left")
-    blank = {"judgment": "none", "directness": "absent", "has_quote": False, "has_location": False, "has_reason": False, "missing_count": 0, "evidence_count": 0, "not_evaluated": True}
+    blank = {"judgment": "none", "directness": "absent", "has_quote": False, "has_location": False, "has_reason": False, "missing_count": 0, "evidence_count": 0, "not_evaluated": True, "motivated": False, "risky": False}
     out = out.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in blank.items()})
     out = out.withColumns({"gap_rank": dims.gap_rank(), "item_sim": item_similarity()})
     return out.withColumns({"direct_sim": direct_similarity(), "selection_factor": selection_factor(), "metric_factor": metric_factor()})
@@ -168,7 +175,11 @@ def _against(rows: DataFrame, weights: DataFrame | None) -> DataFrame:
 
 
 def secondary_scores(rows: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """What every document adds to every other as primary: gains, fills and the reason of a combination."""
+    """What every document adds to every other as primary: gains, fills and the reason of a combination.
+
+    risky marks a document with an explicit risk at any target: it takes no part in a combination. The score falls only
+    for risks at targets that it reaches.
+    """
     m = _against(rows, weights)
     hard = F.col("gap") == "hard"
     w = F.when(hard, F.col("weight")).otherwise(F.col("weight") * 0.65)
@@ -176,6 +187,7 @@ def secondary_scores(rows: DataFrame, weights: DataFrame | None = None) -> DataF
     rank = F.col("gap_rank")
     filled = F.when(hard & (rank >= dims.FILL) | ~hard & (rank >= dims.IMPROVE), F.col("label"))
     reached = dims.similarity() >= 0.35
+    clusters = [*text.CLUSTERS, text.GENERIC]
     g = m.groupBy(*CLAIM, "primary_idx", "doc_idx").agg(
         F.sum(w).alias("den"),
         F.sum(w * gain).alias("gain"),
@@ -188,6 +200,10 @@ def secondary_scores(rows: DataFrame, weights: DataFrame | None = None) -> DataF
         F.count("*").alias("targets"),
         F.count_if(reached).alias("reached"),
         F.sum(F.when(reached, w).otherwise(0.0)).alias("reached_w"),
+        *[F.sum(F.when(reached & (F.col("cluster") == c), w).otherwise(0.0)).alias(f"in_{c}") for c in clusters],
+        F.sum(F.when(reached & F.col("motivated"), w).otherwise(0.0)).alias("motivated_w"),
+        F.count_if(reached & F.col("risky")).alias("reached_risks"),
+        F.bool_or("risky").alias("risky"),
         F.sum(F.when(hard & F.col("is_distinctive") & F.col("has_quote"), F.col("weight") * gain).otherwise(0.0)).alias("critical_gain"),
         F.sum(F.when(hard & (rank >= dims.FILL), rank * F.col("weight")).otherwise(0.0)).alias("complement_score"),
         F.sum(F.when(~hard & (rank >= dims.IMPROVE), rank * F.col("weight")).otherwise(0.0)).alias("soft_score"),
@@ -196,15 +212,17 @@ def secondary_scores(rows: DataFrame, weights: DataFrame | None = None) -> DataF
     base = 100 * (0.60 * F.col("gain") / F.col("den") + 0.20 * F.col("residual") / F.col("den") + 0.20 * F.col("evidence") / F.col("den"))
     g = g.withColumn("base_score", base)
     penalty = F.when((F.col("targets") >= 3) & (F.col("reached") <= 1) & (F.col("base_score") > 0), F.least(F.lit(12.0), 8.0 + 0.06 * F.col("base_score"))).otherwise(0.0)
-    # without cluster columns all targets are of the generic cluster: consistency is 1 from two reached targets on
-    consistency = F.when(F.col("reached") >= 2, 1.0).otherwise(0.0)
-    adjusted = F.col("base_score") + 8.0 * F.col("reached_w") / F.col("den") + 7.0 * consistency - penalty
+    consistency = F.when((F.col("reached") >= 2) & (F.col("reached_w") > 0), F.greatest(*[F.col(f"in_{c}") for c in clusters]) / F.col("reached_w")).otherwise(0.0)
+    motivation = F.col("motivated_w") / F.col("den")
+    risk = F.when(F.col("reached_risks") > 0, 40.0).otherwise(0.0)
+    adjusted = F.col("base_score") + 8.0 * F.col("reached_w") / F.col("den") + 7.0 * consistency + 3.0 * motivation - penalty - risk
     reason = F.when(F.col("hard_fill") > 0, "hard").when(F.col("soft_fill") > 0, "soft").when(F.col("evidence") > 0, "support")
     return g.select(
         *CLAIM, "primary_idx", "doc_idx",
         dims.settled(F.col("base_score")).alias("base_score"), dims.settled(adjusted).alias("adjusted_score"), dims.settled(F.col("critical_gain")).alias("critical_gain"),
         F.coalesce(reason, F.lit("")).alias("reason"), *[F.col(x).cast("long").alias(x) for x in ("hard_fill", "soft_fill", "specific_fill", "filled_labels")],
         *[dims.settled(F.col(x)).alias(x) for x in ("complement_score", "soft_score", "support_score")],
+        "risky",
     )
 
 

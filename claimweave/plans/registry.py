@@ -141,7 +141,7 @@ q AS (SELECT case_id, claim_number, primary_idx, doc_idx, sum(w) AS den, 100 * (
 SELECT case_id, claim_number, primary_idx, doc_idx, round(base + 1e-11, 9) AS base_score, round(base + 8 * rw / den + CASE WHEN reached >= 2 THEN 7 ELSE 0 END - CASE WHEN targets >= 3 AND reached <= 1 AND base > 0 THEN least(12.0::DOUBLE, 8 + 0.06 * base) ELSE 0 END + 1e-11, 9) AS adjusted_score,
   round(cg + 1e-11, 9) AS critical_gain, CASE WHEN hard_fill > 0 THEN 'hard' WHEN soft_fill > 0 THEN 'soft' WHEN ev > 0 THEN 'support' ELSE '' END AS reason, hard_fill, soft_fill, specific_fill, filled_labels, round(complement_score + 1e-11, 9) AS complement_score, round(soft_score + 1e-11, 9) AS soft_score, round(support_score + 1e-11, 9) AS support_score FROM q""")
 def secondary_score(spark, sf_dir):
-    return scoring.secondary_scores(dense(spark, sf_dir))
+    return scoring.secondary_scores(dense(spark, sf_dir)).drop("risky")
 
 
 @query(fx.ctes("""each AS (SELECT case_id, claim_number, label, importance, max(item_sim) FILTER (doc_idx = 0) AS p, max(item_sim) AS c, bool_or(gap_rank >= 4 AND missing_count = 0) AS whole, max(gap_rank) AS r FROM scored WHERE doc_idx <= 1 GROUP BY ALL)""") + """

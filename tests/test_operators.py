@@ -1,9 +1,11 @@
 """Small hand-made cases for the operators of the evidence engine."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from claimweave.functions import dims, text
-from claimweave.operators import claims, evidence, judgments, scoring, segments
+from claimweave.operators import claims, evidence, judgments, scoring, segments, selection
 from claimweave.sources import tables
 from claimweave.streaming import upserts
 
@@ -137,3 +139,63 @@ def test_document_order(spark):
     manifest = spark.createDataFrame([("c", "z", 0), ("c", "gone", 1), ("c", "z", 2)], "case_id string, filename string, position int")
     got = {r["filename"]: r["doc_idx"] for r in tables.document_order(files, manifest).collect()}
     assert got == {"z": 0, "a": 1, "b": 2}
+
+
+def test_element_clusters(spark):
+    texts = {"a Controller of pixels": "control", "a PIXEL signal": "sensor", "data bus": "signal", "a hinge": "mechanical", "a memory": "io", "제어 신호": "control", "a plate": "generic", None: "generic", "": "generic"}
+    assert {t: one(spark, t, text.element_cluster("t")) for t in texts} == texts
+
+
+ELEMENT_TEXTS = {"A": "a controller", "B": "a pixel", "C": "a memory", "D": "a switch", "E": "a plate"}
+
+
+def combined(spark, cells):
+    """(doc, label, judgment, motivation, risk) as a dense matrix whose elements have texts; every cell is quoted."""
+    df = spark.createDataFrame(cells, "doc_idx long, label string, judgment string, motivation_quote string, combination_risk string")
+    df = df.select("*", F.lit(1).cast("long").alias("case_id"), F.lit(1).cast("long").alias("claim_number"), F.lit("direct").alias("directness"), *[F.lit(True).alias(x) for x in ("has_quote", "has_location", "has_reason")], *[F.lit(0).alias(x) for x in ("missing_count", "evidence_count")])
+    rows = [(1, 1, x, 1 + k, t, False, False, False) for k, (x, t) in enumerate(ELEMENT_TEXTS.items())]
+    elements = spark.createDataFrame(rows, "case_id long, claim_number long, label string, importance int, text string, is_distinctive boolean, is_generic boolean, is_simple boolean")
+    return scoring.dense(df, elements, df.select("case_id", "doc_idx").distinct())
+
+
+def test_secondary_scores_have_motivation_risk_and_cluster_terms(spark):
+    rng, codes = random.Random(4), list(dims.JUDGMENTS)
+    cells = [(d, x, rng.choice(codes), rng.choice([None, "", " ", "so that"]), rng.choice([None, "none_explicit", "uncertain", "uncertain", " Contrary_Teaching "])) for d in range(9) for x in ELEMENT_TEXTS if rng.random() < 0.9]
+    by = {(c[0], c[1]): c[2:] for c in cells}
+    cluster = {"A": "control", "B": "sensor", "C": "io", "D": "control", "E": "generic"}
+    got = scoring.secondary_scores(combined(spark, cells)).collect()
+    seen = set()
+    for r in got:
+        den = filled = motivated = 0.0
+        targets, risks, reached_risks, groups = 0, 0, 0, {}
+        for k, x in enumerate(ELEMENT_TEXTS):
+            rank = dims.JUDGMENTS[by.get((r["primary_idx"], x), ("none",))[0]][0]
+            if rank > 3:
+                continue
+            w = (1 + k) * (1 if rank < 3 else 0.65)
+            judgment, motivation, risk = by.get((r["doc_idx"], x), ("none", None, None))
+            den, targets, explicit = den + w, targets + 1, (risk or "").strip().lower() == "contrary_teaching"
+            risks += explicit
+            if dims.JUDGMENTS[judgment][2] >= 0.35:
+                filled, groups[cluster[x]], reached_risks = filled + w, [*groups.get(cluster[x], []), w], reached_risks + explicit
+                motivated += w * bool((motivation or "").strip())
+        n = sum(map(len, groups.values()))
+        consistency = max(map(sum, groups.values())) / filled if n >= 2 else 0.0
+        penalty = min(12.0, 8.0 + 0.06 * r["base_score"]) if targets >= 3 and n <= 1 and r["base_score"] > 0 else 0.0
+        want = r["base_score"] + 8 * filled / den + 7 * consistency + 3 * motivated / den - penalty - 40 * (reached_risks > 0)
+        assert abs(r["adjusted_score"] - want) < 1e-6 and r["risky"] == (risks > 0)
+        seen.add((0 < consistency < 1, motivated > 0, reached_risks > 0))
+    assert len(got) > 50 and {x[k] for x in seen for k in range(3) if x[k]} == {True} and len(seen) > 4
+
+
+def test_a_document_with_an_explicit_risk_is_no_support(spark):
+    primary = [(0, x, "identical" if x in "ADE" else "none", None, None) for x in ELEMENT_TEXTS]
+    led_by_0 = spark.createDataFrame([(1, 1, 0)], "case_id long, claim_number long, proposed long")
+    better = [(1, x, "identical", None, "incompatible" if x == "B" else None) for x in "BC"]
+    weaker = [(2, x, "substantially_identical", None, None) for x in "BC"]
+    none = spark.createDataFrame([], "case_id long, root long, doc_idx long, reuse double")
+    for doc, cells in ((2, [*primary, *better, *weaker]), (1, [*primary, *[(*c[:4], None) for c in better], *weaker])):
+        rows = combined(spark, cells)
+        first = selection.secondary_shortlist(scoring.secondary_scores(rows)).filter("primary_idx = 0 and rank = 1").first()
+        best = selection.selected_pairs(rows, none, led_by_0).first()
+        assert first["doc_idx"] == doc and (best["primary_idx"], best["secondary_idx"]) == (0, doc)
