@@ -1,7 +1,8 @@
 """Operator 4: best-fit packing with certified bin counts.
 
-Every partition packs its own pieces by best-fit decreasing and compares its bin count with the largest lower
-bound that dual-feasible functions give. Full bins, and all bins of the last round, are settled. Bins with room
+Every partition packs its own pieces by best-fit decreasing. The bin count over all partitions is compared, once a
+round, with the largest lower bound that dual-feasible functions give; single partitions are not certified. Full
+bins, and all bins of the last round, are settled. Bins with room
 are opened again: their documents are exchanged through a shuffle into fewer partitions, which pack anew. Rounds
 end when one partition has packed all open pieces, or when the bins over all partitions meet the bound over all
 lengths, which needs one count per length and no more, or after eight exchanges (`rounds`): then the last round's
