@@ -2,20 +2,29 @@
 
 A document is the set of its distinct word shingles; equal sets form one class, and only classes are joined. Each
 class has a signature of COORDINATES values, each of MINIMA MinHash minima, and is posted under every
-coordinate-value pair. Pairs posted once are skipped. Two classes that agree in MATCHES coordinates agree in one of the rarest of each, so only that
-prefix of a class's pairs, rarest first, is merged; collisions are then counted over all pairs and candidates
-above the match threshold are confirmed on the full sets.
+coordinate-value pair. Pairs posted once are skipped. Two classes that agree in MATCHES coordinates agree in one of
+the rarest of each, so only that prefix of a class's pairs, rarest first, is merged.
 
-Groups of any size: within a posting every class is first tried against the posting's smallest class alone.
-Confirmed links give components; then, for PIVOT_ROUNDS, every class outside its posting's largest component is
-tried against one class inside, another one in each posting. What is left is tried in full: in each posting,
-classes of different components against each other, all but pairs inside the largest component. So no candidate
-pair of two components stays untried, and no group of copies is expanded into all its pairs. A pair of exactly 80 % is missed by the signature with a
-probability of about 1e-5, one well above it practically never.
+No posting is expanded into all its pairs, however many copies it holds:
+
+1. Every class of a posting is held against the posting's pivot, the class whose pairs are shared most. Their full
+   sets give the link and the difference, the shingles that only one of the two has. Postings of one pivot are one group.
+2. Two classes that both link to the pivot are in one component already. For any other two, the differences d(y) and
+   d(z) to the pivot decide: the sets of y and z differ in |d(y)| + |d(z)| - 2 |d(y) & d(z)| shingles. If z is not
+   linked to the pivot, a link of y and z asks that they share more than four ninths of d(y) at 80 %, the more, the
+   farther z is. So differences are joined inverted too, by a prefix of the rarest shingles of each: y's prefix
+   shortens with the level of z's distance, and shingles that one member alone differs in are skipped. In a group of
+   copies with edits of their own little but those is left of a prefix.
+3. The pairs so found are retained if their signatures collide MATCHES times, and confirmed on the full differences.
+
+The second join finds every pair that the full sets link, so that no candidate of a posting stays untried. Its rows
+grow with edits that unlinked members share, not with the pairs of a group. A pair of exactly 80 % is missed by the
+signature with a probability of about 1e-5, one well above it practically never.
 
 Edge cases: null and blank texts have an empty set and are linked with nothing; a text with fewer words than a
 shingle is one shingle; rows of one id are one row each in the result; rows with a null id take no part and have
-a null component; an empty table gives an empty result; extra columns are not read.
+a null component; an empty table gives an empty result; extra columns are not read. Keys that many classes share are
+split by the adaptive skew join; counts and minima are aggregated before they are shuffled.
 """
 
 from __future__ import annotations
@@ -34,7 +43,8 @@ from claimweave.llm.components import components
 #: Length of a signature, how many of its coordinates a candidate must share, and minima to a coordinate. Coordinates of
 #: several minima are rarely shared by unlike documents, so that postings and candidates grow with the copies alone.
 COORDINATES, MATCHES, MINIMA = 24, 3, 3
-PIVOT_ROUNDS = 1
+#: Steps of distance for each doubling, by which prefixes of differences shorten.
+STEPS = 2
 _MULTIPLY, _ADD = np.random.default_rng(20_240_601).integers(0, 2**63, (2, COORDINATES * MINIMA), np.uint64)
 _MULTIPLY = _MULTIPLY * np.uint64(2) + np.uint64(1)
 SIGNED = "doc_id long, n_shingles long, set_key binary, signature array<long>"
@@ -97,39 +107,51 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").filter("doc_id is not null").mapInPandas(run, SIGNED)
 
 
-def _candidates(pairs: DataFrame, lists: DataFrame, similarity: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose signatures collide MATCHES times."""
-    a, b = (lists.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("pairs").alias(f"pairs_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    fits = 100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    return both.filter(fits & (F.size(F.array_intersect("pairs_a", "pairs_b")) >= MATCHES)).select("a", "b")
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    a, b = (texts.select(F.col("cid").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, known, held = Shingler(shingle), None, np.empty(0, np.uint64)
-        for batch in batches:
-            keep = []
-            for cid, text_a, text_b in zip(batch["b"], batch["text_a"], batch["text_b"]):
-                if cid != known:
-                    known, held = cid, shingler(text_b)
-                own = shingler(text_a)
-                both = len(np.intersect1d(own, held, assume_unique=True))
-                keep.append(100 * both >= similarity * (len(own) + len(held) - both))
-            yield batch.loc[keep, ["a", "b"]]
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
-
+def _apart(star: DataFrame, sets: DataFrame, lists: DataFrame, similarity: int) -> DataFrame:
+    """Every member of a group with its difference to the pivot: pivot, cid, pairs, differ, far, n, n_p, w.
 
-def _mixed(prefix: DataFrame, found: DataFrame) -> DataFrame:
-    """pair, cid, component and the pair's largest component, for pairs that hold more than one."""
-    placed = prefix.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("pair", "cid", F.coalesce("component", "cid").alias("component"))
-    sizes = placed.groupBy("pair", "component").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("pair").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-    return placed.join(several.select("pair", "largest"), "pair")
+    With a = 100 + similarity and b = 100 - similarity, two sets link where a * |difference| <= b * (sum of sizes).
+    So a member links to the pivot where w = a * far - b * n is at most b * n_p, and y to z where
+    2 * a * |d(y) & d(z)| >= w(y) + w(z).
+    """
+    a, b = 100 + similarity, 100 - similarity
+    pivots = sets.select(F.col("cid").alias("pivot"), F.col("own").alias("own_p"))
+    both = star.join(sets, "cid").join(lists.select("cid", "pairs"), "cid").join(pivots, "pivot")
+    differ = F.concat(F.array_except("own", "own_p"), F.array_except("own_p", "own"))
+    out = both.select("pivot", "cid", "pairs", differ.alias("differ"), F.size("own").alias("n"), F.size("own_p").alias("n_p"))
+    return out.withColumn("far", F.size("differ")).withColumn("w", F.expr(f"cast({a} * far - {b} * n as long)"))
+
+
+def _unlinked_pairs(apart: DataFrame, similarity: int) -> DataFrame:
+    """pivot, y, z: pairs whose differences may overlap enough; at least z is not linked to the pivot, and y is no farther."""
+    a, b = 100 + similarity, 100 - similarity
+    beyond = F.expr(f"w - {b} * n_p")
+    level = F.when(beyond > 0, F.greatest(F.lit(0), F.floor(F.log2(beyond / b) * STEPS)).cast("int"))
+    placed = apart.withColumn("level", level)
+    facts = placed.groupBy("pivot").agg(F.min("w").alias("lowest"), F.max("level").alias("top")).filter("top is not null")
+    keys = ["pivot", "cid", "far", "w", "n_p", "level", "lowest", "top"]
+    parts = placed.join(facts, "pivot").select(*keys, F.explode("differ").alias("e"))
+    shared = parts.groupBy("pivot", "e").agg(F.count("*").alias("f")).filter("f > 1")
+    ranked = parts.join(shared, ["pivot", "e"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("ranked"))
+    # those that no other member differs in come first and are posted nowhere
+    ranked = stored(ranked.select(*keys, F.expr("far - size(ranked)").alias("singles"), F.posexplode("ranked.e").alias("at", "e")).withColumn("at", F.expr("singles + at")))
+    # the least that z's w can be at a level (one less, for the rounding of the logarithm), and the overlap it asks of y
+    least = f"greatest(1, cast(floor({b} * pow(2, l / {STEPS}D)) as long) - 1)"
+    fits = f"at <= far - greatest(1, cast(ceil((w + greatest(w, {b} * n_p + {least})) / {2 * a}D) as long))"
+    levels = F.expr(f"filter(sequence(coalesce(level, 0), top), l -> {fits})")
+    near = ranked.select("pivot", "e", F.col("cid").alias("y"), F.col("w").alias("w_y"), F.explode(levels).alias("level"))
+    far = ranked.filter(f"level is not null and at <= far - greatest(1, cast(ceil((w + lowest) / {2 * a}D) as long))")
+    far = far.select("pivot", "e", "level", F.col("cid").alias("z"), F.col("w").alias("w_z"))
+    return near.join(far, ["pivot", "level", "e"]).filter("struct(w_y, y) < struct(w_z, z)").select("pivot", "y", "z").distinct()
+
+
+def _confirmed(pairs: DataFrame, apart: DataFrame, similarity: int) -> DataFrame:
+    """Links among the pairs: signatures that collide often enough, then full differences."""
+    y, z = (apart.select("pivot", F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("pairs", "differ", "w")]) for x in "yz")
+    both = pairs.join(y, ["pivot", "y"]).join(z, ["pivot", "z"])
+    retained = both.filter(F.size(F.array_intersect("pairs_y", "pairs_z")) >= MATCHES)
+    overlap = F.size(F.array_intersect("differ_y", "differ_z"))
+    return retained.filter(2 * (100 + similarity) * overlap >= F.col("w_y") + F.col("w_z")).select(F.col("y").alias("a"), F.col("z").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
@@ -141,56 +163,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
     # postings, and the list of every class that could match: its shared pairs, rarest first
     posted = classes.select("cid", F.explode("signature").alias("pair"))
     shared = posted.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1")
-    lists = posted.join(shared, "pair").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("pairs"))
+    lists = posted.join(shared, "pair").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("pairs"), F.sum("n").alias("shares"))
     lists = lists.filter(F.size("pairs") >= MATCHES).withColumn("pairs", F.col("pairs.pair"))
     lists = stored(lists.join(classes.select("cid", "doc_id", "set_key", "n_shingles"), "cid"))
-    prefix = lists.select("cid", F.explode(F.slice("pairs", 1, F.size("pairs") - (MATCHES - 1))).alias("pair"))
+    prefix = lists.select("cid", "shares", F.explode(F.slice("pairs", 1, F.size("pairs") - (MATCHES - 1))).alias("pair"))
+
+    # every class of a posting against the one whose pairs are shared most
+    pivots = prefix.groupBy("pair").agg(F.max(F.struct("shares", "cid"))["cid"].alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    star = stored(prefix.join(pivots, "pair").filter("cid <> pivot").select("pivot", "cid").distinct())
 
-    # the texts of classes with a posting that others share; a row of another text under the same id is none of them
-    wanted = prefix.join(prefix.groupBy("pair").count().filter("count > 1"), "pair", "left_semi").select("cid").distinct()
+    # the sets of these classes; a row of another text under the same id is none of them
+    wanted = star.select("cid").union(star.select("pivot")).distinct()
     wanted = lists.join(wanted, "cid", "left_semi").select("cid", "doc_id", "set_key")
 
-    def own_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def own_set(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(shingle)
         for b in batches:
-            keys = [xxhash.xxh3_128_digest(shingler(t).tobytes()) for t in b["text"]]
-            yield b.loc[[k == bytes(w) for k, w in zip(keys, b["set_key"])], ["cid", "text"]]
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                own = [shingler(t) for t in part["text"]]
+                meant = [xxhash.xxh3_128_digest(s.tobytes()) == bytes(w) for s, w in zip(own, part["set_key"])]
+                yield pd.DataFrame({"cid": part["cid"][meant], "own": [s.view(np.int64) for s, m in zip(own, meant) if m]})
 
     named = docs.select("doc_id", "text").filter("doc_id is not null").join(wanted, "doc_id")
-    texts = stored(named.select("cid", "text", "set_key").mapInPandas(own_text, "cid long, text string").dropDuplicates(["cid"]))
-    tested = None
-
-    def tried(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a > b) that were no candidates before."""
-        nonlocal tested
-        fresh = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = stored(_candidates(fresh, lists, similarity))
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        return stored(_confirmed(fresh, texts, shingle, similarity))
-
-    # every class against the smallest of its postings
-    first = prefix.groupBy("pair").agg(F.min("cid").alias("b"))
-    links = tried(prefix.join(first, "pair").filter("cid <> b").select(F.col("cid").alias("a"), "b"))
-    found = stored(components(links))
-    for r in range(PIVOT_ROUNDS):
-        mixed = _mixed(prefix, found)
-        inside = F.when(F.col("component") == F.col("largest"), F.struct(F.xxhash64("cid", "pair", F.lit(r)).alias("h"), F.col("cid").alias("pivot")))
-        pivots = mixed.groupBy("pair").agg(F.min(inside)["pivot"].alias("pivot"))
-        outside = mixed.filter("component <> largest").join(pivots, "pair")
-        more = tried(outside.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")))
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        found = stored(components(links))
-
-    # all pairs of different components in one posting
-    mixed = _mixed(prefix, found)
-    others = mixed.filter("component <> largest").select("pair", F.col("cid").alias("x"), F.col("component").alias("of_x"))
-    members = mixed.select("pair", F.col("cid").alias("y"), F.col("component").alias("of_y"), "largest")
-    rest = others.join(members, "pair").filter("of_x <> of_y and (of_y = largest or x < y)").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    more = tried(rest)
-    if not more.isEmpty():
-        found = stored(components(links.unionByName(more)))
+    sets = stored(named.select("cid", "text", "set_key").mapInPandas(own_set, "cid long, own array<long>").dropDuplicates(["cid"]))
+    apart = stored(_apart(star, sets, lists, similarity))
+    linked = apart.filter(f"w <= {100 - similarity} * n_p").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
+    found = stored(components(linked.unionByName(_confirmed(_unlinked_pairs(apart, similarity), apart, similarity))))
 
     # component_id: the smallest document of all the component's classes
     of_class = classes.select("set_key", "cid", "doc_id").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("set_key", "doc_id", F.coalesce("component", "cid").alias("component"))

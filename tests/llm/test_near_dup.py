@@ -80,3 +80,31 @@ def test_whole_fixture_against_all_pairs(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(df, 2).select("*", F.lit(1)).collect())
     assert got == brute(docs, 2)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_drifting_copies_around_the_threshold(spark, seed):
+    """One large group: copies with few and many edits, copies of far copies, a second cloud, deletions and insertions."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+
+    def edited(words, n):
+        out = list(words)
+        for _ in range(n):
+            at, kind = rng.randrange(len(out)), rng.random()
+            out[at : at + (kind < 0.8)] = [] if 0.6 < kind < 0.8 else [rng.choice(vocabulary)]
+        return out
+
+    base = [rng.choice(vocabulary) for _ in range(90)]
+    texts = [edited(base, rng.choice([1, 2, 4, 6, 8, 10, 14])) for _ in range(260)]
+    texts += [edited(rng.choice(texts), rng.choice([1, 3, 5])) for _ in range(120)]
+    second = edited(base, 16)
+    texts += [edited(second, rng.choice([1, 3, 6, 8])) for _ in range(80)]
+    rng.shuffle(texts)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for size in (2, 5):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(df, size).collect())
+        expected = brute(docs, size)
+        assert len({r[2] for r in expected}) > 20
+        assert got == expected
