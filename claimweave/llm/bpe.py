@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from claimweave.llm.segments import ChunkEncoder, Memo, grouped, per_group, spread
+from claimweave.llm.segments import ChunkEncoder, Memo, grouped, per_group, spread, without_gc
 
 NONE = np.int64(1 << 40)
 LONG, CELLS = 256, 1 << 19
@@ -231,7 +231,7 @@ def encoded_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
         for batch in batches:
             yield _digests(batch, bpe, encoder)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(without_gc(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -250,7 +250,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text") ->
             col = pa.array([np.concatenate(p) if p else np.empty(0, np.int32) for p in parts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, col], [*batch.schema.names, "ids"])
 
-    return docs.drop("ids").mapInArrow(run, schema)
+    return docs.drop("ids").mapInArrow(without_gc(run), schema)
 
 
 def decode(ids: DataFrame, rank_path: str, pattern: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Operator 4: best-fit packing with certified bin counts.
 
-Every partition packs its own pieces by best-fit decreasing. The bin count over all partitions is compared, once a
-round, with the largest lower bound that dual-feasible functions give; single partitions are not certified. Full
-bins, and all bins of the last round, are settled. Bins with room
-are opened again: their documents are exchanged through a shuffle into fewer partitions, which pack anew. Rounds
-end when one partition has packed all open pieces, or when the bins over all partitions meet the bound over all
-lengths, which needs one count per length and no more, or after eight exchanges (`rounds`): then the last round's
-bins stay as they are, so that no piece is lost but the bin count has no certificate.
+Every partition packs its own pieces by best-fit decreasing and compares its bin count with the largest lower bound
+that dual-feasible functions give for its own lengths. A partition that meets its bound is certified: its bins are
+settled, all but the emptiest, whose pieces may still fill gaps elsewhere. Of a partition with a gap only the full
+bins are settled. All other pieces are exchanged through a shuffle into fewer partitions, which pack anew and are
+certified in their turn. Rounds end when the open bins of all partitions together meet the bound of all open
+lengths, which needs one count per length and no more, when one partition has packed all open pieces, or when a
+round no longer saves one open bin in WORTH; then the better of the last two placements stays. No round ever drops
+a piece, and `rounds` may bound them.
 
 Edge cases: a null text is empty and has the closing id alone; repeated rows are packed once for each row; ties go
 to the earlier row; an empty table gives an empty result; extra columns are not read. Any length of text is
@@ -20,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,16 +28,18 @@ from pyspark.sql import functions as F
 
 from claimweave.llm.bpe import ByteBpe
 from claimweave.llm.common import stored
-from claimweave.llm.segments import ChunkEncoder, grouped
+from claimweave.llm.segments import ChunkEncoder, grouped, without_gc
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long, settled boolean"
 #: Pieces that a partition packs at a time in an exchange round; its memory is a few dozen bytes for each.
 PER_PARTITION = 200_000
+#: A round that saves less than one in so many open bins is the last.
+WORTH = 1_000
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, closing_id: int, pattern: str, special: str = "<|endoftext|>") -> DataFrame:
-    """The pieces of every document: all of the capacity's length but the first, which takes the rest."""
+def _tokenizing(tokenizer_path: str, capacity: int, closing_id: int, pattern: str, special: str = "<|endoftext|>"):
+    """A task's function from documents to the pieces of each: all of the capacity's length but the first, which takes the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,7 +87,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, closin
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return run
+
+
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, closing_id: int, pattern: str) -> DataFrame:
+    """PIECES rows of every document."""
+    return docs.select("doc_id", "text").mapInArrow(without_gc(_tokenizing(tokenizer_path, capacity, closing_id, pattern)), PIECES)
 
 
 def lower_bound(counts: np.ndarray) -> int:
@@ -138,23 +145,26 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(room, np.int64)
 
 
-def _packed(pieces: DataFrame, capacity: int, round_no: int) -> DataFrame:
-    """Each partition's pieces packed; settled marks those in full bins."""
+def _packing(capacity: int, round_no: int):
+    """A task's function from its pieces to PLACED rows; settled marks those that no exchange takes part of."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        own = pd.concat(parts, ignore_index=True)
-        lengths = own["length"].to_numpy()
+        own = pa.Table.from_batches(parts)
+        lengths = own.column("length").to_numpy()
         bins, offsets, room = best_fit_decreasing(lengths, capacity)
+        stays = room == 0
+        if len(room) <= lower_bound(np.bincount(lengths, minlength=capacity + 1)):
+            stays[np.arange(len(room)) != np.argmax(room)] = True  # certified: no packing of these pieces has fewer bins
         context = TaskContext.get()
         base = (round_no << 56) + ((context.partitionId() if context else 0) << 32)
-        own["sequence_id"], own["offset"], own["settled"] = base + bins, offsets, room[bins] == 0
-        for at in range(0, len(own), 50_000):
-            yield own.iloc[at : at + 50_000]
+        for name, column in (("sequence_id", base + bins), ("offset", offsets), ("settled", stays[bins])):
+            own = own.append_column(name, pa.array(column))
+        yield from own.to_batches(max_chunksize=50_000)
 
-    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32").mapInPandas(run, PLACED)
+    return run
 
 
 def _length_counts(pieces: DataFrame, capacity: int) -> np.ndarray:
@@ -164,26 +174,41 @@ def _length_counts(pieces: DataFrame, capacity: int) -> np.ndarray:
     return counts
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, per_partition: int = PER_PARTITION, rounds: int = 8) -> DataFrame:
-    """PLACED rows: every piece with its sequence and its place there."""
-    placed = stored(_packed(pieces, capacity, 0))
-    settled = []
-    for round_no in range(1, rounds + 1):
+def _exchanged(placed: DataFrame, capacity: int, per_partition: int, rounds: int | None) -> DataFrame:
+    """The stored placement, its open bins packed anew over and over for as long as that saves bins."""
+    n, used = placed.filter("not settled").agg(F.count("*"), F.count_distinct("sequence_id")).first()
+    settled, round_no = [], 0
+    while n and (rounds is None or round_no < rounds):
         still_open = placed.filter("not settled")
-        n, used = still_open.agg(F.count("*"), F.count_distinct("sequence_id")).first()
-        if not n or used <= lower_bound(_length_counts(still_open, capacity)):
+        if used <= lower_bound(_length_counts(still_open, capacity)):
             break  # the bound certifies that these pieces need as many bins
-        partitions = -(-n // per_partition)
+        round_no, partitions = round_no + 1, -(-n // per_partition)
+        anew = stored(still_open.drop("sequence_id", "offset", "settled").repartition(partitions).mapInArrow(_packing(capacity, round_no), PLACED))
+        bins = anew.agg(F.count_distinct("sequence_id")).first()[0]
+        if bins >= used:
+            break
         settled.append(placed.filter("settled"))
-        placed = stored(_packed(still_open.repartition(partitions), capacity, round_no))
-        if partitions == 1:
+        placed = anew
+        if partitions == 1 or (used - bins) * WORTH < used:
             break
-    out = placed  # the last round whole, its full bins too
+        n, used = placed.filter("not settled").agg(F.count("*"), F.count_distinct("sequence_id")).first()
+    out = placed  # the last placement whole
     for part in settled:
         out = out.unionByName(part)
     return out.drop("settled")
 
 
+def pack_pieces(pieces: DataFrame, capacity: int, per_partition: int = PER_PARTITION, rounds: int | None = None) -> DataFrame:
+    """Every piece with its sequence and its place there."""
+    columns = [c.split()[0] for c in PIECES.split(", ")]
+    return _exchanged(stored(pieces.select(*columns).mapInArrow(_packing(capacity, 0), PLACED)), capacity, per_partition, rounds)
+
+
 def packed_documents(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 1024, closing_id: int = 2) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of every document row."""
-    return pack_pieces(tokenized_pieces(docs, tokenizer_path, capacity, closing_id, pattern), capacity)
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of every document row.
+
+    Documents are tokenized and first packed by one Python worker, so that a task needs no two of them.
+    """
+    tokenizing, packing = _tokenizing(tokenizer_path, capacity, closing_id, pattern), _packing(capacity, 0)
+    placed = docs.select("doc_id", "text").mapInArrow(without_gc(lambda batches: packing(tokenizing(batches))), PLACED)
+    return _exchanged(stored(placed), capacity, PER_PARTITION, None)

@@ -19,6 +19,21 @@ _BORDER = re.compile(r" (?=\S)")
 SEGMENT_CHARS, CACHE_CHUNKS, LONG_CHUNK = 1 << 21, 300_000, 256
 
 
+def without_gc(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function with Python's collector off while it runs: it makes millions of strings and no cycles."""
+
+    def paused(batches: Iterator) -> Iterator:
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if on:
+                gc.enable()  # the worker goes on to other tasks
+
+    return paused
+
+
 def chunks_of(text: str, special: str | None = None) -> list[str]:
     if special and special in text:
         parts = text.split(special)
@@ -110,7 +125,6 @@ class ChunkEncoder:
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: str | None = None):
-        gc.disable()  # a worker makes millions of strings and no cycles
         self.encode, self.special = encode, special
         self.memo = Memo(self._encode_keys)
 

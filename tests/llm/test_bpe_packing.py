@@ -8,6 +8,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from claimweave.llm import bpe, packing
 from claimweave.llm.segments import ChunkEncoder, chunks_of, grouped
@@ -141,3 +142,28 @@ def test_no_piece_is_lost_when_rounds_run_out(spark):
         rows = packing.pack_pieces(df, 1024, per_partition=50, rounds=rounds).collect()
         assert sorted(r["doc_id"] for r in rows) == list(range(len(pieces)))
         check_packing(rows, 1024)
+
+
+def test_partitions_are_certified_and_only_gaps_are_exchanged():
+    import pyarrow as pa
+
+    def packed(lengths):
+        n = len(lengths)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array(lengths, pa.int64()), pa.array([0] * n, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        return [r for b in packing._packing(10, 0)(iter([batch])) for r in b.to_pylist()]
+
+    certified = packed([7, 7, 7, 7, 2, 2])  # four bins are needed; the emptiest stays open
+    assert sum(not r["settled"] for r in certified) == 1 and check_packing(certified, 10) == 4
+    gap = packed([4, 4, 3, 3, 3, 3, 10])  # four bins, but three are enough: only the full one is settled
+    assert check_packing(gap, 10) == 4 and [r["doc_id"] for r in gap if r["settled"]] == [6]
+    assert list(packing._packing(10, 0)(iter([]))) == []
+
+
+@pytest.mark.parametrize("per_partition, parts", [(20, 9), (100, 3), (700, 2), (10**6, 5)])
+def test_pieces_in_are_pieces_out(spark, per_partition, parts):
+    rng = random.Random(per_partition)
+    pieces = [(None if i % 50 == 0 else i % 400, i, 0, rng.randint(200, 699), i) for i in range(600)]
+    df = spark.createDataFrame(pieces, packing.PIECES).withColumn("settled", F.lit("clash")).withColumn("offset", F.lit("clash")).repartition(parts)
+    rows = packing.pack_pieces(df, 1024, per_partition=per_partition).collect()
+    assert sorted((r["piece"], r["doc_id"], r["length"]) for r in rows) == sorted((p[1], p[0], p[3]) for p in pieces)
+    assert check_packing(rows, 1024) <= 600
