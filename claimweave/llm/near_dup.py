@@ -45,6 +45,8 @@ from claimweave.llm.components import components
 COORDINATES, MATCHES, MINIMA = 24, 3, 3
 #: Steps of distance for each doubling, by which prefixes of differences shorten.
 STEPS = 2
+#: Parts into which the members of a group are dealt where they meet what is known of the group.
+PARTS = 16
 _MULTIPLY, _ADD = np.random.default_rng(20_240_601).integers(0, 2**63, (2, COORDINATES * MINIMA), np.uint64)
 _MULTIPLY = _MULTIPLY * np.uint64(2) + np.uint64(1)
 SIGNED = "doc_id long, n_shingles long, set_key binary, signature array<long>"
@@ -127,10 +129,11 @@ def _unlinked_pairs(apart: DataFrame, similarity: int) -> DataFrame:
     a, b = 100 + similarity, 100 - similarity
     beyond = F.expr(f"w - {b} * n_p")
     level = F.when(beyond > 0, F.greatest(F.lit(0), F.floor(F.log2(beyond / b) * STEPS)).cast("int"))
-    placed = apart.withColumn("level", level)
+    placed = apart.withColumn("level", level).withColumn("part", F.expr(f"cast(pmod(xxhash64(cid), {PARTS}) as int)"))
     facts = placed.groupBy("pivot").agg(F.min("w").alias("lowest"), F.max("level").alias("top")).filter("top is not null")
+    facts = facts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))  # so that no task gets a large group whole
     keys = ["pivot", "cid", "far", "w", "n_p", "level", "lowest", "top"]
-    parts = placed.join(facts, "pivot").select(*keys, F.explode("differ").alias("e"))
+    parts = placed.join(facts, ["pivot", "part"]).select(*keys, F.explode("differ").alias("e"))
     shared = parts.groupBy("pivot", "e").agg(F.count("*").alias("f")).filter("f > 1")
     ranked = parts.join(shared, ["pivot", "e"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("ranked"))
     # those that no other member differs in come first and are posted nowhere
