@@ -1,7 +1,7 @@
 """Operator 10: language by compression.
 
-For every learned language a zstandard dictionary of raw content is made from a bounded sample of its documents;
-a text's language is that of the dictionary under which the whole text compresses smallest. Texts are compressed in
+For every language that the table names, a zstandard dictionary of raw content is made from a bounded sample of its
+documents, an excerpt from a place of each that a hash chooses; a text's language is that of the dictionary under which the whole text compresses smallest. Texts are compressed in
 pieces of PIECE bytes, each against the fresh dictionary, and a language's size is the sum over all pieces: a dictionary
 saves about so many bytes once, which would vanish in a long text. The score is the smallest size's distance from the
 second, as a share of the second; a text is rejected where it is narrow.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from claimweave.llm.common import fold
 
-#: Languages learned (the most frequent), documents sampled for each, characters taken of one, bytes of a dictionary.
-LANGUAGES, SAMPLED, TAKEN, DICTIONARY = 256, 400, 2_000, 96_000
+#: Bounds of the sample: documents of a language, characters of an excerpt from one, bytes of a dictionary.
+SAMPLED, TAKEN, DICTIONARY = 400, 2_000, 96_000
 LEVEL, NARROW = 3, 0.01
 #: Bytes of a normalised text that are compressed at a time; the last piece takes the rest.
 PIECE = 16_384
@@ -40,14 +40,15 @@ def normal(text: str) -> bytes:
 def learn(docs: DataFrame, usable: Column, lang: str = "lang") -> dict[str, bytes]:
     """Dictionary content for each language, from a sample by the id's hash that is bounded for every language."""
     rows = docs.filter(usable & F.col(lang).isNotNull() & (F.col(lang) != UNDETERMINED) & F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).collect()}  # a row for each language
     if not counts:
         return {}
     span = 1 << 30
     shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 2 * SAMPLED / n) * span))])
     order = F.xxhash64("doc_id", F.lit(7))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(F.lit(1), F.length("text") - TAKEN + 1)).cast("int") + 1
     # repeated rows have one text: they count once, and a hot id cannot exceed the bound
-    picked = rows.filter(F.pmod(order, F.lit(span)) < shares[F.col(lang)]).select(F.col(lang).alias("lang"), F.substring(F.lower("text"), 1, TAKEN).alias("text"), order.alias("o"))
+    picked = rows.filter(F.pmod(order, F.lit(span)) < shares[F.col(lang)]).select(F.col(lang).alias("lang"), F.lower(F.substring(F.col("text"), place, F.lit(TAKEN))).alias("text"), order.alias("o"))
     picked = picked.groupBy("lang", "text").agg(F.min("o").alias("o")).orderBy("o", "lang", "text").limit(4 * SAMPLED * len(counts))
     out: dict[str, list[bytes]] = {}
     for r in picked.collect():
@@ -55,10 +56,16 @@ def learn(docs: DataFrame, usable: Column, lang: str = "lang") -> dict[str, byte
     return {k: b" ".join(out[k])[:DICTIONARY] for k in counts if k in out}
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter; numerals such as fractions and superscripts are none."""
+    first = _LETTER.search(text)
+    return first is not None and (first[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def predict(texts: list[str | None], compressors: list, names: list[str]) -> tuple[list[str], np.ndarray]:
     langs, scores = [], np.zeros(len(texts))
     for i, text in enumerate(texts):
-        if not names or not text or not _LETTER.search(text):
+        if not names or not text or not has_letter(text):
             langs.append(UNDETERMINED)
             continue
         raw = normal(text)
