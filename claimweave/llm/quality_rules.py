@@ -5,8 +5,8 @@ the document fails; versioned policies are masks over those bits, so that a new
 a rule out, reads the ledger and never the texts again.
 
 Edge cases: a null or empty text has no words and fails the first rule; repeated rows are judged alike, one by
-one; null ids are kept; an empty table gives an empty ledger; extra columns are carried by `judged` and replaced
-where they clash with the ledger's. Any length of text is measured whole: windows of three words are compared by a
+one; null ids are kept; an empty table gives an empty ledger; extra columns of any name are carried by `ledger`, and
+replaced where they are called like one of its own. Any length of text is measured whole: windows of three words are compared by a
 hash with their position packed in one long, and a document where two different windows share a hash, or with more
 words than positions, is measured by the windows themselves.
 """
@@ -62,10 +62,10 @@ def _ends(pairs: Column, place) -> Column:
     return F.sort_array(F.array_distinct(both))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the MEASURES of every whole text in place of any columns of those names."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = held(docs.drop(*MEASURES, "_w", "_l", "_s", "_d"), _w=F.array_remove(F.split(t, SPACE), ""), _l=F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
+def _measured(own: DataFrame) -> DataFrame:
+    """own, which has _row and a text _t, as _row and the MEASURES of every whole text."""
+    t = F.col("_t")
+    df = held(own, _w=F.array_remove(F.split(t, SPACE), ""), _l=F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
     low = F.lit((1 << POSITION_BITS) - 1).cast("long")
     packed = F.transform(_zip3(F.col("_w")), lambda x, i: F.shiftleft(F.xxhash64(x["a"], x["b"], x["c"]), POSITION_BITS).bitwiseOR(i.cast("long")))
     df = held(df, _s=F.sort_array(packed))
@@ -80,7 +80,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     only = lambda chars: F.length(F.regexp_replace(t, f"[^{chars}]+", "")).cast("long")
     long = lambda c: c.cast("long")
     return df.select(
-        *[c for c in docs.columns if c not in MEASURES],
+        "_row",
         long(F.size("_w")).alias("n_words"),
         long(F.length(F.array_join("_w", ""))).alias("word_chars"),
         only("#*$%&|<>").alias("n_symbols"),
@@ -91,13 +91,20 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with measurements and fail_bits; every rule is evaluated once."""
+def _entries(docs: DataFrame, row: Column, text: str) -> DataFrame:
+    """_row, measurements and fail_bits of every document; every rule is evaluated once."""
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return measured(docs, text).withColumn("fail_bits", total.cast("long"))
+    own = docs.select(row.alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
+    return _measured(own).withColumn("fail_bits", total.cast("long"))
+
+
+def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with measurements and fail_bits in place of any columns of those names."""
+    own = [*MEASURES, "fail_bits"]
+    return _entries(docs, F.struct("*"), text).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in own], *own)
 
 
 def judged(rows: DataFrame, policy: str = "v1") -> DataFrame:
@@ -108,8 +115,7 @@ def judged(rows: DataFrame, policy: str = "v1") -> DataFrame:
 
 def kept_documents(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of docs that the policy keeps, with their columns as they were."""
-    rows = ledger(docs.select(F.struct("*").alias("_row"), "text"))
-    return judged(rows, policy).filter("kept").select("_row.*")
+    return judged(_entries(docs, F.struct("*"), "text"), policy).filter("kept").select("_row.*")
 
 
 def ablation(rows: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICIES) -> DataFrame:
@@ -133,8 +139,8 @@ def by_group(rows: DataFrame, group: str) -> DataFrame:
 
 
 def quality_verdicts(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    out = judged(ledger(docs.select("doc_id", "text")), policy)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "n_lines", "n_upper")
+    out = judged(_entries(docs, F.struct("doc_id"), "text"), policy)
+    return out.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "n_lines", "n_upper")
 
 
 ORACLE = r"""
