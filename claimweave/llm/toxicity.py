@@ -2,7 +2,10 @@
 
 Logistic regression over the words that tell labelled documents apart. For every labelled sentence that names a
 group, the term is swapped for the others of its kind, and training penalises the change of score between the
-sentence and its counterfactuals; so a neutral mention costs nothing, and no group is scored unlike another.
+sentence and its counterfactuals. A labelled document that names none gets a mention that its words' hashes choose;
+the change of score from no mention to that one, and from that one to the others of its kind, is penalised alike. So a
+neutral mention costs nothing, and no group is scored unlike another, also where few texts name one. Near copies count
+once in training: of documents with one label, equal least hashes and COPY of their words in common, the first stays.
 
 Edge cases: a null or empty text has no words and gets the score of the intercept; repeated rows get equal
 scores; without usable labels every score is the smoothed base rate; empty tables give empty results; extra
@@ -26,6 +29,8 @@ from claimweave.llm.common import fold, labelled_sample
 TRAINING_ROWS, WORDS = 20_000, 4_000
 #: Documents that must hold a word before it can be kept.
 LEAST = 4
+#: Least hashes that near copies share, and the share of all their words.
+SKETCH, COPY = 4, 0.8
 PREDICTED_FROM = 0.7
 #: Terms that name groups; those in one line are swapped for each other.
 IDENTITY_TERMS = (
@@ -56,10 +61,11 @@ class Sample:
 
     def __init__(self, terms):
         self.swaps = {t: [o for o in group if o != t] for group in terms for t in group}
+        self.terms, self.mention = sorted(self.swaps), []
         self.hashes: list[np.ndarray] = []
         self.labels: list[int] = []
         self.named: list[list[set[str]]] = []
-        self.seen: set = set()
+        self.seen: dict = {}
         self.counts: Counter = Counter()
         self.words: dict[int, str] = {hash_of(t): t for t in self.swaps}
 
@@ -67,16 +73,19 @@ class Sample:
         words = set(_WORD.findall(text.lower()))
         of = {hash_of(w): w for w in words}
         own = np.sort(np.fromiter(of, np.uint64, len(of)))
-        # near copies of one document must not make its rare words look telling: one for each pair of least hashes
-        if len(own) and (own[0], own[1 % len(own)]) in self.seen:
-            return
-        if len(own):
-            self.seen.add((own[0], own[1 % len(own)]))
+        # near copies of one document must not make its rare words look telling
+        alike = self.seen.setdefault((label, *own[:SKETCH].tolist()), [])
+        for other in alike:
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            if both >= COPY * (len(own) + len(other) - both):
+                return
+        alike.append(own)
         self.counts.update(of.keys())
         for h in of:
             if self.counts[h] == LEAST:
                 self.words[h] = of[h]
         found = words & self.swaps.keys()
+        self.mention.append(self.terms[int(own[0]) % len(self.terms)] if len(own) and self.terms and not found else None)
         self.named.append([s & (self.swaps.keys()) for s in map(set, map(_WORD.findall, _SENTENCE.split(text.lower()))) if s & found] if found else [])
         self.hashes.append(own)
         self.labels.append(label)
@@ -101,8 +110,13 @@ def fit(sample: Sample, most: int = WORDS, fairness: float = 1.0, ridge: float =
     hits = [[place[h] for h in own[np.isin(own, known)].tolist()] for own in sample.hashes]
     row = np.repeat(np.arange(len(y)), [len(h) for h in hits])
     col = np.array([k for h in hits for k in h], np.int64)
-    # the difference that each swap makes to a labelled sentence, as pairs of columns
-    changes: Counter = Counter()
+    # the difference that each swap makes to a labelled sentence, as pairs of columns; the last one stands for no mention
+    changes, none = Counter(), len(place)
+    for term in sample.mention:
+        if term is not None:
+            changes[none, place[hash_of(term)]] += 1
+            for other in sample.swaps[term]:
+                changes[place[hash_of(term)], place[hash_of(other)]] += 1
     for sentences in sample.named:
         for found in sentences:
             for term in found:
@@ -117,8 +131,9 @@ def fit(sample: Sample, most: int = WORDS, fairness: float = 1.0, ridge: float =
         raw = intercept + np.bincount(row, w[col], len(y))
         residual = (1 / (1 + np.exp(-raw)) - y) / len(y)
         grad = np.bincount(col, residual[row], len(w)) + ridge / len(y) * w
-        gap = fairness * times * (w[to] - w[away])
-        grad += np.bincount(to, gap, len(w)) - np.bincount(away, gap, len(w))
+        own = np.append(w, 0.0)
+        gap = fairness * times * (own[to] - own[away])
+        grad += (np.bincount(to, gap, len(own)) - np.bincount(away, gap, len(own)))[:none]
         grad = np.append(grad, residual.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
