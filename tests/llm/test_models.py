@@ -102,3 +102,56 @@ def test_language_of_clean_texts_of_several_megabytes(spark, sf_dir):
     assert kept == {r[0] for r in long}
     got = {r["doc_id"]: r["lang_pred"] for r in language.predicted_languages(docs.unionByName(given)).filter("doc_id < 0").collect()}
     assert got == {r[0]: r[3] for r in long}
+
+
+def test_language_equals_a_plain_loop(spark):
+    import zstandard
+
+    rng = random.Random(8)
+    words = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(300)] for k, letters in {"aa": "abcdeo", "bb": "mnopqa", "cc": "rstuva"}.items()}
+    rows = [(i, " ".join(rng.choices(words[k], k=rng.choice([3, 40, 400]))), k) for i, k in enumerate(rng.choices(list(words), k=150))]
+    docs = spark.createDataFrame([*rows, (900, "\u00bd \u00b2 3", "aa"), (901, "\u2167 \u00bd", None), (902, "\u00bd\u00e9", None)], "doc_id long, text string, lang string")
+    dictionaries = language.learn(docs, F.lit(True))
+    assert sorted(dictionaries) == ["aa", "bb", "cc"]
+    got = {r["doc_id"]: r for r in language.identified(docs, dictionaries).collect()}
+    assert [got[i]["lang_pred"] for i in (900, 901)] == ["und", "und"] and got[902]["lang_pred"] != "und"
+    for i, text, _ in rows:
+        raw, sizes = language.normal(text), {}
+        for name, content in dictionaries.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[name] = sum(len(c.compress(raw[at : at + language.PIECE])) for at in range(0, len(raw), language.PIECE))
+        least, second = sorted(sizes.values())[:2]
+        assert sizes[got[i]["lang_pred"]] == least and abs(got[i]["score"] - (second - least) / second) < 1e-12
+
+
+def test_more_languages_than_a_few_hundred(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k)}" for k in range(20)), f"l{i}") for i in range(300)]
+    assert len(language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))) == 300
+
+
+def test_mentions_are_put_into_sentences_that_name_no_group():
+    sample = toxicity.Sample((("muslim", "christian"),))
+    for k in range(80):
+        sample.add(f"what awful scum n{k} x{k} p{k} q{k}", 1)
+        sample.add(f"nice day for a walk z{k} b{k}", 0)
+    assert sum(m is not None for m in sample.mention) == len(sample.labels) == 160
+    model = toxicity.fit(sample)
+    assert np.ptp(model.score(["a walk", "a muslim walk", "a christian walk"])) < 0.02
+
+
+def test_only_near_copies_of_one_label_count_once():
+    sample = toxicity.Sample(())
+    text = " ".join(f"w{i}" for i in range(100))
+    for t, label in [(text, 0), (text, 0), (text, 1), (" ".join(f"v{i}" for i in range(100)), 0), ("", 0), ("", 0)]:
+        sample.add(t, label)
+    assert sample.labels == [0, 1, 0, 0]
+
+
+def test_toxicity_edges(spark):
+    docs = spark.createDataFrame([(i, t, "mine", "x") for i, t in enumerate(["bad scum", "good day", None, "", "scum " * 300_000] * 8)], "doc_id long, text string, score string, held_out string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(40)], "doc_id long, toxic int")
+    out = toxicity.toxicity_scores(docs, labels).collect()
+    assert len(out) == 40 and all(0 <= r["score"] <= 1 for r in out)
+    assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
+    assert toxicity.toxicity_scores(docs.unionByName(docs), labels).count() == 80

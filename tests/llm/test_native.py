@@ -109,3 +109,18 @@ def test_native_plans_run_no_python(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for df in (quality_rules.quality_verdicts(docs), pii.personal_data(docs, pii.train(docs))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_columns_called_like_helpers(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, good, "w", "h", "t", 2.5, "f")], ["doc_id", "text", "_w", "_held", "_row", "a.b", "fail_bits"])
+    row = quality_rules.ledger(docs).first()
+    assert [row[c] for c in ("_w", "_held", "_row", "a.b", "n_words", "fail_bits")] == ["w", "h", "t", 2.5, 60, 0]
+    assert [tuple(r) for r in quality_rules.kept_documents(docs).collect()] == [tuple(r) for r in docs.collect()]
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    rows = [(i, "call +1 (017) 555-7713 or 12345678901" if i % 3 else f"mail a{i}@b.co, not x{i}@y or +1 017 555 {i:04d}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = pii.train(docs.repartition(3)), pii.train(docs.repartition(7))
+    assert a.forest is not None and a.least == b.least and (a.forest.threshold == b.forest.threshold).all()
