@@ -36,7 +36,7 @@ def _c(text: Column | str) -> Column:
 
 def normalized_text(text: Column | str) -> Column:
     """Search form: brackets, quotes and stops become spaces, and runs of white space one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(_c(text), BRACKETS_AND_MARKS, " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(_c(text), BRACKETS_AND_MARKS, " "), r"(?U)\s+", " "))
 
 
 def element_cluster(text: Column | str) -> Column:
@@ -54,8 +54,13 @@ def text_hash(text: Column | str) -> Column:
 def verbatim_text(text: Column | str) -> Column:
     """Form in which quotations are compared: words broken at line ends are joined, white space and case folded."""
     plain = F.regexp_replace(_c(text), " ", " ")
-    joined = F.regexp_replace(plain, r"(?<=\w)-\s*\r?\n\s*(?=\w)", "")
-    return F.lower(F.trim(F.regexp_replace(joined, r"\s+", " ")))
+    joined = F.regexp_replace(plain, r"(?U)(?<=\w)-\s*\r?\n\s*(?=\w)", "")
+    return F.lower(F.trim(F.regexp_replace(joined, r"(?U)\s+", " ")))
+
+
+def folded(text: Column | str) -> Column:
+    """One space for every run of white space, none at the ends."""
+    return F.trim(F.regexp_replace(_c(text), r"(?U)\s+", " "))
 
 
 def shortened_quote(text: Column | str) -> Column:

@@ -5,16 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions.text import document_ids, urls, verbatim_text
+from claimweave.functions.text import document_ids, folded, urls, verbatim_text
 
 MIN_QUOTE, MIN_SEGMENT, LONG_PROBE, SHORT_PROBE, WORD_SHARE = 15, 12, 70, 30, 0.60
+#: Words in a row that a document and a quotation share before the quotation is looked for in it.
+RUN = 8
 _CUT = r"\s*(?:…|\.{3,})\s*"
 
 
 def keyword_scores(chunks: DataFrame, text: str = "window", keywords: str = "keywords") -> DataFrame:
     """chunks with score, the number of keywords that their text holds; those without any are gone."""
-    low = F.lower(F.col(text))
-    return chunks.withColumn("score", F.size(F.filter(F.col(keywords), lambda k: F.contains(low, k)))).filter("score > 0")
+    lowered = with_lowered(chunks, text)
+    return lowered.withColumn("score", F.size(F.filter(F.col(keywords), lambda k: F.contains("_low", k)))).filter("score > 0").drop("_low")
+
+
+def with_lowered(rows: DataFrame, text: str) -> DataFrame:
+    """rows with _low, the text in lower case, made once a row however many words are looked for in it."""
+    return rows.select("*", F.explode(F.array(F.lower(F.col(text)))).alias("_low"))
+
+
+def word_runs(rows: DataFrame, key: str, text: str, size: int = RUN) -> DataFrame:
+    """(key, run): hashes of the distinct runs of `size` words of every text, case and white space folded."""
+    words = rows.select(key, F.explode(F.array(F.split(F.lower(folded(text)), " "))).alias("_w"))
+    starts = F.when(F.size("_w") >= size, F.sequence(F.lit(1), F.greatest(F.size("_w") - (size - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(size)), " ")))
+    return words.select(key, F.explode(F.array_distinct(runs)).alias("run"))
+
+
+def citing_pairs(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", quote: str = "text", size: int = RUN) -> DataFrame:
+    """(doc_key, item_key) for every document that holds a run of `size` words of an item: an equality join on runs."""
+    return word_runs(docs, doc_key, text, size).join(word_runs(items, item_key, quote, size), "run").select(doc_key, item_key).distinct()
 
 
 def budgeted_orders(chunks: Column, limit: int, first: bool = True) -> Column:
@@ -48,10 +68,10 @@ def is_verbatim(quote: Column, corpus: Column) -> Column:
     return (F.size(parts) > 0) & F.forall(parts, lambda s: F.contains(whole, s))
 
 
-def quote_status(quote: Column, corpus: Column) -> Column:
-    """verified, partial, not_found, empty, short or no_doc."""
+def quote_status(quote: Column, corpus: Column, lowered: Column | None = None) -> Column:
+    """verified, partial, not_found, empty, short or no_doc. lowered: the corpus in lower case, where a column holds it."""
     q = F.trim(F.coalesce(quote, F.lit("")))
-    low = F.lower(corpus)
+    low = F.lower(corpus) if lowered is None else lowered
     parts = F.filter(F.transform(F.split(q, _CUT), F.trim), lambda s: F.length(s) >= MIN_QUOTE)
     parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(q))
 

@@ -34,10 +34,15 @@ def missing_work(cells: DataFrame, claims: DataFrame, documents: DataFrame) -> D
 
 
 def normalized_label(label: Column | str) -> Column:
-    """P, PRE and PREAMBLE are P; else a leading letter with an optional -n; else the text in capitals."""
-    text = F.upper(F.trim(F.regexp_replace(F.coalesce(F.col(label) if isinstance(label, str) else label, F.lit("")), r"[()\[\]\s]", "")))
-    head = F.regexp_extract(text, r"^([A-Z](?:-\d+)?)(?:$|[^A-Z0-9-])", 1)
-    return F.when(text.isin("P", "PRE", "PREAMBLE"), "P").when(head != "", head).otherwise(text)
+    """P for a preamble; else a leading letter, alone or in brackets, with an optional -n; else the text in capitals."""
+    raw = F.trim(F.coalesce(F.col(label) if isinstance(label, str) else label, F.lit("")))
+    bare = F.upper(F.regexp_replace(raw, r"(?U)^[\s(\[{]+|[\s)\]}:：._-]+$", ""))
+    ends = r"[\s)\]}]*(?=$|\s|[:：._-])"
+    letter = rf"(?U)^[\s(\[{{]*([A-Za-z])\s*(?:-\s*(\d+))?{ends}"
+    head, number = F.upper(F.regexp_extract(raw, letter, 1)), F.regexp_extract(raw, letter, 2)
+    lettered = F.when(number != "", F.concat(head, F.lit("-"), number)).otherwise(head)
+    preamble = bare.isin("P", "PRE", "PREAMBLE", "전제부") | raw.rlike(rf"(?iU)^[\s(\[{{]*P{ends}")
+    return F.when(preamble, "P").when(head != "", lettered).otherwise(F.upper(raw))
 
 
 def reconciled(rows: DataFrame, same_wording: Column) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.functions import dims, text
+from claimweave.functions import dims, predicates, text
 from claimweave.operators import claims as claim_ops
-from claimweave.operators import decisions, evidence, judgments, scoring, segments, selection
+from claimweave.operators import decisions, evidence, judgments, responses, scoring, segments, selection
 from claimweave.sources import fixtures as fx
 from claimweave.sources import tables
 
@@ -272,24 +272,41 @@ def abstract_cap(spark, sf_dir):
     return segments.summary_capped(cut).select("doc_id", "window_no", "excluded")
 
 
+#: Documents and items that share eight words in a row.
+PAIRS = r"""runs_d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 7, 0) + 1)) AS i FROM
+  (SELECT doc_id, string_split(trim(lower(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), ' ') AS w FROM documents))),
+runs_b AS (SELECT DISTINCT item_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 0) + 1)) AS i FROM
+  (SELECT item_id, string_split(trim(lower(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), ' ') AS w FROM benchmark))),
+pairs AS (SELECT DISTINCT doc_id, item_id FROM runs_d JOIN runs_b USING (g))"""
+
+
+def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that have a run of words in common."""
+    return evidence.citing_pairs(fx.read(spark, sf_dir, "documents"), fx.read(spark, sf_dir, "benchmark"))
+
+
 def quoted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the benchmark items that its id selects, as the quotations to verify in it."""
-    items = fx.read(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text").alias("quote"), (F.col("item_id") % 40).alias("m"))
-    return fx.read(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("m")).join(items, "m")
+    """The documents of those pairs with the items as quotations to verify in them; items of no pair have no document."""
+    items = fx.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return items.join(cited(spark, sf_dir).join(docs, "doc_id"), "item_id", "left")
 
 
-@query(r"""WITH q AS (SELECT d.doc_id, b.item_id, trim(b.text) AS q, lower(d.text) AS low FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40),
-s AS (SELECT *, CASE WHEN len(list_filter(list_transform(string_split_regex(q, '\s*(?:…|\.{3,})\s*'), lambda x: trim(x)), lambda x: length(x) >= 15)) > 0
-  THEN list_filter(list_transform(string_split_regex(q, '\s*(?:…|\.{3,})\s*'), lambda x: trim(x)), lambda x: length(x) >= 15) ELSE [q] END AS parts FROM q),
+@query(rf"""WITH {PAIRS},
+q AS (SELECT p.doc_id, b.item_id, trim(b.text) AS q, lower(coalesce(d.text, '')) AS low FROM benchmark b LEFT JOIN (pairs p JOIN documents d USING (doc_id)) ON p.item_id = b.item_id),
+s AS (SELECT *, CASE WHEN len(list_filter(list_transform(string_split_regex(q, '\s*(?:…|\.{{3,}})\s*'), lambda x: trim(x)), lambda x: length(x) >= 15)) > 0
+  THEN list_filter(list_transform(string_split_regex(q, '\s*(?:…|\.{{3,}})\s*'), lambda x: trim(x)), lambda x: length(x) >= 15) ELSE [q] END AS parts FROM q),
 m AS (SELECT *, list_transform(parts, lambda p: CASE WHEN contains(low, lower(substr(p, 1, 70))) THEN 2 WHEN contains(low, lower(substr(p, 1, 30))) THEN 1
   WHEN len(list_filter(string_split_regex(lower(substr(p, 1, 70)), '\s+'), lambda w: length(w) >= 3)) > 0 AND
     len(list_filter(string_split_regex(lower(substr(p, 1, 70)), '\s+'), lambda w: length(w) >= 3 AND contains(low, w))) / len(list_filter(string_split_regex(lower(substr(p, 1, 70)), '\s+'), lambda w: length(w) >= 3)) >= 0.6 THEN 1 ELSE 0 END) AS marks FROM s)
 SELECT doc_id, item_id, CASE WHEN q = '' THEN 'empty' WHEN length(q) < 15 THEN 'short' WHEN list_min(marks) = 2 THEN 'verified' WHEN list_max(marks) > 0 THEN 'partial' ELSE 'not_found' END AS status FROM m""")
 def quote_verify(spark, sf_dir):
-    return quoted_documents(spark, sf_dir).select("doc_id", "item_id", evidence.quote_status(F.col("quote"), F.col("text")).alias("status"))
+    """Every item in every document that shares a run of its words; items that no document shares are not found."""
+    rows = evidence.with_lowered(quoted_documents(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))), "text")
+    return rows.select("doc_id", "item_id", evidence.quote_status(F.col("quote"), F.col("text"), F.col("_low")).alias("status"))
 
 
-@query(r"""WITH q AS (SELECT d.doc_id, b.item_id, trim(lower(regexp_replace(b.text, '\s+', ' ', 'g'))) AS q, trim(lower(regexp_replace(d.text, '\s+', ' ', 'g'))) AS low FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40)
+@query(rf"""WITH {PAIRS}, q AS (SELECT p.doc_id, b.item_id, trim(lower(regexp_replace(b.text, '\s+', ' ', 'g'))) AS q, trim(lower(regexp_replace(coalesce(d.text, ''), '\s+', ' ', 'g'))) AS low FROM benchmark b LEFT JOIN (pairs p JOIN documents d USING (doc_id)) ON p.item_id = b.item_id)
 SELECT doc_id, item_id, length(q) >= 12 AND contains(low, q) AS verbatim FROM q WHERE NOT regexp_matches(q, '…|\.\.\.|^\[')""")
 def quote_verbatim(spark, sf_dir):
     rows = quoted_documents(spark, sf_dir).filter(~F.trim(F.col("quote")).rlike(r"…|\.\.\.|^\["))
@@ -299,23 +316,25 @@ def quote_verbatim(spark, sf_dir):
 STOP = "[" + ", ".join(f"'{w}'" for w in text.CLAIM_STOPWORDS) + "]"
 
 
-@query(f"""WITH {WINDOWS},
+def cited_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of every document with the keywords of every item that the document shares a run of words with."""
+    items = fx.read(spark, sf_dir, "benchmark").select("item_id", text.claim_keywords("text").alias("keywords"))
+    cut = segments.fixed_windows(fx.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.join(cited(spark, sf_dir), "doc_id").join(items, "item_id")
+
+
+@query(rf"""WITH {PAIRS}, {WINDOWS},
 k AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9가-힣]{{2,}}')), lambda w: NOT list_contains({STOP}, w)) AS k FROM benchmark),
-s AS (SELECT doc_id, window_no, item_id, CAST(len(list_filter(k, lambda w: contains(lower(piece), w))) AS INTEGER) AS score FROM windows JOIN k ON doc_id % 40 = item_id % 40 WHERE piece <> '')
+s AS (SELECT doc_id, window_no, item_id, CAST(len(list_filter(k, lambda w: contains(lower(piece), w))) AS INTEGER) AS score FROM windows JOIN pairs USING (doc_id) JOIN k USING (item_id) WHERE piece <> '')
 SELECT doc_id, window_no, item_id, score FROM s WHERE score > 0""")
 def keyword_score(spark, sf_dir):
-    items = fx.read(spark, sf_dir, "benchmark").select("item_id", text.claim_keywords("text").alias("keywords"), (F.col("item_id") % 40).alias("m"))
-    cut = segments.fixed_windows(fx.read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("m", F.col("doc_id") % 40).join(items, "m")
-    return evidence.keyword_scores(cut).select("doc_id", "window_no", "item_id", "score")
+    return evidence.keyword_scores(cited_windows(spark, sf_dir)).select("doc_id", "window_no", "item_id", "score")
 
 
 @query()
 def budget_context(spark, sf_dir):
-    """Windows of every document that a budget of 6 000 characters keeps for the items its id selects."""
-    items = fx.read(spark, sf_dir, "benchmark").select("item_id", text.claim_keywords("text").alias("keywords"), (F.col("item_id") % 40).alias("m"))
-    cut = segments.fixed_windows(fx.read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("m", F.col("doc_id") % 40).join(items, "m")
-    low = F.lower("window")
-    scored = cut.withColumn("score", F.size(F.filter("keywords", lambda k: F.contains(low, k))))
+    """Windows that a budget of 6 000 characters keeps of every document for every item that it shares a run of words with."""
+    scored = evidence.with_lowered(cited_windows(spark, sf_dir), "window").withColumn("score", F.size(F.filter("keywords", lambda k: F.contains("_low", k))))
     place = F.struct("window_no", (F.length("window") + 8).alias("size"), "score")
     docs = scored.groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_list(place)).alias("w"))
     chunks = F.transform("w", lambda c, i: F.struct(i.alias("place"), c["size"].alias("size"), c["score"].alias("score")))
@@ -419,3 +438,74 @@ def scope_violations(spark, sf_dir):
     docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text", F.array(F.lit(0), F.lit(1), F.lit(2)).alias("allowed"))
     out = decisions.scope_violations(docs, "text", "allowed", r"([0-9])\.")
     return out.select("doc_id", F.array_join(F.col("outside").cast("array<string>"), ",").alias("outside"))
+
+
+@query(fx.ctes() + """
+SELECT case_id * 8 + claim_number - 1 AS response_id, doc_idx, label, judgment, judgment <> 'none' AS found, CASE WHEN judgment <> 'none' THEN 'words quoted from place ' || seq ELSE '' END AS quote,
+  CASE WHEN seq % 100 % 3 = 2 THEN 'missing_fields:chunk_id' WHEN doc_idx = 4 THEN 'doc_index_out_of_range' END AS reject FROM raw""")
+def response_rows(spark, sf_dir):
+    """Items of made-up responses back to judgment rows and rejects; document 4 is not among those asked for."""
+    texts = fx.responses(spark, sf_dir)
+    key = (F.col("case_id") * 8 + F.col("claim_number") - 1).alias("response_id")
+    elements = fx.elements(spark, sf_dir).select(key, "label", F.lit("").alias("text"))
+    documents = texts.select("response_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("doc_idx"))
+    none = spark.createDataFrame([], "response_id long, doc_idx int, corpus string, chunk_id string, chunk string")
+    out = responses.normalized(texts, elements, documents, none.select("response_id", "doc_idx", "corpus"), none.select("response_id", "doc_idx", "chunk_id", "chunk"), levels=4)
+    return out.select("response_id", F.col("doc_idx").cast("long").alias("doc_idx"), "label", "judgment", "found", "quote", "reject")
+
+
+def _hit(pattern: str) -> str:
+    return f"regexp_matches(text, '(?i)(?:{pattern})')"
+
+
+def _hits(pattern: str) -> str:
+    return f"len(regexp_extract_all(text, '(?i)(?:{pattern})'))"
+
+
+SELECTS = f"({_hit(predicates.SELECTION_OR)} AND {_hit(predicates.SELECTION_CONDITION)})"
+AXES = " + ".join(f"{_hit(p)}::INT" for n, p in predicates.CONCEPTS.items() if n != predicates.SIGNAL_PATH)
+
+
+@query(f"""WITH {fx.ELEMENT_TEXTS} SELECT element_id, CAST(weight AS INTEGER) AS importance, {SELECTS} AS conditioned,
+  length(text) <= 80 AND {_hit(predicates.GENERIC_INTERFACE)} AND NOT {_hit(predicates.SPECIALIZED_CONSTRAINT)} AND NOT is_sub AS interface,
+  length(text) > 100 OR {_hit(predicates.SPECIALIZED_CONSTRAINT)} OR {_hit(predicates.TECHNICAL_RELATION)} OR {SELECTS} AS distinctive,
+  length(text) <= 80 AND {_hit(predicates.CONVENTIONAL_COMPONENT)} AND NOT {_hit(predicates.SPECIALIZED_CONSTRAINT)} AND NOT {_hit(predicates.TECHNICAL_RELATION)} AND {_hits(predicates.FUNCTIONAL_VERB)} <= 1 AND NOT is_sub AS simple,
+  length(text) <= 120 AND weight <= 3 AND NOT is_sub AND {_hit(predicates.CONVENTIONAL_COMPONENT)} AND NOT {_hit(predicates.SPECIALIZED_CONSTRAINT)} AND {_hits(predicates.FUNCTIONAL_VERB)} <= 1 AND {_hits(predicates.CONJUNCTION)} <= 1 AS conventional,
+  length(text) <= 140 AND weight <= 3 AND NOT is_sub AND NOT {SELECTS} AND {_hit(predicates.GENERIC_COMPONENT)} AND NOT {_hit(predicates.NON_GENERIC_LIMITATION)}
+    AND len(list_distinct(list_transform(regexp_extract_all(text, '(?i)(?:{predicates.GENERIC_FUNCTION})'), lambda x: lower(x)))) <= 3 AND {_hits(predicates.CONJUNCTION)} <= 1 AS batchable,
+  length(text) > 100 OR ({AXES}) >= 2 OR {SELECTS} AS second_look, {_hit(predicates.CORE_RELATION)} AS core_relation FROM texts""")
+def element_predicates(spark, sf_dir):
+    t, sub, w = "text", F.col("is_sub"), F.col("weight")
+    return fx.element_texts(spark, sf_dir).select(
+        "element_id", predicates.importance("weight").alias("importance"), predicates.is_conditioned_selection(t).alias("conditioned"), predicates.is_generic_interface(t, sub).alias("interface"),
+        predicates.is_distinctive(t).alias("distinctive"), predicates.is_simple_component(t, sub).alias("simple"), predicates.is_conventional(t, w, sub).alias("conventional"),
+        predicates.is_batchable_generic(t, w, sub).alias("batchable"), predicates.needs_second_look(t).alias("second_look"), predicates.has_core_relation(t).alias("core_relation"),
+    )
+
+
+@query(r"""SELECT doc_id, array_to_string(list_distinct_in_order, ',') AS signs, coalesce(figure, '') AS figure, hangul FROM (SELECT doc_id,
+  list_transform(list_filter(list_zip(s, range(1, len(s) + 1)), lambda x: list_position(s, x[1]) = x[2]), lambda x: x[1])[1:30] AS list_distinct_in_order, nullif(replace(regexp_extract(t, '도\s*\d+[A-Za-z가-힣]?'), ' ', ''), '') AS figure, regexp_matches(t, '[가-힣]') AS hangul
+  FROM (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '\((\d{2,4}[a-zA-Z]?)\)', 1) AS s FROM documents))""")
+def document_signs(spark, sf_dir):
+    docs = fx.read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.array_join(text.reference_signs("text"), ",").alias("signs"), F.coalesce(text.figure_no("text"), F.lit("")).alias("figure"), text.has_hangul("text").alias("hangul"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(q) <= 350 THEN q ELSE (CASE WHEN h <> '' THEN h ELSE substr(q, 1, 190) END) || ' ... ' || (CASE WHEN l <> '' THEN l ELSE right(q, 140) END) END AS quote FROM
+(SELECT doc_id, q, rtrim(regexp_replace(substr(q, 1, 190), '(?s) [^ ]*$', '')) AS h, ltrim(regexp_replace(right(q, 140), '(?s)^[^ ]* ', '')) AS l FROM (SELECT doc_id, replace(trim(coalesce(text, '')), '…', '...') AS q FROM documents))""")
+def shortened_quotes(spark, sf_dir):
+    return fx.read(spark, sf_dir, "documents").select("doc_id", text.shortened_quote("text").alias("quote"))
+
+
+@query(fx.ctes() + "\nSELECT case_id, claim_number, sha256('{\"claim_number\":' || claim_number || ',\"claim_type\":\"' || claim_type || '\"' || CASE WHEN parent_claim IS NULL THEN '' ELSE ',\"parent_claim\":' || parent_claim END || ',\"text\":\"claim ' || claim_number || '\"}') AS signature FROM claims")
+def claim_signatures(spark, sf_dir):
+    """Signatures of claims whose text has odd white space."""
+    rows = fx.claims(spark, sf_dir).withColumn("text", F.concat(F.lit("  claim \t "), F.col("claim_number").cast("string"), F.lit("\n")))
+    return claim_ops.signatures(rows).select("case_id", "claim_number", "signature")
+
+
+@query(fx.ctes() + "\nSELECT case_id, claim_number, role, seq FROM (SELECT case_id, claim_number, label AS role, seq FROM raw) r WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.case_id = r.case_id AND c.claim_number = r.claim_number AND c.claim_type = 'independent')")
+def history_deleted(spark, sf_dir):
+    """History rows of independent claims are deleted by their key."""
+    rows = fx.raw_judgments(spark, sf_dir).select("case_id", "claim_number", F.col("label").alias("role"), "seq")
+    return tables.deleted(rows, fx.claims(spark, sf_dir).filter("claim_type = 'independent'"), ["case_id", "claim_number"])

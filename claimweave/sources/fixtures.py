@@ -112,3 +112,39 @@ scored AS (SELECT *, CASE WHEN item_sim < 0.35 THEN 0.0 WHEN NOT has_quote THEN
 
 def ctes(*more: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([RAW, ELEMENTS, CLAIMS, DOCS, CELLS, DENSE, *more])
+
+
+#: Phrases of which the text of an element is made.
+PHRASES = (
+    "a housing", "a motor to drive a wheel", "a sensor", "an input", "an output or an input", "a processor to receive and store data", "a filter based on a threshold",
+    "adjust the operating frequency", "a mode select branch", "a display", "an image and a coordinate system", "a controller to determine a condition",
+)
+
+
+def element_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of one to three phrases, a weight and a flag for every part."""
+    k = F.col("p_partkey")
+    chosen = [F.element_at(F.array(*map(F.lit, PHRASES)), (n % len(PHRASES) + 1).cast("int")) for n in (k, F.floor(k / 12), F.col("p_size"))]
+    text = F.array_join(F.slice(F.array(*chosen), F.lit(1), (k % 3 + 1).cast("int")), ", ")
+    return read(spark, sf_dir, "part").select(k.cast("long").alias("element_id"), text.alias("text"), (F.col("p_size") % 8).cast("string").alias("weight"), (k % 10 == 0).alias("is_sub"))
+
+
+ELEMENT_TEXTS = "texts AS (SELECT CAST(p_partkey AS BIGINT) AS element_id, array_to_string(([{0}[p_partkey % 12 + 1], {0}[CAST(floor(p_partkey / 12) AS BIGINT) % 12 + 1], {0}[p_size % 12 + 1]])[1:CAST(p_partkey % 3 + 1 AS BIGINT)], ', ') AS text, greatest(1, least(5, p_size % 8)) AS weight, p_partkey % 10 = 0 AS is_sub FROM part)".format(list(PHRASES))
+
+#: What a response calls the judgments, in two ways.
+SAID = {"identical": ("동일", "동일 95~100"), "substantially_identical": ("실질적 동일", "실질적 동일 90~94"), "partial_difference": ("일부 차이", "부분 대응"), "partial_similarity": ("일부 유사", "유사"), "difference": ("차이", "약한 관련성"), "none": ("대응 없음", "없음")}
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response per claim with an item per raw row: canonical fields, other names for them, or a field left out; arrays in fences or nested objects."""
+    rows = raw_judgments(spark, sf_dir)
+    said = [F.create_map(*[F.lit(x) for code, names in SAID.items() for x in (code, names[k])])[F.col("judgment")] for k in (0, 1)]
+    found, line = F.col("judgment") != "none", F.col("seq") % 100
+    quote = F.when(found, F.concat(F.lit("words quoted from place "), F.col("seq").cast("string"))).otherwise("")
+    own = F.struct(F.col("doc_idx").alias("doc_index"), F.col("label").alias("label"), found.alias("found"), quote.alias("quote"), F.lit("c1").alias("chunk_id"), said[0].alias("judgment"), F.lit("r").alias("판단_이유"))
+    other = F.struct(F.col("doc_idx").cast("string").alias("document_index"), F.concat(F.lit("("), F.lower("label"), F.lit(") part")).alias("element"), F.when(found, "yes").otherwise("no").alias("matched"), quote.alias("citation"), F.lit("c2").alias("paragraph"), said[1].alias("판정"), F.lit("r").alias("reason"))
+    less = F.struct(F.col("doc_idx").alias("doc_index"), F.col("label").alias("label"), found.alias("found"), quote.alias("quote"), said[0].alias("judgment"), F.lit("r").alias("similarity_reason"))
+    item = F.when(line % 3 == 0, F.to_json(own)).when(line % 3 == 1, F.to_json(other)).otherwise(F.to_json(less))
+    each = rows.groupBy("case_id", "claim_number").agg(F.array_join(F.sort_array(F.collect_list(item)), ",").alias("items"))
+    text = F.when(F.col("case_id") % 2 == 0, F.concat(F.lit("Result {so far}:\n```json\n["), "items", F.lit("]\n``` done]"))).otherwise(F.concat(F.lit('{"note": 1, "comparisons": {"results": ['), "items", F.lit("]}}")))
+    return each.select((F.col("case_id") * 8 + F.col("claim_number") - 1).alias("response_id"), text.alias("text"))

@@ -199,3 +199,76 @@ def test_a_document_with_an_explicit_risk_is_no_support(spark):
         first = selection.secondary_shortlist(scoring.secondary_scores(rows)).filter("primary_idx = 0 and rank = 1").first()
         best = selection.selected_pairs(rows, none, led_by_0).first()
         assert first["doc_idx"] == doc and (best["primary_idx"], best["secondary_idx"]) == (0, doc)
+
+
+def test_claim_chains_of_any_depth_and_cycles(spark):
+    from claimweave.operators import claims
+
+    chain = [(1, k, "independent" if k == 1 else "dependent", k - 1 if k > 1 else None) for k in range(1, 91)]
+    cycle = [(2, 1, "dependent", 3), (2, 2, "dependent", 1), (2, 3, "dependent", 2), (2, 4, "dependent", 9)]
+    df = spark.createDataFrame(chain + cycle, "case_id long, claim_number long, claim_type string, parent_claim long")
+    got = {(r["case_id"], r["claim_number"], r["ancestor"]): r["depth"] for r in claims.ancestors(df).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 1} == {(1, a, b): a - b for a in range(1, 91) for b in range(1, a)}
+    assert {k[1:] for k in got if k[0] == 2} == {(1, 3), (1, 2), (2, 1), (2, 3), (3, 2), (3, 1)}
+    roots = {(r["case_id"], r["claim_number"]): r["root"] for r in claims.family_roots(df).collect()}
+    assert all(roots[1, k] == 1 for k in range(1, 91)) and roots[2, 4] is None and roots[2, 1] is None
+
+
+def test_folding_beyond_ascii(spark):
+    from claimweave.functions import text
+
+    row = spark.createDataFrame([("한-\n국어\u3000A\u00a0b", "【가】\u3000나\u00a0 다")], "v string, n string").select(text.verbatim_text("v").alias("v"), text.normalized_text("n").alias("n")).first()
+    assert tuple(row) == ("한국어 a b", "가 나 다")
+
+
+def test_quotations_meet_documents_by_content(spark):
+    from claimweave.operators import evidence
+
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, "x " + " ".join(words)), (2, " ".join(words[:7])), (3, " ".join(words[5:13]).upper().replace(" ", "\n ")), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words[2:20])), (8, "short one"), (9, None)], "item_id long, text string")
+    assert sorted(map(tuple, evidence.citing_pairs(docs, items).collect())) == [(1, 7), (3, 7)]
+
+
+def test_predicates_on_korean_and_english(spark):
+    from claimweave.functions import predicates as p
+
+    rows = [("상기 조건에 따라 또는 모드를 선택", "5"), ("모터", "2"), ("고 임피던스 입력", "x"), ("피드백 제어부", None), ("x" * 101, "9"), ("", "3"), (None, "0")]
+    df = spark.createDataFrame(rows, "text string, weight string")
+    no = p.F.lit(False)
+    got = [tuple(r) for r in df.select(p.is_conditioned_selection("text"), p.is_generic_interface("text", no), p.is_distinctive("text"), p.is_simple_component("text", no), p.is_conventional("text", p.F.col("weight"), no), p.importance("weight")).collect()]
+    assert got == [
+        (True, False, True, False, False, 5), (False, False, False, True, True, 2), (False, True, False, False, False, 3), (False, False, True, False, False, 3),
+        (False, False, True, False, False, 5), (False, False, False, False, False, 3), (False, False, False, False, False, 1),
+    ]
+    assert df.select(p.technical_concepts("text")).first()[0] == ["conditional_processing"]
+
+
+def test_responses_to_rows(spark):
+    import json
+
+    from claimweave.operators import responses
+
+    quote = {"found": True, "chunk_id": "c1", "reason": "r", "judgment": "동일", "quote_translation": "번역"}
+    texts = {
+        1: 'see ```json\n' + json.dumps([{**quote, "label": "(a) part", "doc_index": 0, "quote": "alpha beta gamma delta"}]) + "\n``` and [1, {",
+        2: json.dumps({"comparisons": [{"document_index": "1", "results": {"A": [{**quote, "quote": "made up words that nobody wrote"}], "B-1": {"found": False, "quote": "", "chunk": "", "판정": "없음", "reason": ""}}}]}),
+        3: "nothing", 4: None,
+        5: json.dumps([{**quote, "label": "The first part.", "doc_index": 0, "quote": "alpha and beta gamma delta epsilon", "evidence": [{"quote": "beta gamma delta", "chunk_id": "c2"}]}]),
+        6: json.dumps([{**quote, "label": "A", "doc_index": 0, "quote": "alpha beta seen gamma"}, {**quote, "label": "A", "doc_index": 7, "quote": "q"}, {**quote, "label": "Q", "doc_index": 0, "quote": "q"}, {"label": "A", "quote": ""}, {**quote, "label": "A", "doc_index": 0, "quote": "alpha beta gamma delta", "judgment": "vague"}, {**quote, "label": "A", "doc_index": 0, "quote": "alpha beta gamma delta", "quote_translation": ""}]),
+    }
+    df = spark.createDataFrame(list(texts.items()), "response_id long, text string")
+    elements = spark.createDataFrame([(i, *e) for i in texts for e in (("A", "The first part"), ("B-1", "second"))], "response_id long, label string, text string")
+    documents = spark.createDataFrame([(i, d) for i in texts for d in (0, 1)], "response_id long, doc_idx int")
+    corpora = documents.withColumn("corpus", responses.F.lit("so alpha  beta gamma delta it is"))
+    chunks = spark.createDataFrame([(6, 0, "c1", "alpha beta gamma delta")], "response_id long, doc_idx int, chunk_id string, chunk string")
+    rows = {}
+    for r in responses.normalized(df, elements, documents, corpora, chunks).orderBy("response_id", "place").collect():
+        rows.setdefault(r["response_id"], []).append(r)
+    assert [(r["label"], r["judgment"], r["evidence_status"], r["reject"]) for r in rows[1]] == [("A", "identical", "verified", None)]
+    assert [(r["doc_idx"], r["label"], r["judgment"], r["evidence_status"], r["adjustment"], r["reject"]) for r in rows[2]] == [(1, "A", "none", "unverified", "quote_not_verbatim", None), (1, "B-1", "none", "absent", "", None)]
+    assert [r["reject"] for i in (3, 4) for r in rows[i]] == ["no_payload"] * 2
+    (one,) = rows[5]
+    assert (one["label"], one["quote"], one["chunk_id"], one["evidence_status"], one["directness"]) == ("A", "beta gamma delta", "c2", "verified_from_evidence", "direct") or one["reject"] == "foreign_quote_without_translation"
+    assert [(r["evidence_status"], r["directness"], r["quote"]) for r in rows[6][:1]] == [("recovered_from_cited_chunk", "inferred", "alpha beta gamma delta")]
+    assert [r["reject"] for r in rows[6]] == [None, "doc_index_out_of_range", "unknown_label", "missing_fields:chunk_id,doc_index,found,judgment,reason", "judgment_not_allowed", "foreign_quote_without_translation"]
