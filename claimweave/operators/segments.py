@@ -21,10 +21,10 @@ def fixed_windows(docs: DataFrame, text: str = "text", size: int = WINDOW_CHARS)
     return cut.withColumn("window", piece).filter("window <> ''")
 
 
-def marker_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = MARKER) -> DataFrame:
+def marker_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = MARKER, covered: bool = True) -> DataFrame:
     """(key, paragraph_no, paragraph): from each marked line on to the next; the last of a repeated number wins.
 
-    Texts over COVERED_FROM characters of which the paragraphs hold under COVERED_SHARE have none.
+    With covered, texts over COVERED_FROM characters of which the paragraphs hold under COVERED_SHARE have none.
     """
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     lines = docs.select(key, F.length(text).alias("whole"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("at", "line"))
@@ -36,6 +36,8 @@ def marker_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     out = parts.withColumn("paragraph", strip(F.array_join(F.col("lines.body"), "\n")))
     last = Window.partitionBy(key, "paragraph_no").orderBy(F.desc("part"))
     out = out.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1")
+    if not covered:
+        return out.select(key, "paragraph_no", "paragraph")
     held = F.sum(F.length("paragraph")).over(Window.partitionBy(key))
     return out.withColumn("held", held).filter((F.col("whole") < COVERED_FROM) | (F.col("held") / F.col("whole") >= COVERED_SHARE)).select(key, "paragraph_no", "paragraph")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import dims, predicates, text
 from claimweave.operators import claims as claim_ops
-from claimweave.operators import decisions, evidence, judgments, responses, scoring, segments, selection
+from claimweave.operators import claim_text, decisions, evidence, judgments, patents, responses, scoring, segments, selection
 from claimweave.sources import fixtures as fx
 from claimweave.sources import tables
 
@@ -509,3 +509,67 @@ def history_deleted(spark, sf_dir):
     """History rows of independent claims are deleted by their key."""
     rows = fx.raw_judgments(spark, sf_dir).select("case_id", "claim_number", F.col("label").alias("role"), "seq")
     return tables.deleted(rows, fx.claims(spark, sf_dir).filter("claim_type = 'independent'"), ["case_id", "claim_number"])
+
+
+@query(fx.ctes(fx.CLAIM_PARTS) + """
+SELECT l.case_id, l.claim_number, c.claim_type, c.parent_claim, CAST(pos AS INTEGER) AS pos, CASE WHEN kind = 2 THEN '_' WHEN sub THEN chr(65 + n_first) || '-1' ELSE chr(65 + n) END AS label,
+  CAST(CASE WHEN kind = 2 THEN 2 WHEN sub THEN 3 WHEN n = 0 THEN 5 WHEN n < 3 THEN 3 ELSE 2 END AS INTEGER) AS importance, CASE WHEN sub THEN chr(65 + n_first) END AS parent_label, CASE WHEN count(*) OVER (PARTITION BY l.case_id, l.claim_number) > 1 THEN 'regex' ELSE 'fallback' END AS split_method
+FROM lettered l JOIN claims c USING (case_id, claim_number)""")
+def claim_elements(spark, sf_dir):
+    """Parents, labels, weights and sub-elements that made-up claim texts are parsed to."""
+    rows = claim_text.with_elements(claim_text.with_parents(fx.claim_texts(spark, sf_dir)))
+    return rows.select("case_id", "claim_number", "claim_type", "parent_claim", "split_method", F.posexplode("elements").alias("pos", "e")).select("case_id", "claim_number", "claim_type", "parent_claim", "pos", "e.label", "e.importance", "e.parent_label", "split_method")
+
+
+RISKS = """rk AS (SELECT case_id, claim_number, doc_idx, label, quote_len % 6 = 0 AS motivated, quote_len % 11 <= 1 AS risky FROM cells),
+mr AS (SELECT m.*, coalesce(motivated, false) AS motivated, coalesce(risky, false) AS risky, (m.case_id + ascii(m.label)) % 3 AS cluster FROM m LEFT JOIN rk USING (case_id, claim_number, doc_idx, label)),
+per AS (SELECT case_id, claim_number, primary_idx, doc_idx, cluster, coalesce(sum(w) FILTER (base_sim >= 0.35), 0) AS rw FROM mr GROUP BY ALL),
+qr AS (SELECT case_id, claim_number, primary_idx, doc_idx, bool_or(risky) AS risky, count(*) FILTER (risky AND base_sim >= 0.35) AS risks, coalesce(sum(w) FILTER (motivated AND base_sim >= 0.35), 0) AS mw FROM mr GROUP BY ALL),
+qs AS (SELECT q.*, risky, risks, mw, best FROM q JOIN qr USING (case_id, claim_number, primary_idx, doc_idx) JOIN (SELECT case_id, claim_number, primary_idx, doc_idx, max(rw) AS best FROM per GROUP BY ALL) USING (case_id, claim_number, primary_idx, doc_idx)),
+scr AS (SELECT *, round(base + 8 * rw / den + CASE WHEN reached >= 2 AND rw > 0 THEN 7 * best / rw ELSE 0 END + 3 * mw / den - CASE WHEN targets >= 3 AND reached <= 1 AND base > 0 THEN least(12.0::DOUBLE, 8 + 0.06 * base) ELSE 0 END - CASE WHEN risks > 0 THEN 40 ELSE 0 END + 1e-11, 9) AS adjusted_score, round(cg + 1e-11, 9) AS critical_gain FROM qs)"""
+
+
+def risky_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense matrix with motivations, combination risks and element texts of three clusters."""
+    k = F.col("quote_len")
+    rows = cells(spark, sf_dir).withColumn("motivation_quote", F.when(k % 6 == 0, "to save power").otherwise(" ")).withColumn("combination_risk", F.when(k % 11 == 0, "contrary_teaching").when(k % 11 == 1, " Incompatible ").when(k % 11 == 2, "uncertain"))
+    texts = F.element_at(F.array(*map(F.lit, ("a gear", "a pixel", "a thing"))), ((F.col("case_id") + F.ascii("label")) % 3 + 1).cast("int"))
+    return scoring.dense(rows, fx.elements(spark, sf_dir).withColumn("text", texts), fx.case_documents(spark, sf_dir))
+
+
+@query(fx.ctes(SECONDARY, RISKS) + "\nSELECT case_id, claim_number, primary_idx, doc_idx, adjusted_score, risky FROM scr")
+def secondary_risk(spark, sf_dir):
+    """Secondary scores with motivation, risk and cluster terms."""
+    return scoring.secondary_scores(risky_dense(spark, sf_dir)).select("case_id", "claim_number", "primary_idx", "doc_idx", "adjusted_score", "risky")
+
+
+@query(fx.ctes(SECONDARY, RISKS) + """
+SELECT case_id, claim_number, primary_idx, doc_idx, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY case_id, claim_number, primary_idx ORDER BY critical_gain DESC, adjusted_score DESC, doc_idx) AS INTEGER) AS rank FROM scr WHERE adjusted_score > 0 AND NOT risky AND (hard_fill > 0 OR soft_fill > 0 OR ev > 0)) WHERE rank <= 4""")
+def safe_shortlist(spark, sf_dir):
+    """Supports of every primary, none with an explicit risk at a target."""
+    return selection.secondary_shortlist(scoring.secondary_scores(risky_dense(spark, sf_dir))).select("case_id", "claim_number", "primary_idx", "doc_idx", "rank")
+
+
+@query("""WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part) SELECT k AS document, CASE k % 6 WHEN 0 THEN 'WO2023/' || (10000 + k % 80000) || 'A1' WHEN 1 THEN 'KR10-2020-' || (1000000 + k) WHEN 2 THEN 'US11,123,' || (100 + k % 900) WHEN 3 THEN 'CN' || (115000000 + k) || 'A' WHEN 4 THEN '10-' || (2000000 + k) ELSE 'file.' || k END AS publication_no,
+  CASE WHEN k % 4 = 0 THEN 'Name ' || k ELSE CASE WHEN k % 6 = 4 THEN 'KR 10-' || (2000000 + k) ELSE 'file.' || k END END AS title, k % 6 = 0 AS patent FROM p""")
+def publication_numbers(spark, sf_dir):
+    """Numbers, titles and kinds of made-up front pages; a sixth has its number in the file name alone, a sixth none."""
+    k = F.col("p_partkey").cast("long")
+    s = lambda c: c.cast("string")
+    number = F.when(k % 6 == 0, F.concat(F.lit("x WO 2023 / "), s(10000 + k % 80000), F.lit(" A1 y"))).when(k % 6 == 1, F.concat(F.lit("kr 10-2020-"), s(1000000 + k))).when(k % 6 == 2, F.concat(F.lit("(US 11,123,"), s(100 + k % 900))).when(k % 6 == 3, F.concat(F.lit("CN "), s(115000000 + k), F.lit(" A."))).otherwise("none")
+    named = F.when(k % 4 == 0, F.concat(F.lit("\nTitle:  Name "), s(k), F.lit(" \nmore"))).otherwise("")
+    file = F.when(k % 6 == 4, F.concat(F.lit("KR 10-"), s(2000000 + k), F.lit(".pdf"))).otherwise(F.concat(F.lit("file."), s(k), F.lit(".pdf")))
+    rows = fx.read(spark, sf_dir, "part").select(k.alias("document"), F.concat(number, named).alias("text"), file.alias("file"))
+    return rows.select("document", patents.publication_no(F.col("text"), F.col("file")).alias("publication_no"), patents.title(F.col("text"), F.col("file")).alias("title"), patents.looks_like_patent(F.col("text")).alias("patent"))
+
+
+@query(fx.ctes() + "\nSELECT case_id, CAST(claim_number AS VARCHAR) AS number, 'item ' || label || ' of ' || claim_number AS body FROM (SELECT case_id, claim_number, max(label) AS label FROM elements GROUP BY ALL)")
+def claims_section(spark, sf_dir):
+    """Claims of made-up documents, one for each case, in two notations; of a number that comes twice the last body counts."""
+    rows = fx.elements(spark, sf_dir).select("case_id", "claim_number", "label")
+    n = F.col("claim_number").cast("string")
+    body = F.concat(F.lit(" item "), "label", F.lit(" of "), n, F.lit("\n"))
+    item = F.when(F.col("case_id") % 2 == 0, F.concat(F.lit("청구항 "), n, body)).otherwise(F.concat(n, F.lit("."), body))
+    texts = rows.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_number", "label", item.alias("i")))), lambda x: x["i"]), "").alias("items"))
+    head = F.when(F.col("case_id") % 2 == 0, "청구항 99 before\n【청구범위】\n").otherwise("7. before\nCLAIMS\n")
+    return patents.claims(texts.select("case_id", F.concat(head, "items").alias("text")), "case_id").select("case_id", "number", "body")

@@ -148,3 +148,21 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = rows.groupBy("case_id", "claim_number").agg(F.array_join(F.sort_array(F.collect_list(item)), ",").alias("items"))
     text = F.when(F.col("case_id") % 2 == 0, F.concat(F.lit("Result {so far}:\n```json\n["), "items", F.lit("]\n``` done]"))).otherwise(F.concat(F.lit('{"note": 1, "comparisons": {"results": ['), "items", F.lit("]}}")))
     return each.select((F.col("case_id") * 8 + F.col("claim_number") - 1).alias("response_id"), text.alias("text"))
+
+
+def claim_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for every claim: its parent in the preamble, and a part for each label that makes, extends or names a component."""
+    kind = (F.col("case_id") + F.ascii("label")) % 3
+    rows = elements(spark, sf_dir).select("case_id", "claim_number", "label", kind.alias("kind"))
+    first = rows.groupBy("case_id", "claim_number").agg(F.coalesce(F.min(F.when(F.col("kind") == 0, F.col("label"))), F.lit("Q")).alias("first"))
+    part = F.when(F.col("kind") == 0, F.concat(F.lit("빛을 감지하는 부품 "), "label")).when(F.col("kind") == 1, F.concat(F.lit("상기 부품 "), "first", F.lit("에 연결되는 축"))).otherwise(F.concat(F.lit("센서"), "label"))
+    texts = rows.join(first, ["case_id", "claim_number"]).groupBy("case_id", "claim_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", part.alias("p")))), lambda x: x["p"]), "; ").alias("parts"))
+    own = F.when(F.col("parent_claim").isNull(), "").otherwise(F.concat(F.lit("제 "), F.col("parent_claim").cast("string"), F.lit(" 항에 있어서, ")))
+    return claims(spark, sf_dir).join(texts, ["case_id", "claim_number"]).select("case_id", "claim_number", F.lit("independent").alias("claim_type"), F.lit(None).cast("long").alias("parent_claim"), F.concat(own, "parts").alias("text"))
+
+
+CLAIM_PARTS = """parts AS (SELECT case_id, claim_number, label, (case_id + ascii(label)) % 3 AS kind, row_number() OVER (PARTITION BY case_id, claim_number ORDER BY label) - 1 AS pos FROM elements),
+firsts AS (SELECT case_id, claim_number, min(label) FILTER (kind = 0) AS first FROM parts GROUP BY ALL),
+kinds AS (SELECT p.*, first, kind = 1 AND first IS NOT NULL AND first < label AS sub, kind = 0 OR (kind = 1 AND NOT (first IS NOT NULL AND first < label)) AS plain FROM parts p JOIN firsts USING (case_id, claim_number)),
+numbered AS (SELECT *, CAST(count(*) FILTER (plain) OVER (PARTITION BY case_id, claim_number ORDER BY label) AS INTEGER) - 1 AS n FROM kinds),
+lettered AS (SELECT *, min(n) FILTER (kind = 0) OVER (PARTITION BY case_id, claim_number) AS n_first FROM numbered)"""
