@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from claimweave.operators import claims as claim_ops
 from claimweave.operators import claim_text, decisions, evidence, judgments, patents, responses, scoring, segments, selection
 from claimweave.sources import fixtures as fx
 from claimweave.sources import tables
+from claimweave.sources.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -225,10 +227,44 @@ def secondary_shortlist(spark, sf_dir):
     return selection.secondary_shortlist(scoring.secondary_scores(dense(spark, sf_dir))).select("case_id", "claim_number", "primary_idx", "doc_idx", "rank")
 
 
-@query()
+def _renamed(ctes: str, **names: str) -> str:
+    """Table expressions under other names, so that both forms can stand in one query."""
+    for old, fresh in names.items():
+        ctes = re.sub(rf"(?<![\w.]){old} AS \(", f"{fresh} AS (", ctes)
+        ctes = re.sub(rf"FROM {old}(?!\w)", f"FROM {fresh}", ctes)
+    return ctes
+
+
+#: The flagship's oracle: the same scores under rarity weights, the best support of every eligible primary, and the best pair.
+WEIGHTED_PRIMARY = _renamed(PRIMARY, g="gw", p="pw").replace("SELECT *, importance::DOUBLE AS w FROM scored", "SELECT scored.*, weight AS w FROM scored JOIN weights USING (case_id, claim_number, label)")
+WEIGHTED_SECONDARY = _renamed(SECONDARY, m="mw", q="qw").replace("c.importance::DOUBLE", "wt.weight").replace("JOIN scored p USING (case_id, claim_number, label)", "JOIN scored p USING (case_id, claim_number, label) JOIN (SELECT case_id, claim_number, label, weight FROM weights) wt USING (case_id, claim_number, label)")
+FAMILY = """fam AS (SELECT *, greatest(0.65::DOUBLE, 1 - 0.05::DOUBLE * (row_number() OVER (PARTITION BY case_id, root ORDER BY claim_number) - 1)) AS depth FROM roots WHERE claim_number <> root),
+reuse AS (SELECT case_id, root AS claim_number, doc_idx, round(sum(importance * depth * CASE WHEN has_quote AND directness <> 'absent' THEN item_sim ELSE 0 END) / sum(importance * depth) + 1e-11, 9) AS reuse FROM scored JOIN fam USING (case_id, claim_number) GROUP BY ALL),
+corew AS (SELECT DISTINCT case_id, claim_number, doc_idx, true AS core FROM scored WHERE is_distinctive AND has_quote AND directness <> 'absent' AND item_sim >= 0.85),
+eligw AS (SELECT case_id, claim_number, doc_idx, coalesce(core, false) AS core, round(distinctive_direct + 1e-11, 9) AS dd, round(core_coverage + 1e-11, 9) AS cc, round(core_breadth + 1e-11, 9) AS cb, round(field_alignment + 1e-11, 9) AS fa,
+  round(greatest(0.0::DOUBLE, 0.40 * distinctive_direct + 0.25 * core_coverage + 0.15 * core_breadth + 0.12 * element_coverage + 0.08 * evidence_coverage - 0.20 * core_gap_weight) * 100 + 1e-11, 9) AS ps,
+  max(round(distinctive_direct + 1e-11, 9)) OVER (PARTITION BY case_id, claim_number) AS best FROM pw LEFT JOIN corew USING (case_id, claim_number, doc_idx)),
+lead AS (SELECT *, max(dd) OVER (PARTITION BY case_id, claim_number) AS top FROM eligw WHERE best <= 0 OR dd >= best * 0.72::DOUBLE OR dd >= best - 0.10::DOUBLE OR core),
+supports AS (SELECT s.case_id, s.claim_number, primary_idx, s.doc_idx, round(cg + 1e-11, 9) AS cg9, hard_fill, coalesce(reuse, 0.0) AS reuse,
+  round(base + 8 * rw / den + CASE WHEN reached >= 2 THEN 7 ELSE 0 END - CASE WHEN targets >= 3 AND reached <= 1 AND base > 0 THEN least(12.0::DOUBLE, 8 + 0.06 * base) ELSE 0 END + 1e-11, 9) AS adj
+  FROM qw s LEFT JOIN reuse USING (case_id, claim_number, doc_idx) WHERE hard_fill > 0 OR soft_fill > 0 OR ev > 0),
+bests AS (SELECT case_id, claim_number, primary_idx AS doc_idx, arg_max(struct_pack(d := doc_idx, s := adj + least(2.0::DOUBLE, reuse * 2), h := hard_fill > 0), (cg9, adj + least(2.0::DOUBLE, reuse * 2), -doc_idx)) AS b FROM supports WHERE adj > 0 GROUP BY ALL),
+chosen AS (SELECT l.*, b.d AS second, coalesce(b.s, 0.0) AS score2, coalesce(b.h, false) AS fills, coalesce(r.reuse, 0.0) AS reuse FROM lead l LEFT JOIN bests USING (case_id, claim_number, doc_idx) LEFT JOIN reuse r USING (case_id, claim_number, doc_idx)),
+both_ AS (SELECT case_id, claim_number, doc_idx AS primary_idx, doc_idx FROM chosen UNION ALL SELECT case_id, claim_number, doc_idx, second FROM chosen WHERE second IS NOT NULL),
+eachw AS (SELECT s.case_id, s.claim_number, primary_idx, label, any_value(importance) AS importance, any_value(weight) AS weight, any_value(s.is_distinctive) AS is_distinctive, max(item_sim) AS c FROM scored s JOIN both_ USING (case_id, claim_number, doc_idx) JOIN (SELECT case_id, claim_number, label, weight FROM weights) USING (case_id, claim_number, label) GROUP BY s.case_id, s.claim_number, primary_idx, label),
+joint AS (SELECT case_id, claim_number, primary_idx AS doc_idx, count(*) FILTER (c * 100 <= 35 AND is_distinctive) AS critical_open, coalesce(sum(weight) FILTER (c * 100 <= 35), 0.0) AS open_weight, 100 * sum(importance * c) / sum(importance) AS combined FROM eachw GROUP BY ALL),
+picked AS (SELECT case_id, claim_number, arg_max(struct_pack(p := doc_idx, s := second), (-critical_open, -round(open_weight + 1e-9, 6), round(CASE WHEN top < 0.35 THEN fa ELSE 0.0 END + 1e-9, 6), round(combined + 1e-9, 6), dd, cc, fills, cb, round(ps + reuse + 1e-9, 6), round(score2 + 1e-9, 6), -doc_idx)) AS b FROM chosen JOIN joint USING (case_id, claim_number, doc_idx) GROUP BY ALL),
+ps AS (SELECT *, round(greatest(0.0::DOUBLE, 0.40 * distinctive_direct + 0.25 * core_coverage + 0.15 * core_breadth + 0.12 * element_coverage + 0.08 * evidence_coverage - 0.20 * core_gap_weight) * 100 + 1e-11, 9) AS primary_score FROM p),
+novel AS (SELECT case_id, claim_number, arg_max(doc_idx, (primary_score, -doc_idx)) FILTER (is_complete) AS alone FROM disclosure JOIN ps USING (case_id, claim_number, doc_idx) GROUP BY ALL),
+families AS (SELECT case_id, claim_number, coalesce(alone, b.p) AS primary_idx, CASE WHEN alone IS NULL THEN b.s END AS secondary_idx, CASE WHEN alone IS NOT NULL THEN 'single_document' WHEN b.s IS NULL THEN 'single_best' ELSE 'combination' END AS track
+  FROM picked JOIN novel USING (case_id, claim_number) JOIN claims USING (case_id, claim_number) WHERE claim_type = 'independent')"""
+FAMILY_CTES = fx.ctes(ROOTS, DISCLOSURE, PRIMARY, WEIGHTS, WEIGHTED_PRIMARY, WEIGHTED_SECONDARY, FAMILY)
+
+
+@query(FAMILY_CTES + "\nSELECT * FROM families")
 def family_selection(spark, sf_dir):
     """The best pair of documents for every independent claim: the flagship."""
-    rows = dense(spark, sf_dir)
+    rows = stored(dense(spark, sf_dir))  # read by every score below
     claims = fx.claims(spark, sf_dir)
     roots = claims.filter("claim_type = 'independent'").select("case_id", "claim_number")
     reuse = scoring.dependent_reuse(rows, claim_ops.family_roots(claims))
@@ -341,11 +377,17 @@ def budget_context(spark, sf_dir):
     return docs.withColumn("c", chunks).select("doc_id", "item_id", F.array_join(evidence.budgeted_orders(F.col("c"), 6_000), ",").alias("kept"))
 
 
-@query(r"""WITH u AS (SELECT page_id % 50 AS batch, regexp_replace(unnest(regexp_extract_all(url, '(?i)https?://[^\s)<>\]]+')), '[.,;]+$', '') AS u FROM pages)
-SELECT b.batch, count(DISTINCT u) AS url_count, CAST(0 AS BIGINT) AS identifier_count, true AS needs_expansion FROM (SELECT DISTINCT page_id % 50 AS batch FROM pages) b LEFT JOIN u USING (batch) GROUP BY b.batch""")
+@query(r"""WITH r AS (SELECT page_id // 4 AS batch, url || CASE page_id % 5 WHEN 0 THEN ' and US ' || (20000000 + page_id % 7) || 'A1.' WHEN 1 THEN ' arXiv: 2401.0' || (1000 + page_id % 3) || 'v2 ' WHEN 2 THEN ' doi 10.1000/x.' || page_id % 2 ELSE '' END AS t FROM pages),
+u AS (SELECT batch, count(DISTINCT u) AS n FROM (SELECT batch, regexp_replace(unnest(regexp_extract_all(t, '(?i)https?://[^\s)<>\]]+')), '[.,;]+$', '') AS u FROM r) GROUP BY batch),
+i AS (SELECT batch, count(DISTINCT i) AS n FROM (SELECT batch, upper(replace(unnest(regexp_extract_all(t, '(?i)\b(?:US|WO|EP|KR|JP|CN)\s*[-/]?\s*\d{4,}[A-Z]\d?\b|\barXiv\s*:?\s*\d{4}\.\d{4,5}(?:v\d+)?\b|\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b')), ' ', '')) AS i FROM r) GROUP BY batch)
+SELECT b.batch, coalesce(u.n, 0) AS url_count, coalesce(i.n, 0) AS identifier_count, coalesce(u.n, 0) < 3 OR coalesce(i.n, 0) < 2 AS needs_expansion FROM (SELECT DISTINCT batch FROM r) b LEFT JOIN u USING (batch) LEFT JOIN i USING (batch)""")
 def search_stats(spark, sf_dir):
-    """Distinct addresses over batches of pages; their identifiers are none."""
-    return evidence.search_stats(fx.read(spark, sf_dir, "pages").withColumn("batch", F.col("page_id") % 50), "batch", "url")
+    """Distinct addresses and identifiers over batches of four pages, most of which name a document."""
+    k = F.col("page_id")
+    s = lambda c: c.cast("string")
+    named = F.when(k % 5 == 0, F.concat(F.lit(" and US "), s(20000000 + k % 7), F.lit("A1."))).when(k % 5 == 1, F.concat(F.lit(" arXiv: 2401.0"), s(1000 + k % 3), F.lit("v2 "))).when(k % 5 == 2, F.concat(F.lit(" doi 10.1000/x."), s(k % 2))).otherwise("")
+    rows = fx.read(spark, sf_dir, "pages").select(F.floor(k / 4).alias("batch"), F.concat("url", named).alias("t"))
+    return evidence.search_stats(rows, "batch", "t")
 
 
 @query(fx.ctes("""arriving AS (SELECT case_id, claim_number, doc_idx, label, judgment, seq FROM cells WHERE seq % 7 = 0)""") + """
@@ -367,12 +409,15 @@ def reference_history(spark, sf_dir):
     return tables.upsert_scoped(old, new, ["case_id", "claim_number"], ["case_id", "claim_number", "role"], F.col("seq"))
 
 
-@query("""WITH f AS (SELECT source AS case_id, 'doc-' || doc_id AS filename, doc_id FROM documents), m AS (SELECT case_id, filename, doc_id % 13 AS position FROM f WHERE doc_id % 3 = 0)
-SELECT case_id, filename, CAST(row_number() OVER (PARTITION BY case_id ORDER BY position NULLS LAST, filename) - 1 AS INTEGER) AS doc_idx FROM f LEFT JOIN m USING (case_id, filename)""")
+@query("""WITH f AS (SELECT doc_id // 8 * 2 + (doc_id % 8 >= 5)::INT AS case_id, 'doc-' || doc_id AS filename, doc_id FROM documents), m AS (SELECT case_id, filename, doc_id % 13 AS position FROM f WHERE doc_id % 3 = 0),
+o AS (SELECT case_id, filename, CAST(row_number() OVER (PARTITION BY case_id ORDER BY position NULLS LAST, filename) - 1 AS INTEGER) AS doc_idx, count(*) OVER (PARTITION BY case_id) AS n FROM f LEFT JOIN m USING (case_id, filename))
+SELECT case_id, filename, doc_idx FROM o WHERE n <= 4""")
 def document_order(spark, sf_dir):
-    files = fx.read(spark, sf_dir, "documents").select(F.col("source").alias("case_id"), F.concat(F.lit("doc-"), "doc_id").alias("filename"), "doc_id")
+    """Cases of five and three documents, of which those over four are gone."""
+    k = F.col("doc_id")
+    files = fx.read(spark, sf_dir, "documents").select((F.floor(k / 8) * 2 + (k % 8 >= 5).cast("long")).alias("case_id"), F.concat(F.lit("doc-"), "doc_id").alias("filename"), "doc_id")
     manifest = files.filter("doc_id % 3 = 0").withColumn("position", F.col("doc_id") % 13)
-    return tables.document_order(files, manifest, most=None)
+    return tables.document_order(files, manifest, most=4)
 
 
 @query("""SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE lang = 'en')""")
@@ -413,11 +458,6 @@ def decision_validation(spark, sf_dir):
     return decisions.validated_primary(shortlist(spark, sf_dir), proposed)
 
 
-@query()
-def used_documents(spark, sf_dir):
-    return decisions.used_documents(family_selection(spark, sf_dir))
-
-
 @query("SELECT source, avg(CASE WHEN trim(text) <> '' THEN length(text) END) AS mean_chars, coalesce(avg(CASE WHEN trim(text) <> '' THEN length(text) END), 0) < 100 AS rejected FROM documents GROUP BY source")
 def text_layer_gate(spark, sf_dir):
     """A source's documents as the pages of one text."""
@@ -573,3 +613,19 @@ def claims_section(spark, sf_dir):
     texts = rows.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_number", "label", item.alias("i")))), lambda x: x["i"]), "").alias("items"))
     head = F.when(F.col("case_id") % 2 == 0, "청구항 99 before\n【청구범위】\n").otherwise("7. before\nCLAIMS\n")
     return patents.claims(texts.select("case_id", F.concat(head, "items").alias("text")), "case_id").select("case_id", "number", "body")
+
+
+@query(FAMILY_CTES + """
+SELECT case_id, claim_number, 0 AS pos, primary_idx AS doc_idx, 'primary' AS role, CASE WHEN track = 'single_document' THEN 'novelty' WHEN secondary_idx IS NULL THEN 'single' ELSE 'combination_of_2' END AS basis FROM families
+UNION ALL SELECT case_id, claim_number, 1, secondary_idx, 'secondary', '' FROM families WHERE secondary_idx IS NOT NULL""")
+def used_documents(spark, sf_dir):
+    """The flagship's documents, one row each."""
+    return decisions.used_documents(family_selection(spark, sf_dir))
+
+
+@query(fx.ctes(ELIGIBLE, DECIDED, DISCLOSURE) + """
+SELECT case_id, claim_number, candidates, CASE WHEN n > 0 THEN 'single_document' WHEN candidates < 2 THEN 'no_choice' ELSE 'decide' END AS gate
+FROM f JOIN (SELECT case_id, claim_number, count(*) FILTER (is_complete) AS n FROM disclosure GROUP BY ALL) USING (case_id, claim_number)""")
+def decision_gate(spark, sf_dir):
+    """Which claims need a decision between shortlisted primaries."""
+    return decisions.decision_gate(shortlist(spark, sf_dir), scoring.novelty_screen(dense(spark, sf_dir)))

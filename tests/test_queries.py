@@ -10,8 +10,8 @@ from claimweave.plans import registry
 def test_query(spark, duck, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
-    if name not in registry.ORACLE_SQL:
-        assert df.count() >= 0
+    if name not in registry.ORACLE_SQL:  # held against plain loops in test_operators
+        assert name in {"budget_context"} and df.count() > 0
         return
     want = duck.sql(registry.ORACLE_SQL[name])
     assert sorted(want.columns) == columns
