@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import dims, predicates, text
 from claimweave.operators import claims as claim_ops
-from claimweave.operators import claim_text, decisions, evidence, judgments, patents, responses, scoring, segments, selection
+from claimweave.operators import claim_text, decisions, evidence, judgments, patents, reports, responses, scoring, segments, selection
 from claimweave.sources import fixtures as fx
 from claimweave.sources import tables
 from claimweave.sources.storage import stored
@@ -629,3 +629,67 @@ FROM f JOIN (SELECT case_id, claim_number, count(*) FILTER (is_complete) AS n FR
 def decision_gate(spark, sf_dir):
     """Which claims need a decision between shortlisted primaries."""
     return decisions.decision_gate(shortlist(spark, sf_dir), scoring.novelty_screen(dense(spark, sf_dir)))
+
+
+@query(r"""WITH c AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS c FROM documents), l AS (SELECT *, length(c) AS n, regexp_extract(c, '^.*[.!?] (.*)$', 1) AS last FROM c),
+h AS (SELECT *, last <> '' AND length(last) <= 72 AS short, CASE WHEN last <> '' AND length(last) <= 72 THEN 155 - length(last) ELSE 105 END AS hb, ltrim(right(c, 50)) AS t FROM l),
+j AS (SELECT *, CASE WHEN hb < n AND substr(c, hb + 1, 1) <> ' ' THEN regexp_replace(rtrim(substr(c, 1, hb)), ' [^ ]*$', '') ELSE rtrim(substr(c, 1, hb)) END AS head, CASE WHEN substr(c, n - 50, 1) <> ' ' THEN regexp_replace(t, '^[^ ]* ', '') ELSE t END AS tail FROM h)
+SELECT doc_id, CASE WHEN n <= 160 THEN c WHEN short THEN rtrim(substr(head || ' ... ' || last, 1, 160)) ELSE rtrim(substr(trim(head || ' ... ' || tail), 1, 160)) END AS excerpt FROM j""")
+def report_excerpts(spark, sf_dir):
+    return fx.read(spark, sf_dir, "documents").select("doc_id", reports.one_line_excerpt(F.col("text")).alias("excerpt"))
+
+
+@query(fx.ctes("""old AS (SELECT case_id, claim_number, doc_idx, label, judgment, has_quote, missing_count AS issues, CASE judgment WHEN 'identical' THEN 5 WHEN 'substantially_identical' THEN 4 WHEN 'partial_difference' THEN 3 WHEN 'partial_similarity' THEN 2 WHEN 'difference' THEN 1 ELSE 0 END AS r FROM cells),
+new AS (SELECT case_id, claim_number, doc_idx, label, CASE quote_len % 3 WHEN 0 THEN 'identical' WHEN 1 THEN 'difference' ELSE judgment END AS judgment, evidence_count > 0 AS has_quote, quote_len % 2 AS issues FROM cells WHERE quote_len % 4 <> 0),
+j AS (SELECT o.*, n.judgment AS nj, n.has_quote AS nq, n.issues AS ni, CASE n.judgment WHEN 'identical' THEN 5 WHEN 'substantially_identical' THEN 4 WHEN 'partial_difference' THEN 3 WHEN 'partial_similarity' THEN 2 WHEN 'difference' THEN 1 ELSE 0 END AS nr FROM old o LEFT JOIN new n USING (case_id, claim_number, doc_idx, label)),
+b AS (SELECT *, coalesce(nq AND (nr > r OR (issues > 0 AND ni < issues)), false) AS up FROM j)""") + """
+SELECT case_id, claim_number, doc_idx, label, CASE WHEN up THEN nj ELSE judgment END AS judgment, CASE WHEN up THEN nq ELSE has_quote END AS has_quote, CAST(CASE WHEN up THEN ni ELSE issues END AS BIGINT) AS issues, up AS precision_review FROM b""")
+def recheck_merge(spark, sf_dir):
+    """Cells against made-up rechecks of three quarters of them."""
+    rows, k = cells(spark, sf_dir), F.col("quote_len")
+    old = rows.withColumn("issues", F.col("missing_count").cast("long"))
+    judged = F.when(k % 3 == 0, "identical").when(k % 3 == 1, "difference").otherwise(F.col("judgment"))
+    new = rows.filter(k % 4 != 0).select(*fx.KEY, judged.alias("judgment"), (F.col("evidence_count") > 0).alias("has_quote"), (k % 2).alias("issues"))
+    return reports.rechecked(old, new)
+
+
+@query(fx.ctes("best AS (SELECT case_id, claim_number, label, coalesce(max(gap_rank) FILTER (doc_idx <= 1), 0) AS r FROM scored GROUP BY ALL)") + """
+SELECT case_id, claim_number, coalesce(string_agg(label, ',' ORDER BY label) FILTER (r < 3), '') AS residual_labels FROM best JOIN claims USING (case_id, claim_number) WHERE claim_type = 'dependent' GROUP BY ALL""")
+def dependent_residual(spark, sf_dir):
+    """Elements of dependents that documents 0 and 1 leave open."""
+    dependents = fx.claims(spark, sf_dir).filter("claim_type = 'dependent'").select("case_id", "claim_number")
+    rows = dense(spark, sf_dir).join(dependents, ["case_id", "claim_number"], "left_semi")
+    return reports.dependent_residual(rows, fx.case_documents(spark, sf_dir).filter("doc_idx <= 1").join(dependents, "case_id"))
+
+
+@query(fx.ctes() + "\nSELECT DISTINCT case_id, claim_number, doc_idx, label, judgment, has_reason FROM raw WHERE judgment <> 'none'")
+def meaningful_matches(spark, sf_dir):
+    """Raw rows that judge anything, once for each judgment and reason."""
+    return reports.meaningful_matches(fx.raw_judgments(spark, sf_dir), ["judgment", "has_reason"]).select(*fx.KEY, "judgment", "has_reason")
+
+
+@query(fx.ctes("""rec AS (SELECT *, CASE WHEN judgment = 'partial_difference' AND directness = 'direct' AND missing_count = 0 AND has_quote AND has_reason THEN 'substantially_identical' ELSE judgment END AS after FROM cells)""") + "\nSELECT case_id, claim_number, doc_idx, label, after AS judgment FROM rec")
+def label_reconciliation(spark, sf_dir):
+    """Rows with a reason are taken to call the two the same."""
+    return judgments.reconciled(cells(spark, sf_dir), F.col("has_reason")).select(*fx.KEY, "judgment")
+
+
+@query(fx.ctes() + "\nSELECT case_id, claim_number, doc_idx, label FROM cells WHERE seq % 3 = 1 AND seq % 5 IN (0, 1)")
+def compatible_cells(spark, sf_dir):
+    """Cells written under schema 1 and one of two names of a mode."""
+    modes = F.element_at(F.array(*map(F.lit, ("HYBRID", "precision", "mixed", "per_doc", "other"))), (F.col("seq") % 5 + 1).cast("int"))
+    rows = cells(spark, sf_dir).withColumns({"schema_version": F.col("seq") % 3, "mode": modes})
+    return judgments.compatible(rows, 1, "hybrid").select(*fx.KEY)
+
+
+@query("""SELECT CAST(p_partkey AS BIGINT) AS id, CASE p_partkey % 4 WHEN 0 THEN '00' || p_partkey % 90 WHEN 1 THEN '7' WHEN 2 THEN '7~9' ELSE 'G-' || p_partkey END AS place,
+  'x ' || CASE WHEN p_partkey % 3 < 2 THEN 'D' || (2 - p_partkey % 3) ELSE '인용발명 3' END || ', 인용발명' || ' ' || 9 || '.' AS said FROM part""")
+def citation_places(spark, sf_dir):
+    """Places of chunk ids with and without paragraph numbers, and mentions renamed where the map names them."""
+    k = F.col("p_partkey").cast("long")
+    s = k.cast("string")
+    chunk = F.when(k % 4 == 0, F.concat(F.lit("D1-P-[00"), (k % 90).cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("G-"), s))
+    numbers = F.when(k % 4 == 1, F.array(F.lit("7"))).when(k % 4 == 2, F.array(F.lit("7"), F.lit("8"), F.lit("9"))).otherwise(F.array().cast("array<string>"))
+    text_ = F.concat(F.lit("x 인용발명"), F.when(k % 3 == 2, F.lit(" ")).otherwise(F.lit("  ")), (k % 3 + 1).cast("string"), F.lit(", 인용발명 9."))
+    names = F.create_map(F.lit(0), F.lit("D2"), F.lit(1), F.lit("D1"))
+    return fx.read(spark, sf_dir, "part").select(k.alias("id"), reports.citation_location(chunk, numbers).alias("place"), reports.renumbered(text_, names).alias("said"))

@@ -362,3 +362,14 @@ def test_split_ladder_and_sections(spark):
     one = spark.createDataFrame([("도 3의 흐름", "", "[0012]"), ("", "발명의 효과", "[x]"), ("청구범위", "", "12")], "a string, b string, k string")
     got = [tuple(r) for r in one.select(patents.group_label(patents.F.col("a"), patents.F.col("b")), patents.is_claim_paragraph(patents.F.col("a"), patents.F.lit("")), patents.clean_paragraph_no(patents.F.col("k"))).collect()]
     assert got == [("DRAWING", False, "0012"), ("EFFECT", False, "x"), ("SUMMARY", True, "12")]
+
+
+def test_report_pieces(spark):
+    from claimweave.operators import reports as r
+
+    rows = [("a \ufffd\ufffd  b \t\nupdate_topic(strategic_intent='x') -\nkeep(this)",), (None,)]
+    assert [x[0] for x in spark.createDataFrame(rows, "t string").select(r.clean_response_text(r.F.col("t"))).collect()] == ["a b\nkeep(this)", ""]
+    chunks = spark.createDataFrame([(1, k, t) for k, t in enumerate(["a coordinate axis", "nothing", "calibrate the harmonic", "image"])] + [(2, 0, "x")], "doc long, at int, chunk string")
+    elements = spark.createDataFrame([(1, "A", ["coordinate_transform", "harmonic", "load"]), (1, "B", ["harmonic"]), (2, "A", ["harmonic", "load"]), (3, "A", ["harmonic", "load"])], "doc long, element string, concepts array<string>")
+    got = {(x["doc"], x["element"]): x["overlap"] for x in r.concept_overlap(chunks, elements, ["doc"]).collect()}
+    assert got == {(1, "A"): 0.666666667, (1, "B"): 0.0, (2, "A"): 0.0, (3, "A"): 0.0}
