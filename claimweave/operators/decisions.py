@@ -48,3 +48,32 @@ def scope_violations(texts: DataFrame, text: str, allowed: str, pattern: str = r
     """texts with outside, the document numbers that the text mentions and the array `allowed` lacks."""
     named = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))
     return texts.withColumn("outside", F.array_sort(F.array_except(named, F.col(allowed))))
+
+
+def validated_secondary(shortlist: DataFrame, decided: DataFrame) -> DataFrame:
+    """The support that each claim's decision chose, if it may; else the shortlist's first.
+
+    shortlist: case_id, claim_number, primary_idx, doc_idx, rank. decided: case_id, claim_number, proposed, says_none.
+    """
+    first = shortlist.groupBy(*CLAIM, "primary_idx").agg(F.min_by("doc_idx", "rank").alias("first"))
+    named = first.join(decided, CLAIM, "left").join(shortlist.select(*CLAIM, "primary_idx", F.col("doc_idx").alias("proposed"), F.col("rank").alias("at")), [*CLAIM, "primary_idx", "proposed"], "left")
+    none = F.coalesce("says_none", F.lit(False))
+    reason = F.when(none, "none_chosen").when(F.col("proposed").isNull(), "no_decision").when(F.col("proposed") == F.col("primary_idx"), "same_as_primary").when(F.col("at").isNull(), "outside_shortlist").when(F.col("at") == 1, "confirmed").otherwise("changed")
+    chosen = F.when(none, None).when(F.col("at").isNotNull(), F.col("proposed")).otherwise(F.col("first"))
+    return named.select(*CLAIM, "primary_idx", chosen.alias("secondary_idx"), F.coalesce("at", F.when(~none, 1)).alias("rank"), reason.alias("reason"))
+
+
+def decision_audit(shortlist: DataFrame, primary: DataFrame, score: str) -> DataFrame:
+    """Rank, score margin over the first and reason codes of every primary decision (case_id, claim_number, primary_idx, rank, changed, reason)."""
+    best = shortlist.groupBy(*CLAIM).agg(F.max_by(score, -F.col("rank")).alias("_first"))
+    own = shortlist.select(*CLAIM, F.col("doc_idx").alias("primary_idx"), F.col(score).alias("_own"))
+    df = primary.join(best, CLAIM, "left").join(own, [*CLAIM, "primary_idx"], "left")
+    margin = F.round(F.col("_own") - F.col("_first"), 6)
+    codes = F.array_compact(F.array(F.when(F.col("changed"), "changed"), F.when(margin < 0, "below_first"), F.when(F.col("reason") != "confirmed", F.col("reason"))))
+    return df.select(*CLAIM, "primary_idx", "rank", margin.alias("margin"), F.concat_ws(",", F.array_distinct(codes)).alias("codes"))
+
+
+def decision_key(stage: Column, claim: Column, judgments: Column, shortlist: Column, version: Column, model: Column) -> Column:
+    """A digest under which a decision may be used again: equal inputs, whatever the order of judgments, have equal keys."""
+    parts = F.struct(stage.alias("stage"), claim.alias("claim"), F.array_sort(judgments).alias("judgments"), shortlist.alias("shortlist"), version.alias("version"), model.alias("model"))
+    return F.sha2(F.to_json(parts), 256)

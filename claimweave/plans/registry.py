@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import dims, predicates, text
 from claimweave.operators import claims as claim_ops
-from claimweave.operators import claim_text, decisions, evidence, judgments, patents, reports, responses, scoring, segments, selection
+from claimweave.operators import chains, claim_text, decisions, evidence, judgments, patents, reports, responses, scoring, segments, selection
 from claimweave.sources import fixtures as fx
 from claimweave.sources import tables
 from claimweave.sources.storage import stored
@@ -693,3 +693,85 @@ def citation_places(spark, sf_dir):
     text_ = F.concat(F.lit("x 인용발명"), F.when(k % 3 == 2, F.lit(" ")).otherwise(F.lit("  ")), (k % 3 + 1).cast("string"), F.lit(", 인용발명 9."))
     names = F.create_map(F.lit(0), F.lit("D2"), F.lit(1), F.lit("D1"))
     return fx.read(spark, sf_dir, "part").select(k.alias("id"), reports.citation_location(chunk, numbers).alias("place"), reports.renumbered(text_, names).alias("said"))
+
+
+@query(fx.ctes("""s AS (SELECT case_id, claim_number, doc_idx, CAST(sum(gap_rank * importance) AS BIGINT) AS score, string_agg(label, ',' ORDER BY label) AS labels FROM scored WHERE has_quote AND gap_rank >= 4 AND label <> 'C' AND doc_idx <> 0 GROUP BY ALL)""") + """
+SELECT case_id, claim_number, b.d AS doc_idx, b.s AS score, b.l AS labels FROM (SELECT case_id, claim_number, arg_max(struct_pack(d := doc_idx, s := score, l := labels), (score, -doc_idx)) AS b FROM s GROUP BY ALL)""")
+def best_support(spark, sf_dir):
+    """Documents but 0 for the labels A and B."""
+    rows = dense(spark, sf_dir)
+    none = fx.claims(spark, sf_dir).select("case_id", "claim_number", F.lit(0).cast("long").alias("doc_idx"))
+    return chains.best_support(rows, fx.elements(spark, sf_dir).filter("label <> 'C'"), none)
+
+
+CHAIN = """walk AS (SELECT case_id, claim_number, claim_number AS node, parent_claim, claim_type, 0 AS depth FROM claims
+  UNION ALL SELECT w.case_id, w.claim_number, c.claim_number, c.parent_claim, c.claim_type, w.depth + 1 FROM walk w JOIN claims c ON c.case_id = w.case_id AND c.claim_number = w.parent_claim),
+docs_of AS (SELECT case_id, claim_number, depth, unnest(CASE WHEN claim_type = 'independent' THEN [0, 1 + case_id % 3] WHEN node % 3 = 0 THEN [4] ELSE [] END) AS doc, unnest(CASE WHEN claim_type = 'independent' THEN [0, 1] WHEN node % 3 = 0 THEN [0] ELSE [] END) AS pos FROM walk),
+first_of AS (SELECT case_id, claim_number, doc, arg_min(struct_pack(d := -depth, p := pos), (-depth, pos)) AS f FROM docs_of GROUP BY ALL),
+rooted AS (SELECT DISTINCT case_id, claim_number FROM walk WHERE claim_type = 'independent'),
+totals AS (SELECT c.case_id, c.claim_number, CASE WHEN r.case_id IS NULL THEN NULL ELSE list(doc ORDER BY f.d, f.p) FILTER (doc IS NOT NULL) END AS total FROM claims c LEFT JOIN first_of o USING (case_id, claim_number) LEFT JOIN rooted r USING (case_id, claim_number) GROUP BY c.case_id, c.claim_number, r.case_id)"""
+
+
+def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Independent claims select documents 0 and 1 to 3; every third dependent adds document 4."""
+    claims = fx.claims(spark, sf_dir)
+    selected = claims.filter("claim_type = 'independent'").select("case_id", "claim_number", F.lit(0).cast("long").alias("primary_idx"), (1 + F.col("case_id") % 3).alias("secondary_idx"))
+    added = claims.filter("claim_type = 'dependent' and claim_number % 3 = 0").select("case_id", "claim_number", F.lit(4).cast("long").alias("doc_idx"))
+    return chains.chain_totals(claims, selected, added)
+
+
+@query(fx.ctes(CHAIN) + "\nSELECT case_id, claim_number, coalesce(array_to_string(total, ','), '') AS total FROM totals")
+def chain_totals(spark, sf_dir):
+    return chained(spark, sf_dir).select("case_id", "claim_number", F.array_join(F.col("total").cast("array<string>"), ",").alias("total"))
+
+
+@query(fx.ctes(CHAIN, """uses AS (SELECT case_id, doc AS doc_idx, min((claim_number, p)) AS first FROM (SELECT case_id, claim_number, unnest(total) AS doc, unnest(range(0, len(total))) AS p FROM totals WHERE total IS NOT NULL) GROUP BY ALL),
+locked AS (SELECT case_id, doc_idx, CAST(2 AS BIGINT) AS number FROM docs WHERE doc_idx = case_id % 5 AND case_id % 2 = 0),
+ranked AS (SELECT d.case_id, d.doc_idx, l.number, row_number() OVER (PARTITION BY d.case_id ORDER BY l.number IS NOT NULL, first IS NULL, first, (d.doc_idx * 7 + d.case_id) % 5 DESC, d.doc_idx) AS rank, max(l.number) OVER (PARTITION BY d.case_id) AS taken FROM docs d LEFT JOIN uses u USING (case_id, doc_idx) LEFT JOIN locked l USING (case_id, doc_idx))""") + """
+SELECT case_id, doc_idx, coalesce(number, CASE WHEN taken IS NOT NULL AND rank >= 2 THEN rank + 1 ELSE rank END) AS number FROM ranked""")
+def document_numbers(spark, sf_dir):
+    """Numbers of documents over the chains; half of the cases have document case_id % 5 locked as number 2."""
+    documents = fx.case_documents(spark, sf_dir)
+    locked = documents.filter("doc_idx = case_id % 5 and case_id % 2 = 0").withColumn("number", F.lit(2).cast("long"))
+    return chains.document_numbers(chained(spark, sf_dir), documents.withColumn("score", (F.col("doc_idx") * 7 + F.col("case_id")) % 5), locked)
+
+
+@query(fx.ctes(SECONDARY, """sc AS (SELECT *, round(base + 8 * rw / den + CASE WHEN reached >= 2 THEN 7 ELSE 0 END - CASE WHEN targets >= 3 AND reached <= 1 AND base > 0 THEN least(12.0::DOUBLE, 8 + 0.06 * base) ELSE 0 END + 1e-11, 9) AS adjusted_score, round(cg + 1e-11, 9) AS critical_gain FROM q WHERE hard_fill > 0 OR soft_fill > 0 OR ev > 0),
+l AS (SELECT * FROM (SELECT case_id, claim_number, primary_idx, doc_idx, CAST(row_number() OVER (PARTITION BY case_id, claim_number, primary_idx ORDER BY critical_gain DESC, adjusted_score DESC, doc_idx) AS INTEGER) AS rank FROM sc WHERE adjusted_score > 0) WHERE rank <= 4),
+one AS (SELECT case_id, claim_number, primary_idx, arg_min(doc_idx, rank) AS first FROM l GROUP BY ALL)""") + """
+SELECT o.case_id, o.claim_number, o.primary_idx, CASE WHEN o.claim_number % 4 = 0 THEN NULL WHEN l.rank IS NOT NULL THEN l.doc_idx ELSE first END AS secondary_idx, CASE WHEN o.claim_number % 4 = 0 THEN NULL ELSE coalesce(l.rank, 1) END AS rank,
+  CASE WHEN o.claim_number % 4 = 0 THEN 'none_chosen' WHEN o.case_id % 6 = o.primary_idx THEN 'same_as_primary' WHEN l.rank IS NULL THEN 'outside_shortlist' WHEN l.rank = 1 THEN 'confirmed' ELSE 'changed' END AS reason
+FROM one o LEFT JOIN l ON l.case_id = o.case_id AND l.claim_number = o.claim_number AND l.primary_idx = o.primary_idx AND l.doc_idx = o.case_id % 6 AND o.claim_number % 4 <> 0""")
+def secondary_decisions(spark, sf_dir):
+    """Decisions name document case_id % 6, of which 5 does not exist; every fourth claim wants none."""
+    short = selection.secondary_shortlist(scoring.secondary_scores(dense(spark, sf_dir)))
+    none = F.col("claim_number") % 4 == 0
+    decided = fx.claims(spark, sf_dir).select("case_id", "claim_number", F.when(~none, F.col("case_id") % 6).alias("proposed"), none.alias("says_none"))
+    return decisions.validated_secondary(short, decided)
+
+
+@query(fx.ctes() + """
+SELECT case_id, claim_number, CASE WHEN claim_number % 2 = 0 AND claim_number <> 4 THEN 'new' ELSE 'old' END AS version FROM claims""")
+def claim_registry(spark, sf_dir):
+    """Even claims arrive again, claim 4 as its own parent."""
+    old = fx.claims(spark, sf_dir).withColumn("version", F.lit("old"))
+    new = old.filter("claim_number % 2 = 0").withColumn("version", F.lit("new")).withColumn("parent_claim", F.when(F.col("claim_number") == 4, F.lit(4)).otherwise(F.col("parent_claim")).cast("long"))
+    return tables.registered_claims(old, new, F.col("claim_number"))[0].select("case_id", "claim_number", "version")
+
+
+@query(fx.ctes() + "\nSELECT d.case_id, d.doc_idx, count(c.case_id) FILTER (c.seq % 2 = 0) AS paragraph_chunks, count(c.case_id) FILTER (c.seq % 2 = 1) AS group_chunks FROM docs d LEFT JOIN cells c USING (case_id, doc_idx) GROUP BY ALL")
+def extraction_manifest(spark, sf_dir):
+    """Cells as the chunks of their documents."""
+    chunks = cells(spark, sf_dir).select("case_id", "doc_idx", F.when(F.col("seq") % 2 == 0, "paragraph").otherwise("group").alias("chunk_type"))
+    return tables.extraction_manifest(fx.case_documents(spark, sf_dir), chunks)
+
+
+@query(fx.ctes() + "\nSELECT case_id, doc_idx, claim_number, label, judgment FROM cells WHERE doc_idx <> 3")
+def cached_comparisons(spark, sf_dir):
+    """Comparison files of made-up cases; those of document 3 are cut short and cannot be read."""
+    rows = cells(spark, sf_dir).groupBy("case_id", "doc_idx", "claim_number").agg(F.collect_list(F.struct("label", "judgment")).alias("items"))
+    files = rows.groupBy("case_id", "doc_idx").agg(F.map_from_entries(F.collect_list(F.struct(F.col("claim_number").cast("string"), "items"))).alias("m"))
+    body = F.concat(F.lit('{"_meta": [1], "notes": {"a": 1}, '), F.expr("substring(to_json(m), 2)"))
+    files = files.select("case_id", "doc_idx", F.when(F.col("doc_idx") == 3, F.expr("substring(to_json(m), 1, 9)")).otherwise(body).alias("body"))
+    out = tables.cached_judgments(files)
+    return out.select("case_id", "doc_idx", "claim_number", F.variant_get("item", "$.label", "string").alias("label"), F.variant_get("item", "$.judgment", "string").alias("judgment"))

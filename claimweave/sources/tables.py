@@ -21,8 +21,13 @@ def document_order(files: DataFrame, manifest: DataFrame, most: int | None = 7)
     return out.drop("position")
 
 
-def new_content(arriving: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
-    """Arriving rows whose content hash the known table lacks, with that hash: what must be parsed anew."""
+def new_content(arriving: DataFrame, known: DataFrame, text: str = "text", version: int | None = None) -> DataFrame:
+    """Arriving rows whose content hash the known table lacks, with that hash: what must be parsed anew.
+
+    With a version, only rows that the known table holds under the same extractor version (its column) count as known.
+    """
+    if version is not None:
+        known = known.filter(F.col("version") == version)
     return arriving.withColumn("sha256", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(known.select("sha256").distinct(), "sha256", "left_anti")
 
 
@@ -54,3 +59,24 @@ def text_layer_gate(pages: DataFrame, key: list[str], text: str, least: float =
     size = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) != "", F.length(text))
     out = pages.groupBy(*key).agg(F.avg(size).alias("mean_chars"))
     return out.withColumn("rejected", F.coalesce(F.col("mean_chars"), F.lit(0.0)) < least)
+
+
+def registered_claims(existing: DataFrame, arriving: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:
+    """(claims, rejects): arriving claims replace those of their number, the last one wins; a claim that is its own parent is a reject."""
+    own = F.col("parent_claim") == F.col("claim_number")
+    good = arriving.filter(~F.coalesce(own, F.lit(False)))
+    return upsert_scoped(existing, good, ["case_id", "claim_number"], ["case_id", "claim_number"], order), arriving.filter(own)
+
+
+def extraction_manifest(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """documents (case_id, doc_idx, ..) with the number of their chunks of either kind."""
+    n = chunks.groupBy("case_id", "doc_idx").agg(F.count_if(F.col("chunk_type") == "paragraph").alias("paragraph_chunks"), F.count_if(F.col("chunk_type") == "group").alias("group_chunks"))
+    return documents.join(n, ["case_id", "doc_idx"], "left").na.fill(0, ["paragraph_chunks", "group_chunks"])
+
+
+def cached_judgments(files: DataFrame) -> DataFrame:
+    """(case_id, doc_idx, claim_number, item) of comparison files (case_id, doc_idx, body): unreadable files, _meta and what is no list give nothing."""
+    parsed = files.select("case_id", "doc_idx", F.try_variant_get(F.try_parse_json(F.coalesce("body", F.lit(""))), "$", "map<string,variant>").alias("_m"))
+    each = parsed.select("case_id", "doc_idx", F.explode("_m").alias("key", "value")).filter("key <> '_meta'")
+    items = each.select("case_id", "doc_idx", F.col("key").try_cast("long").alias("claim_number"), F.explode(F.try_variant_get("value", "$", "array<variant>")).alias("item"))
+    return items.filter("claim_number is not null and item is not null")
