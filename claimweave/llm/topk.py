@@ -26,8 +26,8 @@ SEGMENTS = (4, 8, 16)
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
 #: Candidate blocks that meet a block of queries under one key, about.
 BLOCKS_PER_TASK = 4
-#: Components of this size or more are scored as Python integers, as their products may exceed a double's 53 bits.
-EXACT_BELOW = 1 << 22
+#: Where sums of products may reach this, a double's exact integers, scores are Python integers.
+EXACT_BELOW = 1 << 53
 
 
 def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +41,7 @@ def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
 
 def block_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list]:
     """(place of query, place of candidate, exact score) of at least every query's k best in the block."""
-    big = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) >= EXACT_BELOW
+    big = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] >= EXACT_BELOW
     bounds = [(np.concatenate(statistics(q, s), 1), np.concatenate(statistics(c, s), 1)) for s in SEGMENTS]
     qs, cs, scores = [], [], []
     for i in range(0, len(q), 128):  # the coarsest bounds of 128 queries at a time
