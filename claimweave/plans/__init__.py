@@ -1 +1,3 @@
-"""Part of the claimweave library."""
+"""Registered queries; screening adds its own to the registry's."""
+
+from claimweave.plans import registry, screening  # noqa: F401
