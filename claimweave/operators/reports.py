@@ -14,6 +14,9 @@ PLACE = r"-P-(?:\[)?([^]\s]+)(?:\])?"
 TOOL_CALL = r"(?m)^[ \t]*[a-z][a-z0-9_]*\([a-z_]+\s*=\s*['\"].*\)[ \t]*-*[ \t]*$\n?"
 DOCUMENT_MENTION, DOCUMENT_NAME = r"인용발명\s*(\d+)", "인용발명 "
 KEY = ["case_id", "claim_number", "doc_idx", "label"]
+#: How many labels a summary names for a document, and the judgments that are not enough alone.
+SHOWN = 3
+WEAK = ("partial_difference", "partial_similarity", "difference")
 
 
 def clean_response_text(text: Column) -> Column:
@@ -101,3 +104,35 @@ def concept_overlap(chunks: DataFrame, elements: DataFrame, key: list[str], at:
     share = F.when(F.size("concepts") >= 2, F.size(F.array_intersect("concepts", "_run")) / F.size("concepts")).otherwise(0.0)
     best = elements.join(runs, key, "left").groupBy(*key, "element").agg(F.max(share).alias("overlap"))
     return best.select(*key, "element", dims.settled(F.coalesce("overlap", F.lit(0.0))).alias("overlap"))
+
+
+def claim_summaries(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """(case_id, claim_number, similar, remaining_labels, conclusion) of claims with a chain, over the documents in it.
+
+    rows are dense with pos. similar: for each document in the chain's order that resembles any element its index, its
+    first SHOWN labels and how many more there are. Remaining are the elements that no document discloses without missing
+    limitations; with them, and by whether one document stands alone, there are four conclusions.
+    """
+    claim = KEY[:2]
+    chain = totals.filter(F.size("total") > 0).select(*claim, F.size("total").alias("_n"), F.posexplode("total").alias("_at", "doc_idx"))
+    df = rows.join(chain, KEY[:3])
+    similar = ~F.col("judgment").isin("difference", "none")
+    closed = F.col("judgment").isin("identical", "substantially_identical") & (F.col("missing_count") == 0)
+    each = df.groupBy(*claim, "_at", "doc_idx").agg(F.array_sort(F.collect_list(F.when(similar, F.struct("pos", "label"))))["label"].alias("_l")).filter(F.size("_l") > 0)
+    said = F.struct("_at", F.col("doc_idx").alias("document"), F.slice("_l", 1, SHOWN).alias("labels"), F.greatest(F.lit(0), F.size("_l") - SHOWN).alias("more"))
+    docs = each.groupBy(*claim).agg(F.array_sort(F.collect_list(said)).alias("similar"))
+    open_ = df.groupBy(*claim, "_n", "label", "pos").agg(F.bool_or(closed).alias("_closed")).groupBy(*claim, "_n").agg(F.array_sort(F.collect_list(F.when(~F.col("_closed"), F.struct("pos", "label"))))["label"].alias("_open"))
+    alone, left = F.col("_n") <= 1, F.size("_open") > 0
+    conclusion = F.when(alone & ~left, "one_discloses_all").when(alone, "one_leaves_open").when(left, "combination_leaves_open").otherwise("combination_covers_all")
+    return open_.join(docs, claim, "left").select(*claim, "similar", F.array_join("_open", ",").alias("remaining_labels"), conclusion.alias("conclusion"))
+
+
+def dependent_quotes(best: DataFrame, others: DataFrame) -> DataFrame:
+    """The quoted rows that speak for a claim: the best of every element, and others' where that is missing or weak, each key once.
+
+    Both have KEY, judgment and has_quote; best has one row a label at most. Rows that judge none, or quote nothing, go.
+    """
+    good = lambda df: df.filter(F.col("has_quote") & (F.col("judgment") != "none")).dropDuplicates(KEY)
+    kept = good(best)
+    strong = kept.filter(~F.col("judgment").isin(*WEAK)).select(*KEY[:2], "label")
+    return kept.unionByName(good(others).join(kept.select(*KEY), KEY, "left_anti").join(strong, [*KEY[:2], "label"], "left_anti"), allowMissingColumns=True)

@@ -47,6 +47,12 @@ MIN_SHARED, MIN_SHARE, SENTENCES, MOST_CHARS = 2, 0.20, 4, 350
 #: A leaf has one of these; a row that has none of the markers is no judgment.
 FIELDS = ("label", "found", "quote", "judgment", "판단_이유", "similarity_reason")
 EVIDENCE = "array<struct<limitation:string,subject:string,input:string,process:string,output:string,condition:string,relationship:string,chunk_id:string,section:string,quote:string,quote_translation:string>>"
+# What claims a minimum or an act, what shows them, and the limitations that are named where none is found.
+MINIMUM_CLAIMED, AVERAGE_SHOWN = r"(?iU)최소|minimum|at\s+least|lower\s+bound", r"(?iU)평균|average|mean"
+MINIMUM_SHOWN = r"(?iU)최소|minimum|at\s+least|not\s+less\s+than|lower\s+bound"
+ACT = r"(?iU)조정하여|수정하여|변경하여|adjust(?:ing|s|ed)?|modif(?:y|ies|ied)|chang(?:e|es|ed|ing)|apply|applies|applied|perform|execute"
+ADVICE = r"(?iU)권고|추천|제안|recommend|suggest|propose"
+MINIMUM_LIMITATION, ACT_LIMITATION = "최소값 또는 하한 조건", "형상 파라미터를 실제로 조정하여 모델을 생성하는 실행 단계"
 
 
 def payload_strings(text: str | None) -> tuple[list[str], int]:
@@ -259,3 +265,20 @@ def normalized(responses: DataFrame, elements: DataFrame, documents: DataFrame,
     rows = faithful(validated(expanded(found, levels), elements, documents), corpora, chunks)
     empty = responses.select("response_id").join(rows.select("response_id").distinct(), "response_id", "left_anti").withColumn("reject", F.lit("no_payload"))
     return rows.unionByName(empty, allowMissingColumns=True)
+
+
+def value_guards(rows: DataFrame) -> DataFrame:
+    """rows (element_text, evidence_text, quote, directness, missing_limitations) held to what the evidence says of minima and of acts.
+
+    A claimed minimum for which the evidence knows an average alone, and a claimed adjustment that the quotation only
+    recommends, become missing limitations, once each; what was direct becomes inferred. Null texts are empty.
+    """
+    t = lambda c: F.coalesce(F.col(c), F.lit(""))
+    low = t("element_text").rlike(MINIMUM_CLAIMED) & t("evidence_text").rlike(AVERAGE_SHOWN) & ~t("evidence_text").rlike(MINIMUM_SHOWN)
+    parts = F.filter(F.split(t("element_text"), "및|그리고|,"), lambda p: p.rlike(MINIMUM_CLAIMED))
+    minimum = F.coalesce(F.regexp_replace(F.get(parts, F.lit(0)), r"(?U)^\s+|\s+$", ""), F.lit(MINIMUM_LIMITATION))
+    advice = t("element_text").rlike(ACT) & t("quote").rlike(ADVICE) & ~t("quote").rlike(ACT)
+    had = F.coalesce("missing_limitations", F.array().cast("array<string>"))
+    new = F.array_distinct(F.array_compact(F.array(F.when(low, minimum), F.when(advice, F.lit(ACT_LIMITATION)))))
+    more = F.filter(new, lambda x: ~F.array_contains(had, x))
+    return rows.withColumns({"missing_limitations": F.concat(had, more), "directness": F.when((low | advice) & (F.col("directness") == "direct"), "inferred").otherwise(F.col("directness"))})

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimweave.operators import chains, screening
+from claimweave.operators import chains, reports, responses, scoring, screening
+from claimweave.operators import claims as claim_ops
 from claimweave.plans.registry import CHAIN, dense, cells, chained, query
 from claimweave.sources import fixtures as fx
 from claimweave.sources import layout
@@ -187,3 +188,63 @@ def paragraph_chunks(spark, sf_dir):
     headings = each(("at", "heading"), (5, "FIELD"), (15, F.when(k % 5 == 0, "청구범위").otherwise("FIELD")))
     records = layout.paragraph_records(docs, paragraphs, pages, headings)
     return layout.paragraph_chunks(records).select("doc_id", "chunk_id", "page_no", "section", "original_text")
+
+
+@query(fx.ctes("given AS (SELECT case_id, claim_number, doc_idx FROM claims JOIN docs USING (case_id) WHERE claim_type = 'dependent' AND doc_idx <= 1)", _added("more", "given"), """lab AS (SELECT s.case_id, s.claim_number, label, coalesce(max(gap_rank) FILTER (s.doc_idx <= 1), 0) AS had, coalesce(max(gap_rank) FILTER (s.doc_idx <= 1 OR s.doc_idx = m.doc_idx), 0) AS has, bool_or(NOT not_evaluated) AS judged
+  FROM scored s JOIN claims c USING (case_id, claim_number) LEFT JOIN more m ON m.case_id = s.case_id AND m.claim_number = s.claim_number WHERE c.claim_type = 'dependent' GROUP BY ALL),
+per AS (SELECT case_id, claim_number, string_agg(label, ',' ORDER BY label) AS evaluated_labels, coalesce(string_agg(label, ',' ORDER BY label) FILTER (has < 3), '') AS remaining_labels, bool_or(judged) AS judged, bool_or(had <= 3) AS open_ FROM lab GROUP BY ALL)""") + """
+SELECT case_id, claim_number, CASE WHEN NOT judged THEN 'evidence_missing' WHEN NOT open_ THEN 'covered_by_inherited' ELSE coalesce(basis, 'no_candidate') END AS basis, evaluated_labels, remaining_labels FROM per LEFT JOIN more USING (case_id, claim_number)""")
+def dependent_basis(spark, sf_dir):
+    """Dependents inherit documents 0 and 1."""
+    rows, dependents = dense(spark, sf_dir), fx.claims(spark, sf_dir).filter("claim_type = 'dependent'").select(*CLAIM)
+    inherited = dependents.join(fx.case_documents(spark, sf_dir).filter("doc_idx <= 1"), "case_id")
+    return chains.dependent_basis(rows, inherited, chains.added_documents(rows, inherited))
+
+
+@query(fx.ctes("""pr AS (SELECT case_id, claim_number, CASE claim_number WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 6 THEN 7 WHEN 7 THEN 8 WHEN 8 THEN 6 WHEN 4 THEN 9 END AS same_as FROM claims WHERE claim_number NOT IN (1, 5)),
+hops AS (SELECT case_id, claim_number, same_as AS node, same_as AS low, 1 AS n FROM pr UNION ALL SELECT h.case_id, h.claim_number, p.same_as, least(h.low, p.same_as), n + 1 FROM hops h JOIN pr p ON p.case_id = h.case_id AND p.claim_number = h.node WHERE n < 9),
+ends AS (SELECT case_id, claim_number, max(n) AS n, arg_max(node, n) AS node, arg_max(low, n) AS low FROM hops GROUP BY ALL),
+roots AS (SELECT case_id, claim_number, CASE WHEN n = 9 THEN low ELSE node END AS root FROM ends)""") + """
+SELECT case_id, CAST(root AS BIGINT) AS root, claim_number FROM roots UNION SELECT case_id, root, root FROM roots""")
+def equivalent_claims(spark, sf_dir):
+    """Claims 2 and 3 lead to 1, 6 to 8 come round, 4 is the same as one that does not exist."""
+    claims = fx.claims(spark, sf_dir)
+    same = F.create_map(*[F.lit(x).cast("long") for pair in {2: 1, 3: 2, 6: 7, 7: 8, 8: 6, 4: 9}.items() for x in pair])
+    pairs = claims.filter("claim_number not in (1, 5)").select(*CLAIM, same[F.col("claim_number")].alias("same_as"))
+    return claim_ops.equivalent_claims(claims, pairs)
+
+
+@query(fx.ctes("""ch AS (SELECT case_id, claim_number, unnest(CASE WHEN claim_number = 1 THEN [1 + case_id % 3] ELSE [3, 0] END) AS doc_idx, unnest(CASE WHEN claim_number = 1 THEN [0] ELSE [0, 1] END) AS turn, claim_number = 1 AS alone FROM claims WHERE claim_type = 'independent'),
+j AS (SELECT s.*, turn, alone FROM scored s JOIN ch USING (case_id, claim_number, doc_idx)),
+sd AS (SELECT case_id, claim_number, turn, doc_idx || ':' || array_to_string((list(label ORDER BY pos))[1:3], '') || '+' || greatest(0, count(*) - 3) AS t FROM j WHERE judgment NOT IN ('difference', 'none') GROUP BY case_id, claim_number, turn, doc_idx),
+ss AS (SELECT case_id, claim_number, string_agg(t, ' ' ORDER BY turn) AS resembling FROM sd GROUP BY ALL),
+op AS (SELECT case_id, claim_number, alone, label, pos, bool_or(judgment IN ('identical', 'substantially_identical') AND missing_count = 0) AS closed FROM j GROUP BY ALL),
+oo AS (SELECT case_id, claim_number, alone, coalesce(string_agg(label, ',' ORDER BY pos) FILTER (NOT closed), '') AS remaining_labels FROM op GROUP BY ALL)""") + """
+SELECT case_id, claim_number, coalesce(resembling, '') AS resembling, remaining_labels, CASE WHEN alone THEN CASE WHEN remaining_labels = '' THEN 'one_discloses_all' ELSE 'one_leaves_open' END WHEN remaining_labels = '' THEN 'combination_covers_all' ELSE 'combination_leaves_open' END AS conclusion FROM oo LEFT JOIN ss USING (case_id, claim_number)""")
+def claim_summaries(spark, sf_dir):
+    """Claim 1 rests on one document, claim 5 on documents 3 and 0."""
+    own = F.when(F.col("claim_number") == 1, F.array(1 + F.col("case_id") % 3)).otherwise(F.array(F.lit(3).cast("long"), F.lit(0).cast("long")))
+    out = reports.claim_summaries(dense(spark, sf_dir), fx.claims(spark, sf_dir).filter("claim_type = 'independent'").select(*CLAIM, own.alias("total")))
+    said = F.transform("similar", lambda s: F.concat(s["document"].cast("string"), F.lit(":"), F.array_join(s["labels"], ""), F.lit("+"), s["more"].cast("string")))
+    return out.select(*CLAIM, F.coalesce(F.array_join(said, " "), F.lit("")).alias("resembling"), "remaining_labels", "conclusion")
+
+
+@query(fx.ctes("""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, claim_number, label ORDER BY CASE judgment WHEN 'difference' THEN 1 ELSE gap_rank END DESC, doc_idx) AS rn FROM scored) WHERE rn = 1 AND has_quote AND judgment <> 'none')""") + """
+SELECT s.case_id, s.claim_number, s.label, s.doc_idx, s.judgment FROM scored s LEFT JOIN best b USING (case_id, claim_number, label)
+WHERE s.has_quote AND s.judgment <> 'none' AND (s.doc_idx = b.doc_idx OR (s.doc_idx <= 2 AND (b.doc_idx IS NULL OR b.judgment IN ('partial_difference', 'partial_similarity', 'difference'))))""")
+def dependent_quotes(spark, sf_dir):
+    """The best match of every element, and documents 0 to 2 as the chain."""
+    rows = dense(spark, sf_dir)
+    return reports.dependent_quotes(scoring.best_matches(rows, "doc_idx").select(*fx.KEY, "judgment", "has_quote"), rows.filter("doc_idx <= 2").select(*fx.KEY, "judgment", "has_quote")).select(*fx.KEY, "judgment")
+
+
+@query("""WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part) SELECT k AS id, CASE WHEN k % 7 = 0 OR (k % 2 = 0 AND k % 3 = 1) OR (k % 5 = 1 AND k % 4 = 1) THEN 'inferred' ELSE 'direct' END AS directness,
+  concat_ws('|', 'given', CASE WHEN k % 2 = 0 AND k % 3 = 1 THEN 'a minimum of ' || k END, CASE WHEN k % 5 = 1 AND k % 4 = 1 THEN '형상 파라미터를 실제로 조정하여 모델을 생성하는 실행 단계' END) AS missing FROM p""")
+def value_guards(spark, sf_dir):
+    """Claims of a minimum or an adjustment against evidence of averages and quotations that advise or act."""
+    k = F.col("p_partkey").cast("long")
+    element = F.concat_ws(", ", F.lit("a wall"), F.when(k % 2 == 0, F.concat(F.lit("a minimum of "), k.cast("string"))), F.when(k % 5 == 1, "adjusted in size"))
+    evidence = F.when(k % 3 == 1, "an Average of 3").when(k % 3 == 2, "an average, not less  than 2").otherwise("a wall")
+    quote = F.when(k % 4 == 1, "we recommend it").when(k % 4 == 2, "we suggest and modify it").otherwise("it is")
+    rows = fx.read(spark, sf_dir, "part").select(k.alias("id"), element.alias("element_text"), evidence.alias("evidence_text"), quote.alias("quote"), F.when(k % 7 == 0, "inferred").otherwise("direct").alias("directness"), F.array(F.lit("given")).alias("missing_limitations"))
+    return responses.value_guards(rows).select("id", "directness", F.array_join("missing_limitations", "|").alias("missing"))

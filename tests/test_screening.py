@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 from test_operators import matrix
 
-from claimweave.operators import chains, screening
+from claimweave.operators import chains, responses, screening
+from claimweave.operators import claims as claim_ops
 from claimweave.sources import layout
 from claimweave.streaming import upserts
 
@@ -98,3 +99,30 @@ def test_intake_parses_each_content_once(spark, tmp_path):
         return spark.read.schema(schema).parquet(table).count()
 
     assert [run(1, "c1"), run(1, "c2"), run(2, "c3")] == [3, 3, 6]
+
+
+def test_equivalent_claims_over_long_walks_and_rings(spark):
+    claims = spark.createDataFrame([(1, k) for k in range(1, 60)] + [(2, 1)], "case_id long, claim_number long")
+    ring = {51: 52, 52: 53, 53: 52}
+    pairs = [(1, k, k - 1) for k in range(2, 50)] + [(1, k, v) for k, v in ring.items()] + [(2, 7, 8)]
+    rows = claim_ops.equivalent_claims(claims, spark.createDataFrame(pairs, "case_id long, claim_number long, same_as long")).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["case_id"], r["root"]), set()).add(r["claim_number"])
+    assert groups == {(1, 1): set(range(1, 50)), (1, 52): {51, 52, 53}}
+    assert claim_ops.equivalent_claims(claims, spark.createDataFrame([], "case_id long, claim_number long, same_as long")).count() == 0
+
+
+def test_value_guards_name_what_is_missing_once(spark):
+    schema = "element_text string, evidence_text string, quote string, directness string, missing_limitations array<string>"
+    rows = spark.createDataFrame([("폭 및 최소 두께", "평균 두께", "", "direct", ["최소 두께"]), ("MINIMUM width", "mean", None, "absent", None), (None, None, None, "direct", [])], schema)
+    got = [(r["directness"], r["missing_limitations"]) for r in responses.value_guards(rows).collect()]
+    assert got == [("inferred", ["최소 두께"]), ("absent", ["MINIMUM width"]), ("direct", [])]
+
+
+def test_basis_names_missing_evidence(spark):
+    rows = matrix(spark, [(2, 0, "B", 3, "identical", "direct", True, 0, 1), (3, 1, "C", 3, "none", "absent", False, 0, 0)])
+    rows = rows.withColumn("not_evaluated", F.col("claim_number") == 3)
+    inherited = spark.createDataFrame([(1, 2, 0), (1, 3, 0)], "case_id long, claim_number long, doc_idx long")
+    got = {r["claim_number"]: (r["basis"], r["remaining_labels"]) for r in chains.dependent_basis(rows, inherited, chains.added_documents(rows, inherited)).collect()}
+    assert got == {2: ("covered_by_inherited", ""), 3: ("evidence_missing", "C")}
