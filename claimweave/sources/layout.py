@@ -28,7 +28,7 @@ def _first(node: dict, names: tuple[str, ...], default):
 
 
 def _walk(body: str | None):
-    """(page, text) of every element in reading order; nothing for what is no JSON. An explicit stack, so that depth is no limit."""
+    """(page, text) of every element in reading order; nothing for what is no JSON, or nests deeper than the parser reads."""
     try:
         data = json.loads(body or "")
     except (ValueError, RecursionError):
@@ -49,8 +49,8 @@ def _walk(body: str | None):
 def layout_lines(files: DataFrame, key: str = "doc_id", body: str = "body") -> DataFrame:
     """(key, at, page, text) of layout files: a JSON array of elements, or an object that holds one.
 
-    Images, headers and footers go with all they hold; blank texts go. A null, empty or unreadable file has no rows. Trees
-    of any depth are walked by a small Python function over Arrow batches, one file at a time, as JSON functions need a
+    Images, headers and footers go with all they hold; blank texts go. A null, empty or unreadable file has no rows, nor
+    has one that nests deeper than Python's JSON parser reads. Trees are walked by a small Python function over Arrow batches, one file at a time, as JSON functions need a
     depth; extra columns are left out.
     """
 
