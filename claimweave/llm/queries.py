@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import bpe, chat, language, near_dup, packing, pii, quality_model, quality_rules, topk, toxicity
+from claimweave.llm import bpe, chat, exact_dedup, filter_audit, language, lexical, near_dup, packing, pii, quality_model, quality_rules, topk, toxicity
 from claimweave.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicate_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
@@ -63,5 +75,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_filter_audit": op13_filter_audit,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE,
+    "op9_exact_top_k": topk.ORACLE,
+    "op11_ranked_search": lexical.ORACLE,
+    "op12_exact_dedup": exact_dedup.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE, "op9_exact_top_k": topk.ORACLE}
