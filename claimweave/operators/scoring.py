@@ -122,12 +122,18 @@ def rarity_weights(rows: DataFrame) -> DataFrame:
     return freq.select(*CLAIM, "label", dims.settled(ratio).alias("disclosure_frequency"), weight.alias("weight"), reason.alias("weight_reason"))
 
 
-def primary_scores(rows: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """How well each document would lead: core elements first, breadth last. Weights default to importance."""
+def weighted(rows: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """rows with the weight of their element; without weights it is the rows' base_weight, or importance where they have none."""
     if weights is None:
-        rows = rows.withColumn("weight", F.col("importance").cast("double"))
-    else:
-        rows = rows.join(weights.select(*CLAIM, "label", "weight"), [*CLAIM, "label"])
+        return rows.withColumn("weight", F.col("base_weight" if "base_weight" in rows.columns else "importance").cast("double"))
+    return rows.join(weights.select(*CLAIM, "label", "weight"), [*CLAIM, "label"])
+
+
+def primary_scores(rows: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """How well each document would lead: core elements first, breadth last. An element that selects by a condition (is_selection) is core."""
+    rows = weighted(rows, weights)
+    if "is_selection" in rows.columns:
+        rows = rows.withColumn("weight", F.when(F.col("is_selection"), F.greatest(F.col("weight"), F.lit(float(dims.CORE_IMPORTANCE)))).otherwise(F.col("weight")))
     w, sim, direct = F.col("weight"), F.col("item_sim"), F.col("direct_sim")
     core = w >= dims.CORE_IMPORTANCE
     names = {
@@ -163,24 +169,23 @@ def gaps(rows: DataFrame) -> DataFrame:
     return rows.withColumn("gap", kind).filter("gap is not null").select(*PAIR, "label", "gap")
 
 
-def _against(rows: DataFrame, weights: DataFrame | None) -> DataFrame:
-    """The gaps of every document as primary, met by every other document of the case."""
-    if weights is None:
-        rows = rows.withColumn("weight", F.col("importance").cast("double"))
-    else:
-        rows = rows.join(weights.select(*CLAIM, "label", "weight"), [*CLAIM, "label"])
+def _against(rows: DataFrame, weights: DataFrame | None, leads: DataFrame | None) -> DataFrame:
+    """The gaps of every document, or of those that leads names, as primary, met by every other document of the case."""
+    rows = weighted(rows, weights)
     kind = F.when(F.col("gap_rank") < dims.COVER, "hard").when(F.col("gap_rank") == dims.SOFT, "soft")
     first = rows.withColumn("gap", kind).filter("gap is not null").select(*CLAIM, "label", F.col("doc_idx").alias("primary_idx"), "gap", F.col("item_sim").alias("primary_sim"))
+    if leads is not None:
+        first = first.join(leads.select(*CLAIM, "primary_idx"), [*CLAIM, "primary_idx"], "left_semi")
     return rows.join(first, [*CLAIM, "label"]).filter("doc_idx <> primary_idx")
 
 
-def secondary_scores(rows: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """What every document adds to every other as primary: gains, fills and the reason of a combination.
+def secondary_scores(rows: DataFrame, weights: DataFrame | None = None, leads: DataFrame | None = None) -> DataFrame:
+    """What every document adds to every other as primary, or to those of leads (case_id, claim_number, primary_idx): gains, fills and the reason of a combination.
 
     risky marks a document with an explicit risk at any target: it takes no part in a combination. The score falls only
     for risks at targets that it reaches.
     """
-    m = _against(rows, weights)
+    m = _against(rows, weights, leads)
     hard = F.col("gap") == "hard"
     w = F.when(hard, F.col("weight")).otherwise(F.col("weight") * 0.65)
     gain = F.greatest(F.lit(0.0), F.col("item_sim") - F.col("primary_sim"))

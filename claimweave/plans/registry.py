@@ -241,7 +241,7 @@ WEIGHTED_SECONDARY = _renamed(SECONDARY, m="mw", q="qw").replace("c.importance::
 FAMILY = """fam AS (SELECT *, greatest(0.65::DOUBLE, 1 - 0.05::DOUBLE * (row_number() OVER (PARTITION BY case_id, root ORDER BY claim_number) - 1)) AS depth FROM roots WHERE claim_number <> root),
 reuse AS (SELECT case_id, root AS claim_number, doc_idx, round(sum(importance * depth * CASE WHEN has_quote AND directness <> 'absent' THEN item_sim ELSE 0 END) / sum(importance * depth) + 1e-11, 9) AS reuse FROM scored JOIN fam USING (case_id, claim_number) GROUP BY ALL),
 corew AS (SELECT DISTINCT case_id, claim_number, doc_idx, true AS core FROM scored WHERE is_distinctive AND has_quote AND directness <> 'absent' AND item_sim >= 0.85),
-eligw AS (SELECT case_id, claim_number, doc_idx, coalesce(core, false) AS core, round(distinctive_direct + 1e-11, 9) AS dd, round(core_coverage + 1e-11, 9) AS cc, round(core_breadth + 1e-11, 9) AS cb, round(field_alignment + 1e-11, 9) AS fa,
+eligw AS (SELECT case_id, claim_number, doc_idx, coalesce(core, false) AS core, round(distinctive_direct + 1e-11, 9) AS dd, round(core_coverage + 1e-11, 9) AS cc, round(core_breadth + 1e-11, 9) AS cb, round(field_alignment + 1e-11, 9) AS fa, round(element_coverage + 1e-11, 9) AS ec, round(direct_breadth + 1e-11, 9) AS db,
   round(greatest(0.0::DOUBLE, 0.40 * distinctive_direct + 0.25 * core_coverage + 0.15 * core_breadth + 0.12 * element_coverage + 0.08 * evidence_coverage - 0.20 * core_gap_weight) * 100 + 1e-11, 9) AS ps,
   max(round(distinctive_direct + 1e-11, 9)) OVER (PARTITION BY case_id, claim_number) AS best FROM pw LEFT JOIN corew USING (case_id, claim_number, doc_idx)),
 lead AS (SELECT *, max(dd) OVER (PARTITION BY case_id, claim_number) AS top FROM eligw WHERE best <= 0 OR dd >= best * 0.72::DOUBLE OR dd >= best - 0.10::DOUBLE OR core),
@@ -251,9 +251,9 @@ supports AS (SELECT s.case_id, s.claim_number, primary_idx, s.doc_idx, round(cg
 bests AS (SELECT case_id, claim_number, primary_idx AS doc_idx, arg_max(struct_pack(d := doc_idx, s := adj + least(2.0::DOUBLE, reuse * 2), h := hard_fill > 0), (cg9, adj + least(2.0::DOUBLE, reuse * 2), -doc_idx)) AS b FROM supports WHERE adj > 0 GROUP BY ALL),
 chosen AS (SELECT l.*, b.d AS second, coalesce(b.s, 0.0) AS score2, coalesce(b.h, false) AS fills, coalesce(r.reuse, 0.0) AS reuse FROM lead l LEFT JOIN bests USING (case_id, claim_number, doc_idx) LEFT JOIN reuse r USING (case_id, claim_number, doc_idx)),
 both_ AS (SELECT case_id, claim_number, doc_idx AS primary_idx, doc_idx FROM chosen UNION ALL SELECT case_id, claim_number, doc_idx, second FROM chosen WHERE second IS NOT NULL),
-eachw AS (SELECT s.case_id, s.claim_number, primary_idx, label, any_value(importance) AS importance, any_value(weight) AS weight, any_value(s.is_distinctive) AS is_distinctive, max(item_sim) AS c FROM scored s JOIN both_ USING (case_id, claim_number, doc_idx) JOIN (SELECT case_id, claim_number, label, weight FROM weights) USING (case_id, claim_number, label) GROUP BY s.case_id, s.claim_number, primary_idx, label),
-joint AS (SELECT case_id, claim_number, primary_idx AS doc_idx, count(*) FILTER (c * 100 <= 35 AND is_distinctive) AS critical_open, coalesce(sum(weight) FILTER (c * 100 <= 35), 0.0) AS open_weight, 100 * sum(importance * c) / sum(importance) AS combined FROM eachw GROUP BY ALL),
-picked AS (SELECT case_id, claim_number, arg_max(struct_pack(p := doc_idx, s := second), (-critical_open, -round(open_weight + 1e-9, 6), round(CASE WHEN top < 0.35 THEN fa ELSE 0.0 END + 1e-9, 6), round(combined + 1e-9, 6), dd, cc, fills, cb, round(ps + reuse + 1e-9, 6), round(score2 + 1e-9, 6), -doc_idx)) AS b FROM chosen JOIN joint USING (case_id, claim_number, doc_idx) GROUP BY ALL),
+eachw AS (SELECT s.case_id, s.claim_number, primary_idx, label, any_value(importance) AS importance, any_value(weight) AS weight, max(item_sim) AS c FROM scored s JOIN both_ USING (case_id, claim_number, doc_idx) JOIN (SELECT case_id, claim_number, label, weight FROM weights) USING (case_id, claim_number, label) GROUP BY s.case_id, s.claim_number, primary_idx, label),
+joint AS (SELECT case_id, claim_number, primary_idx AS doc_idx, count(*) FILTER (c * 100 <= 35 AND weight >= 4) AS critical_open, coalesce(sum(weight) FILTER (c * 100 <= 35), 0.0) AS open_weight, 100 * sum(importance * c) / sum(importance) AS combined FROM eachw GROUP BY ALL),
+picked AS (SELECT case_id, claim_number, arg_max(struct_pack(p := doc_idx, s := second), (-critical_open, -round(open_weight + 1e-9, 6), round(CASE WHEN top < 0.35 THEN fa ELSE 0.0 END + 1e-9, 6), round(combined + 1e-9, 6), dd, cc, fills, cb, ec, db, round(ps + least(2.0::DOUBLE, reuse * 2) + 1e-9, 6), round(score2 + 1e-9, 6), -doc_idx)) AS b FROM chosen JOIN joint USING (case_id, claim_number, doc_idx) GROUP BY ALL),
 ps AS (SELECT *, round(greatest(0.0::DOUBLE, 0.40 * distinctive_direct + 0.25 * core_coverage + 0.15 * core_breadth + 0.12 * element_coverage + 0.08 * evidence_coverage - 0.20 * core_gap_weight) * 100 + 1e-11, 9) AS primary_score FROM p),
 novel AS (SELECT case_id, claim_number, arg_max(doc_idx, (primary_score, -doc_idx)) FILTER (is_complete) AS alone FROM disclosure JOIN ps USING (case_id, claim_number, doc_idx) GROUP BY ALL),
 families AS (SELECT case_id, claim_number, coalesce(alone, b.p) AS primary_idx, CASE WHEN alone IS NULL THEN b.s END AS secondary_idx, CASE WHEN alone IS NOT NULL THEN 'single_document' WHEN b.s IS NULL THEN 'single_best' ELSE 'combination' END AS track
@@ -268,7 +268,7 @@ def family_selection(spark, sf_dir):
     claims = fx.claims(spark, sf_dir)
     roots = claims.filter("claim_type = 'independent'").select("case_id", "claim_number")
     reuse = scoring.dependent_reuse(rows, claim_ops.family_roots(claims))
-    return selection.selected_pairs(rows.join(roots, ["case_id", "claim_number"], "left_semi"), reuse)
+    return selection.selected_pairs(rows.join(roots, ["case_id", "claim_number"], "left_semi"), reuse).drop("secondary_reason")
 
 
 @query(fx.ctes() + """
