@@ -7,6 +7,7 @@ they are read. Rows of a response that is no JSON at all are reported as rejects
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ from claimweave.functions.dims import JUDGMENT_LABELS
 from claimweave.functions.text import folded, has_hangul, quote_tokens, shortened_quote
 from claimweave.operators.evidence import is_verbatim
 from claimweave.operators.judgments import normalized_label
+from claimweave.sources.storage import stored
 
 # Field names, their other names, containers, labels and limits that results depend on.
 ALIASES = {
@@ -44,6 +46,8 @@ WHOLE_QUOTE, RECOVERED = "대표 근거", "지정 문단에서 복구된 부분
 NOT_IN_SOURCE = "대표 발췌가 인용발명 원문과 일치하지 않아 직접 근거로 사용할 수 없음"
 NONE_LABEL = "대응 없음"
 MIN_SHARED, MIN_SHARE, SENTENCES, MOST_CHARS = 2, 0.20, 4, 350
+#: Strings and brackets of JSON, what closes what, and the depth to which a span is read.
+TOKENS, PAIRED, DEEPEST = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.DOTALL), {"]": "[", "}": "{"}, 200
 #: A leaf has one of these; a row that has none of the markers is no judgment.
 FIELDS = ("label", "found", "quote", "judgment", "판단_이유", "similarity_reason")
 EVIDENCE = "array<struct<limitation:string,subject:string,input:string,process:string,output:string,condition:string,relationship:string,chunk_id:string,section:string,quote:string,quote_translation:string>>"
@@ -55,40 +59,64 @@ ADVICE = r"(?iU)권고|추천|제안|recommend|suggest|propose"
 MINIMUM_LIMITATION, ACT_LIMITATION = "최소값 또는 하한 조건", "형상 파라미터를 실제로 조정하여 모델을 생성하는 실행 단계"
 
 
-def payload_strings(text: str | None) -> tuple[list[str], int]:
-    """The top-level JSON objects of a text, arrays opened, and how deep they nest."""
-    decoder, out, at = json.JSONDecoder(), [], 0
-    text = (text or "").replace("```json", "").replace("```", "").strip()
+def bracket_spans(text: str, start: int, spans: dict[int, tuple[int, int] | None]) -> None:
+    """Fills spans with (end, depth) of every bracket from start on that closes, and None where it does not; strings are skipped.
+
+    What follows a bracket is read alike from wherever reading began, so one pass answers for every bracket that it meets.
+    """
+    opened: list[list[int]] = []  # place, depth of what it holds
+    for token in TOKENS.finditer(text, start):
+        mark = token[0]
+        if mark in "[{":
+            opened.append([token.start(), 1])
+        elif mark in PAIRED and opened:
+            if text[opened[-1][0]] != PAIRED[mark]:  # none of the open brackets can be JSON
+                spans.update((place, None) for place, _ in opened)
+                opened = []
+                continue
+            place, depth = opened.pop()
+            spans[place] = (token.end(), depth)
+            if opened:
+                opened[-1][1] = max(opened[-1][1], depth + 1)
+    spans.update((place, None) for place, _ in opened)
 
-    def depth(value: object) -> int:
-        inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
-        return 1 + max(map(depth, inner), default=0) if isinstance(value, (dict, list)) else 0
 
-    deepest = 0
-    while True:
-        starts = [p for p in (text.find("[", at), text.find("{", at)) if p >= 0]
-        if not starts:
-            return out, deepest
+def payload_strings(text: str | None) -> tuple[list[str], int]:
+    """The top-level JSON objects of a text, arrays opened, and how many spans nest deeper than DEEPEST and stay unread."""
+    text = (text or "").replace("```json", "").replace("```", "").strip()
+    spans: dict[int, tuple[int, int] | None] = {}
+    out, refused, read_to = [], 0, 0
+    for bracket in re.finditer(r"[\[{]", text):
+        at = bracket.start()
+        if at < read_to:
+            continue
+        if at not in spans:
+            bracket_spans(text, at, spans)
+        if spans[at] is None:
+            continue
+        end, depth = spans[at]
+        if depth > DEEPEST:
+            refused, read_to = refused + 1, end
+            continue
         try:
-            value, at = decoder.raw_decode(text, min(starts))
-        except (json.JSONDecodeError, RecursionError):
-            at = min(starts) + 1
+            value = json.loads(text[at:end])
+        except ValueError:
             continue
-        found = [x for x in value if isinstance(x, dict)] if isinstance(value, list) else [value]
-        out += [json.dumps(x, ensure_ascii=False) for x in found]
-        deepest = max(deepest, depth(value))
+        read_to = end
+        out += [json.dumps(x, ensure_ascii=False) for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict)]
+    return out, refused
 
 
 def payloads(responses: DataFrame) -> DataFrame:
-    """responses with payloads, the JSON objects of the text, and depth. Brackets in free text need a scanner, so it runs in Python."""
+    """responses with payloads, the JSON objects of the text, and refused. Brackets in free text need a scanner, so it runs in Python."""
 
-    @F.pandas_udf("payloads array<string>, depth int")
+    @F.pandas_udf("payloads array<string>, refused int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [payload_strings(t) for t in texts]
-            yield pd.DataFrame({"payloads": [f[0] for f in found], "depth": [f[1] for f in found]})
+            yield pd.DataFrame({"payloads": [f[0] for f in found], "refused": [f[1] for f in found]})
 
-    return responses.select("*", run("text").alias("_p")).select(*responses.columns, "_p.payloads", "_p.depth")
+    return responses.select("*", run("text").alias("_p")).select(*responses.columns, "_p.payloads", "_p.refused")
 
 
 def _path(name: str) -> str:
@@ -106,19 +134,24 @@ def _text(value: str) -> str:
     return f"coalesce(try_variant_get({value}, '$', 'string'), '')"
 
 
-def expanded(found: DataFrame, levels: int) -> DataFrame:
-    """response_id, place, item (a variant), doc_index and own_label of every judgment-like object, at any depth up to levels.
+def expanded(found: DataFrame) -> DataFrame:
+    """response_id, place, item (a variant), doc_index and own_label of every judgment-like object, at any depth.
 
     Containers and label-named keys are opened; a child without a doc_index has its parent's, one without a label the
     key's. place orders them: children before their parent, containers in their order, then label-named keys by name.
+    Every level is one job over all responses, stored once, so that the plan of none grows with the deepest response.
     """
     rank = F.create_map(*[F.lit(x) for k, name in enumerate(CONTAINERS) for x in (name, k)])
     kind = lambda v: F.schema_of_variant(v)
     at = found.select("response_id", F.posexplode("payloads").alias("i", "j")).select("response_id", F.lpad(F.col("i").cast("string"), 6, "0").alias("place"), F.expr("try_parse_json(j)").alias("item"), F.expr("cast(null as variant)").alias("above"), F.lit("").alias("own_label"))
-    at, leaves = at.filter("item is not null"), []
-    for level in range(levels):
+    at, out = at.filter("item is not null"), None
+    while True:
         at = at.withColumn("doc_index", F.expr(f"coalesce({_field('item', 'doc_index')}, above)"))
-        leaves.append(at.select("response_id", F.concat("place", F.lit("~")).alias("place"), "item", "doc_index", "own_label"))
+        at = stored(at)
+        if out is not None and at.isEmpty():
+            break
+        leaves = at.select("response_id", F.concat("place", F.lit("~")).alias("place"), "item", "doc_index", "own_label")
+        out = leaves if out is None else out.unionByName(leaves)
         entries = at.select("response_id", "place", "doc_index", F.explode(F.try_variant_get("item", "$", "map<string,variant>")).alias("key", "value"))
         label, held = normalized_label("key"), F.col("key").isin(*CONTAINERS)
         named = label.rlike(r"^(?:P|[A-Z](?:-[0-9]+)?)$") & ~held
@@ -127,9 +160,6 @@ def expanded(found: DataFrame, levels: int) -> DataFrame:
         each = entries.select("response_id", "doc_index", "own_label", F.concat("place", F.lit("/"), F.lpad(F.coalesce(rank[F.col("key")], F.lit(len(CONTAINERS))).cast("string"), 2, "0"), "own_label").alias("place"), F.posexplode(several).alias("n", "item"))
         each = each.filter(F.col("item").isNotNull() & kind("item").startswith("OBJECT"))
         at = each.select("response_id", F.concat("place", F.lit("."), F.lpad(F.col("n").cast("string"), 6, "0")).alias("place"), "item", F.col("doc_index").alias("above"), "own_label")
-    out = leaves[0]
-    for part in leaves[1:]:
-        out = out.unionByName(part)
     has_any = " OR ".join(f"{_field('item', n)} IS NOT NULL" for n in FIELDS)
     judged = " OR ".join(f"{_field('item', n)} IS NOT NULL" for n in FIELDS if n != "quote")
     return out.filter(f"own_label <> '' OR {judged} OR (({has_any}) AND doc_index IS NOT NULL)")
@@ -254,17 +284,17 @@ def recovered_quote(quote: Column, chunk: Column) -> Column:
     return F.when((text == "") | ~enough(shared(text)), "").when(F.length(text) <= MOST_CHARS, text).when(enough(best["n"]), best["t"]).otherwise("")
 
 
-def normalized(responses: DataFrame, elements: DataFrame, documents: DataFrame, corpora: DataFrame, chunks: DataFrame, levels: int | None = None) -> DataFrame:
-    """Every item of every response with its fields and reject, null where it is valid; a response without any is one reject.
+def normalized(responses: DataFrame, elements: DataFrame, documents: DataFrame, corpora: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every item of every response with its fields and reject, null where it is valid.
 
-    levels: how deep items may nest; by default as deep as the deepest response does, which is looked up first.
+    A response has one reject more for JSON that nests deeper than DEEPEST (too_deep), which is not read, and is one
+    reject where it has no item and nothing too deep (no_payload).
     """
-    found = payloads(responses)
-    if levels is None:
-        levels = max(1, found.agg(F.max("depth")).first()[0] or 1)
-    rows = faithful(validated(expanded(found, levels), elements, documents), corpora, chunks)
-    empty = responses.select("response_id").join(rows.select("response_id").distinct(), "response_id", "left_anti").withColumn("reject", F.lit("no_payload"))
-    return rows.unionByName(empty, allowMissingColumns=True)
+    found = stored(payloads(responses.select("response_id", "text")))
+    rows = faithful(validated(expanded(found), elements, documents), corpora, chunks)
+    whole = found.join(rows.select("response_id").distinct().withColumn("_any", F.lit(True)), "response_id", "left")
+    reject = F.when(F.col("refused") > 0, "too_deep").when(F.col("_any").isNull(), "no_payload")
+    return rows.unionByName(whole.select("response_id", reject.alias("reject")).filter("reject is not null"), allowMissingColumns=True)
 
 
 def value_guards(rows: DataFrame) -> DataFrame:

@@ -490,7 +490,7 @@ def response_rows(spark, sf_dir):
     elements = fx.elements(spark, sf_dir).select(key, "label", F.lit("").alias("text"))
     documents = texts.select("response_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("doc_idx"))
     none = spark.createDataFrame([], "response_id long, doc_idx int, corpus string, chunk_id string, chunk string")
-    out = responses.normalized(texts, elements, documents, none.select("response_id", "doc_idx", "corpus"), none.select("response_id", "doc_idx", "chunk_id", "chunk"), levels=4)
+    out = responses.normalized(texts, elements, documents, none.select("response_id", "doc_idx", "corpus"), none.select("response_id", "doc_idx", "chunk_id", "chunk"))
     return out.select("response_id", F.col("doc_idx").cast("long").alias("doc_idx"), "label", "judgment", "found", "quote", "reject")
 
 

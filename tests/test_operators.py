@@ -373,3 +373,39 @@ def test_report_pieces(spark):
     elements = spark.createDataFrame([(1, "A", ["coordinate_transform", "harmonic", "load"]), (1, "B", ["harmonic"]), (2, "A", ["harmonic", "load"]), (3, "A", ["harmonic", "load"])], "doc long, element string, concepts array<string>")
     got = {(x["doc"], x["element"]): x["overlap"] for x in r.concept_overlap(chunks, elements, ["doc"]).collect()}
     assert got == {(1, "A"): 0.666666667, (1, "B"): 0.0, (2, "A"): 0.0, (3, "A"): 0.0}
+
+
+def test_payloads_of_any_depth(spark):
+    import json
+    import random
+
+    from claimweave.operators import responses
+
+    def stepwise(text):
+        """Every bracket tried in turn by the decoder of the standard library."""
+        out, at = [], 0
+        while at < len(text):
+            try:
+                value, at = json.JSONDecoder().raw_decode(text, at) if text[at] in "[{" else (None, at + 1)
+            except ValueError:
+                value, at = None, at + 1
+            out += [json.dumps(x) for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict)]
+        return out
+
+    dice = random.Random(7)
+    for _ in range(3000):
+        text = "".join(dice.choice(["[", "]", "{", "}", '"', '"a":', ",", "1", "\\", '{"k":1}', "x "]) for _ in range(dice.randint(0, 14))).strip()
+        assert responses.payload_strings(text) == (stepwise(text), 0)
+    assert responses.payload_strings("[" * 100_000) == ([], 0) and responses.payload_strings('{"a":' * 5000 + "1" + "}" * 5000 + ' {"b": 2}') == (['{"b": 2}'], 1)
+
+    item = {"label": "A", "doc_index": 0, "found": False, "quote": "", "chunk_id": "", "judgment": "대응 없음", "reason": "r"}
+    nested = item
+    for _ in range(12):
+        nested = {"results": [nested]}
+    texts = [(1, json.dumps(nested)), (2, "[" * 5000 + "]" * 5000), (3, json.dumps([item]) + "[" * 500 + "]" * 500)]
+    df = spark.createDataFrame(texts, "response_id long, text string")
+    elements = spark.createDataFrame([(i, "A", "part") for i in (1, 2, 3)], "response_id long, label string, text string")
+    documents = spark.createDataFrame([(i, 0) for i in (1, 2, 3)], "response_id long, doc_idx int")
+    none = spark.createDataFrame([], "response_id long, doc_idx int, corpus string, chunk_id string, chunk string")
+    got = responses.normalized(df, elements, documents, none.select("response_id", "doc_idx", "corpus"), none.drop("corpus"))
+    assert sorted((r["response_id"], r["label"] or "", r["reject"] or "") for r in got.collect()) == [(1, "A", ""), (2, "", "too_deep"), (3, "", "too_deep"), (3, "A", "")]
