@@ -60,6 +60,35 @@ def budgeted_orders(chunks: Column, limit: int, first: bool = True) -> Column:
     return F.aggregate(hits, start, step, lambda s: F.sort_array(s["kept"]))
 
 
+def named_documents(quotations: DataFrame, documents: DataFrame) -> DataFrame:
+    """quotations (named, quote) with the text of the document that each names, null where there is none; of repeated documents any one."""
+    texts = documents.groupBy(F.col("doc_id").alias("named")).agg(F.first("text", ignorenulls=True).alias("text"))
+    return quotations.join(texts, "named", "left")
+
+
+def gathered(windows: DataFrame, key: list[str], place: str, text: str, label_chars: int) -> DataFrame:
+    """(key, keywords, chunks) of the windows of every document, in order, with their sizes and scores; label_chars is what an identifier takes."""
+    scored = with_lowered(windows, text).withColumn("score", F.size(F.filter("keywords", lambda k: F.contains("_low", k))))
+    each = F.struct(place, (F.length(text) + label_chars + 2).alias("size"), "score")
+    docs = scored.groupBy(*key).agg(F.first("keywords").alias("keywords"), F.array_sort(F.collect_list(each)).alias("_w"))
+    return docs.select(*key, "keywords", F.transform("_w", lambda c, i: F.struct(i.alias("place"), c["size"].alias("size"), c["score"].alias("score"))).alias("chunks"))
+
+
+def selected_context(chunks: str, n_keywords: Column, other: Column, hard: int, relevant: int, most_other: int) -> Column:
+    """What of a document goes into the context of a claim: struct of mode, first_chars and kept.
+
+    whole: its chunks fit under hard, of which first_chars is the cut. Without keywords that cut is taken (no_keywords), where no chunk has one, the
+    first of relevant characters (no_hit). Else the chunks in kept (selected), under relevant. Where other is true, no
+    patent document, both limits are at most most_other and the first chunk has no place of its own.
+    """
+    c = F.col(chunks)
+    cut = lambda limit: F.when(other, F.lit(min(limit, most_other))).otherwise(F.lit(limit))
+    whole = F.aggregate(c, F.lit(0), lambda t, x: t + x["size"]) - 1
+    mode = F.when(whole <= cut(hard), "whole").when(n_keywords == 0, "no_keywords").when(~F.exists(c, lambda x: x["score"] > 0), "no_hit").otherwise("selected")
+    kept = F.when(mode != "selected", F.array().cast("array<int>")).when(other, budgeted_orders(c, min(relevant, most_other), first=False)).otherwise(budgeted_orders(c, relevant))
+    return F.struct(mode.alias("mode"), F.when(mode.isin("whole", "no_keywords"), cut(hard)).when(mode == "no_hit", cut(relevant)).alias("first_chars"), kept.alias("kept"))
+
+
 def is_verbatim(quote: Column, corpus: Column) -> Column:
     """Whether every segment of MIN_SEGMENT characters and over, at least one, occurs in the corpus."""
     parts = F.transform(F.split(quote, _CUT), lambda s: verbatim_text(F.regexp_replace(s, r"^\s*\[[^\]]+\]\s*", "")))

@@ -316,65 +316,81 @@ runs_b AS (SELECT DISTINCT item_id, array_to_string(w[i:i+7], ' ') AS g FROM (SE
 pairs AS (SELECT DISTINCT doc_id, item_id FROM runs_d JOIN runs_b USING (g))"""
 
 
-def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a document and a benchmark item that have a run of words in common."""
+@query(f"WITH {PAIRS} SELECT doc_id, item_id FROM pairs")
+def citing_documents(spark, sf_dir):
+    """A search by content: the documents that have a run of words in common with a benchmark item."""
     return evidence.citing_pairs(fx.read(spark, sf_dir, "documents"), fx.read(spark, sf_dir, "benchmark"))
 
 
-def quoted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of those pairs with the items as quotations to verify in them; items of no pair have no document."""
-    items = fx.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return items.join(cited(spark, sf_dir).join(docs, "doc_id"), "item_id", "left")
-
-
-@query(rf"""WITH {PAIRS},
-q AS (SELECT p.doc_id, b.item_id, trim(b.text) AS q, lower(coalesce(d.text, '')) AS low FROM benchmark b LEFT JOIN (pairs p JOIN documents d USING (doc_id)) ON p.item_id = b.item_id),
+@query(rf"""WITH {fx.QUOTATIONS},
+q AS (SELECT quote_id, trim(quote) AS q, d.doc_id IS NOT NULL AS known, lower(d.text) AS low FROM quotations n LEFT JOIN texts d ON d.doc_id = n.named),
 s AS (SELECT *, CASE WHEN len(list_filter(list_transform(string_split_regex(q, '\s*(?:…|\.{{3,}})\s*'), lambda x: trim(x)), lambda x: length(x) >= 15)) > 0
   THEN list_filter(list_transform(string_split_regex(q, '\s*(?:…|\.{{3,}})\s*'), lambda x: trim(x)), lambda x: length(x) >= 15) ELSE [q] END AS parts FROM q),
 m AS (SELECT *, list_transform(parts, lambda p: CASE WHEN contains(low, lower(substr(p, 1, 70))) THEN 2 WHEN contains(low, lower(substr(p, 1, 30))) THEN 1
   WHEN len(list_filter(string_split_regex(lower(substr(p, 1, 70)), '\s+'), lambda w: length(w) >= 3)) > 0 AND
     len(list_filter(string_split_regex(lower(substr(p, 1, 70)), '\s+'), lambda w: length(w) >= 3 AND contains(low, w))) / len(list_filter(string_split_regex(lower(substr(p, 1, 70)), '\s+'), lambda w: length(w) >= 3)) >= 0.6 THEN 1 ELSE 0 END) AS marks FROM s)
-SELECT doc_id, item_id, CASE WHEN q = '' THEN 'empty' WHEN length(q) < 15 THEN 'short' WHEN list_min(marks) = 2 THEN 'verified' WHEN list_max(marks) > 0 THEN 'partial' ELSE 'not_found' END AS status FROM m""")
+SELECT quote_id, CASE WHEN coalesce(q, '') = '' THEN 'empty' WHEN length(q) < 15 THEN 'short' WHEN NOT known THEN 'no_doc' WHEN list_min(marks) = 2 THEN 'verified' WHEN list_max(marks) > 0 THEN 'partial' ELSE 'not_found' END AS status FROM m""")
 def quote_verify(spark, sf_dir):
-    """Every item in every document that shares a run of its words; items that no document shares are not found."""
-    rows = evidence.with_lowered(quoted_documents(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))), "text")
-    return rows.select("doc_id", "item_id", evidence.quote_status(F.col("quote"), F.col("text"), F.col("_low")).alias("status"))
+    """Every quotation in the document that it names."""
+    rows = evidence.named_documents(fx.quotations(spark, sf_dir), fx.document_texts(spark, sf_dir))
+    return evidence.with_lowered(rows, "text").select("quote_id", evidence.quote_status(F.col("quote"), F.col("text"), F.col("_low")).alias("status"))
 
 
-@query(rf"""WITH {PAIRS}, q AS (SELECT p.doc_id, b.item_id, trim(lower(regexp_replace(b.text, '\s+', ' ', 'g'))) AS q, trim(lower(regexp_replace(coalesce(d.text, ''), '\s+', ' ', 'g'))) AS low FROM benchmark b LEFT JOIN (pairs p JOIN documents d USING (doc_id)) ON p.item_id = b.item_id)
-SELECT doc_id, item_id, length(q) >= 12 AND contains(low, q) AS verbatim FROM q WHERE NOT regexp_matches(q, '…|\.\.\.|^\[')""")
+@query(rf"""WITH {fx.QUOTATIONS}, q AS (SELECT quote_id, trim(lower(regexp_replace(quote, '\s+', ' ', 'g'))) AS q, trim(lower(regexp_replace(d.text, '\s+', ' ', 'g'))) AS low FROM quotations n JOIN texts d ON d.doc_id = n.named)
+SELECT quote_id, length(q) >= 12 AND contains(low, q) AS verbatim FROM q WHERE NOT regexp_matches(q, '…|\.\.\.|^\[')""")
 def quote_verbatim(spark, sf_dir):
-    rows = quoted_documents(spark, sf_dir).filter(~F.trim(F.col("quote")).rlike(r"…|\.\.\.|^\["))
-    return rows.select("doc_id", "item_id", evidence.is_verbatim(F.col("quote"), F.col("text")).alias("verbatim"))
+    rows = evidence.named_documents(fx.quotations(spark, sf_dir), fx.document_texts(spark, sf_dir)).filter("text is not null")
+    rows = rows.filter(~F.trim(F.col("quote")).rlike(r"…|\.\.\.|^\["))
+    return rows.select("quote_id", evidence.is_verbatim(F.col("quote"), F.col("text")).alias("verbatim"))
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in text.CLAIM_STOPWORDS) + "]"
+#: The windows of every document with the words of its case's claim; a word of the claim that a window holds scores one.
+SCORED_WINDOWS = rf"""{WINDOWS}, {fx.CASE_CLAIMS},
+k AS (SELECT case_no, list_filter(list_distinct(regexp_extract_all(lower(claim), '[a-z0-9가-힣]{{2,}}|[ぁ-んァ-ヶー一-龯]{{2,}}')), lambda w: NOT list_contains({STOP}, w)) AS k FROM case_claims),
+first80 AS (SELECT case_no, coalesce(k, [])[1:80] AS k FROM k),
+scored AS (SELECT doc_id, window_no, case_no, piece, CAST(len(list_filter(k, lambda w: contains(lower(piece), w))) AS INTEGER) AS score FROM windows JOIN first80 ON case_no = doc_id // 5 WHERE piece <> '')"""
 
 
-def cited_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of every document with the keywords of every item that the document shares a run of words with."""
-    items = fx.read(spark, sf_dir, "benchmark").select("item_id", text.claim_keywords("text").alias("keywords"))
+def claim_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of every document with the keywords of the claim of its case."""
+    claims = fx.case_claims(spark, sf_dir).select("case_no", text.claim_keywords("claim").alias("keywords"))
     cut = segments.fixed_windows(fx.read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.join(cited(spark, sf_dir), "doc_id").join(items, "item_id")
+    return cut.withColumn("case_no", F.floor(F.col("doc_id") / fx.DOCS_PER_CASE)).join(claims, "case_no")
 
 
-@query(rf"""WITH {PAIRS}, {WINDOWS},
-k AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9가-힣]{{2,}}')), lambda w: NOT list_contains({STOP}, w)) AS k FROM benchmark),
-s AS (SELECT doc_id, window_no, item_id, CAST(len(list_filter(k, lambda w: contains(lower(piece), w))) AS INTEGER) AS score FROM windows JOIN pairs USING (doc_id) JOIN k USING (item_id) WHERE piece <> '')
-SELECT doc_id, window_no, item_id, score FROM s WHERE score > 0""")
+@query(f"WITH {SCORED_WINDOWS} SELECT doc_id, window_no, case_no, score FROM scored WHERE score > 0")
 def keyword_score(spark, sf_dir):
-    return evidence.keyword_scores(cited_windows(spark, sf_dir)).select("doc_id", "window_no", "item_id", "score")
-
-
-@query()
+    return evidence.keyword_scores(claim_windows(spark, sf_dir)).select("doc_id", "window_no", "case_no", "score")
+
+
+#: Budgets of the context query: whole texts up to HARD characters, RELEVANT of longer ones, and of non-patent documents at most OTHER.
+HARD, RELEVANT, OTHER = 1_500, 1_300, 1_100
+
+
+@query(f"""WITH RECURSIVE {SCORED_WINDOWS},
+each AS (SELECT s.doc_id, count(*) AS n, sum(length(piece) + 8) - 1 AS whole, any_value(len(k)) AS n_words, max(score) AS top,
+  CASE WHEN s.doc_id % 3 = 0 THEN least({HARD}, {OTHER}) ELSE {HARD} END AS hard, CASE WHEN s.doc_id % 3 = 0 THEN least({RELEVANT}, {OTHER}) ELSE {RELEVANT} END AS relevant,
+  list(length(piece) + 8 ORDER BY window_no) AS sizes FROM scored s JOIN first80 USING (case_no) GROUP BY s.doc_id),
+hits AS (SELECT s.doc_id, p, row_number() OVER (PARTITION BY s.doc_id ORDER BY score DESC, p) AS r FROM
+  (SELECT doc_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY window_no) - 1 AS p FROM scored) s WHERE score > 0),
+fold AS (SELECT doc_id, 0::BIGINT AS r, CASE WHEN doc_id % 3 = 0 THEN []::BIGINT[] ELSE [0::BIGINT] END AS kept, CASE WHEN doc_id % 3 = 0 THEN 0::HUGEINT ELSE sizes[1]::HUGEINT END AS total FROM each
+  UNION ALL SELECT f.doc_id, h.r,
+    CASE WHEN f.total + list_sum(coalesce(list_transform(new, lambda x: sizes[x + 1]), [])) <= relevant OR len(new) = 0 THEN list_concat(f.kept, new)
+      WHEN NOT list_contains(f.kept, h.p) AND f.total + sizes[h.p + 1] <= relevant THEN list_append(f.kept, h.p) ELSE f.kept END,
+    CASE WHEN len(new) = 0 THEN f.total WHEN f.total + list_sum(list_transform(new, lambda x: sizes[x + 1])) <= relevant THEN f.total + list_sum(list_transform(new, lambda x: sizes[x + 1]))
+      WHEN NOT list_contains(f.kept, h.p) AND f.total + sizes[h.p + 1] <= relevant THEN f.total + sizes[h.p + 1] ELSE f.total END
+  FROM (SELECT fold.*, h.p AS hp, e.sizes, e.relevant, list_filter(list_distinct([greatest(0, h.p - 1), h.p, least(e.n - 1, h.p + 1)]), lambda x: NOT list_contains(fold.kept, x)) AS new
+    FROM fold JOIN hits h ON h.doc_id = fold.doc_id AND h.r = fold.r + 1 JOIN each e ON e.doc_id = fold.doc_id) f JOIN hits h ON h.doc_id = f.doc_id AND h.r = f.r + 1),
+last AS (SELECT doc_id, arg_max(kept, r) AS kept FROM fold GROUP BY doc_id)
+SELECT doc_id, CASE WHEN whole <= hard THEN 'whole' WHEN n_words = 0 THEN 'no_keywords' WHEN top = 0 THEN 'no_hit' ELSE 'selected' END AS mode,
+  CASE WHEN whole <= hard OR n_words = 0 THEN hard WHEN top = 0 THEN relevant END AS first_chars,
+  CASE WHEN whole <= hard OR n_words = 0 OR top = 0 THEN '' ELSE array_to_string(list_sort(kept), ',') END AS kept FROM each JOIN last USING (doc_id)""")
 def budget_context(spark, sf_dir):
-    """Windows that a budget of 6 000 characters keeps of every document for every item that it shares a run of words with."""
-    scored = evidence.with_lowered(cited_windows(spark, sf_dir), "window").withColumn("score", F.size(F.filter("keywords", lambda k: F.contains("_low", k))))
-    place = F.struct("window_no", (F.length("window") + 8).alias("size"), "score")
-    docs = scored.groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_list(place)).alias("w"))
-    chunks = F.transform("w", lambda c, i: F.struct(i.alias("place"), c["size"].alias("size"), c["score"].alias("score")))
-    return docs.withColumn("c", chunks).select("doc_id", "item_id", F.array_join(evidence.budgeted_orders(F.col("c"), 6_000), ",").alias("kept"))
+    """What two limits let of every document into the context of its case's claim; every third is no patent document."""
+    docs = evidence.gathered(claim_windows(spark, sf_dir), ["doc_id"], "window_no", "window", label_chars=6)
+    chosen = evidence.selected_context("chunks", F.size("keywords"), F.col("doc_id") % 3 == 0, HARD, RELEVANT, OTHER)
+    return docs.select("doc_id", chosen.alias("c")).select("doc_id", "c.mode", "c.first_chars", F.array_join("c.kept", ",").alias("kept"))
 
 
 @query(r"""WITH r AS (SELECT page_id // 4 AS batch, url || CASE page_id % 5 WHEN 0 THEN ' and US ' || (20000000 + page_id % 7) || 'A1.' WHEN 1 THEN ' arXiv: 2401.0' || (1000 + page_id % 3) || 'v2 ' WHEN 2 THEN ' doi 10.1000/x.' || page_id % 2 ELSE '' END AS t FROM pages),

@@ -166,3 +166,44 @@ firsts AS (SELECT case_id, claim_number, min(label) FILTER (kind = 0) AS first F
 kinds AS (SELECT p.*, first, kind = 1 AND first IS NOT NULL AND first < label AS sub, kind = 0 OR (kind = 1 AND NOT (first IS NOT NULL AND first < label)) AS plain FROM parts p JOIN firsts USING (case_id, claim_number)),
 numbered AS (SELECT *, CAST(count(*) FILTER (plain) OVER (PARTITION BY case_id, claim_number ORDER BY label) AS INTEGER) - 1 AS n FROM kinds),
 lettered AS (SELECT *, min(n) FILTER (kind = 0) OVER (PARTITION BY case_id, claim_number) AS n_first FROM numbered)"""
+
+
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+#: What follows the cut of a quotation whose end nobody wrote, and one that nobody wrote at all.
+UNWRITTEN, FOREIGN = " zqx wvk jjq xxz qqv kzz vvx", "zqx wvk jjq xxz qqv kzz vvx wwq"
+
+
+def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quote_id, named, quote: what each document says of itself or of no one, and each benchmark item of the document of its number.
+
+    By turns a passage, one with another end, words backwards, something short, nothing, a passage that breaks off into
+    words of no one, one that names a document that is not there, and words of no one.
+    """
+    k, t = F.col("doc_id") % 8, F.col("text")
+    backwards = F.array_join(F.reverse(F.slice(F.split(t, " "), 1, 12)), " ")
+    forms = [F.substring(t, 101, 120), F.concat(F.substring(t, 1, 40), F.lit(UNWRITTEN)), backwards, F.substring(t, 1, 8), F.lit(""), F.concat(F.substring(t, 51, 40), F.lit(" … " + FOREIGN)), F.substring(t, 1, 60), F.lit(FOREIGN)]
+    quote = F.lit(None).cast("string")
+    for n, form in reversed(list(enumerate(forms))):
+        quote = F.when(k == n, form).otherwise(quote)
+    own = document_texts(spark, sf_dir).select(F.col("doc_id").alias("quote_id"), F.when(k == 6, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("named"), quote.alias("quote"))
+    items = read(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("quote_id"), F.col("item_id").alias("named"), F.col("text").alias("quote"))
+    return own.unionByName(items)
+
+
+QUOTATIONS = f"""texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+quotations AS (SELECT doc_id AS quote_id, CASE WHEN doc_id % 8 = 6 THEN -1 - doc_id ELSE doc_id END AS named,
+  CASE doc_id % 8 WHEN 0 THEN substr(text, 101, 120) WHEN 1 THEN substr(text, 1, 40) || '{UNWRITTEN}' WHEN 2 THEN array_to_string(list_reverse(string_split(text, ' ')[1:12]), ' ') WHEN 3 THEN substr(text, 1, 8)
+    WHEN 4 THEN '' WHEN 5 THEN substr(text, 51, 40) || ' … {FOREIGN}' WHEN 6 THEN substr(text, 1, 60) ELSE '{FOREIGN}' END AS quote FROM texts
+  UNION ALL SELECT -1 - item_id, item_id, text FROM benchmark)"""
+
+
+def case_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_no, claim: of every five documents in a row the beginning of the first, as the claim that they are compared with."""
+    docs = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / DOCS_PER_CASE).alias("case_no"), "doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("claim"))
+    return docs.groupBy("case_no").agg(F.min_by("claim", "doc_id").alias("claim"))
+
+
+CASE_CLAIMS = "case_claims AS (SELECT doc_id // 5 AS case_no, arg_min(substr(coalesce(text, ''), 1, 200), doc_id) AS claim FROM documents GROUP BY 1)"
