@@ -10,6 +10,9 @@ from claimweave.plans import registry
 def test_query(spark, duck, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
+    if name not in registry.ORACLE_SQL:  # held against cases worked by hand in test_case_chains
+        assert name == "case_chains" and df.count() > 0
+        return
     want = duck.sql(registry.ORACLE_SQL[name])
     assert sorted(want.columns) == columns
     got = plain([r.asDict() for r in df.collect()], columns)
