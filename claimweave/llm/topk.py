@@ -7,7 +7,8 @@ blocks of candidates; coarse to fine, pairs whose bound cannot reach the query's
 dropped, and the survivors are scored exactly in integers.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part; vectors of different
-lengths are never compared; ties go to the smaller vec_id; repeated vec_ids are rows of their own, and a query
+lengths are never compared; a score beyond the whole numbers of 64 bits is the last of them on its side, and vectors that
+reach it are ties, as is a scaled component; ties go to the smaller vec_id; repeated vec_ids are rows of their own, and a query
 row is not its own candidate, nor is any row of its vec_id; a query with fewer candidates gets all of them; empty
 tables give empty results; extra columns are not read.
 """
@@ -28,6 +29,8 @@ QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
 BLOCKS_PER_TASK = 4
 #: Where sums of products may reach this, a double's exact integers, scores are Python integers.
 EXACT_BELOW = 1 << 53
+#: Scores, and scaled components, beyond this are held to it, on either side.
+MOST = (1 << 63) - 1
 
 
 def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +58,7 @@ def block_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
             if not len(start):
                 continue
             begun = np.sort(c[start] @ own)
-            least = begun[-k] if len(begun) >= k else -np.inf
+            least = min(begun[-k], float(MOST)) if len(begun) >= k and begun[-k] > -MOST else -np.inf
             left = np.flatnonzero((up >= least - slack) & np.isfinite(up))
             for of_q, of_c in bounds[1:]:
                 if len(left) > 2 * k:
@@ -65,7 +68,7 @@ def block_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
                 top = left[exact >= np.sort(exact)[-k]] if len(exact) > k else left
                 value = (c[top] @ own).astype(np.int64).tolist()
             else:
-                value = [sum(int(a) * int(b) for a, b in zip(c[j], own)) for j in left]
+                value = [max(-MOST, min(MOST, sum(int(a) * int(b) for a, b in zip(c[j], own)))) for j in left]
                 top = left
             order = sorted(range(len(top)), key=lambda j: (-value[j], cid[top[j]]))[:k]
             qs += [row] * len(order)

@@ -92,3 +92,17 @@ def test_stages_on_odd_rows(spark):
             out = stored(stage(spark, at, ""))
             assert name == "packing" or out.columns == docs.columns
             at = out
+
+
+def test_scores_beyond_64_bits(spark):
+    """Scores and scaled components are held to 64 bits, so that what reaches the end is a tie."""
+    from claimweave.llm import topk
+
+    most = (1 << 63) - 1
+    held = lambda x: max(-most, min(most, x))
+    vectors = {0: [1e30, 1.0], 1: [1e30, 2.0], 2: [-1e30, 1.0], 3: [1e25, 0.0], 4: [0.5, 0.25], 5: [-0.5, 3.0], 6: [2e30, 0.0], 7: [1e-3, 0.0], 50: [1.0, 1.0]}
+    scaled = {i: [float(max(-1 << 63, min(most, int(x * 256 // 1)))) for x in v] for i, v in vectors.items()}
+    got = topk.every_fiftieth(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"), k=3).collect()
+    for query in (0, 50):
+        scores = sorted((-held(sum(int(a) * int(b) for a, b in zip(scaled[query], v))), i) for i, v in scaled.items() if i != query)[:3]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == query) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
