@@ -1,3 +1,3 @@
-"""Registered queries; screening and case_plans add their own to the registry's."""
+"""Registered queries; the other modules add their own to the registry's."""
 
-from claimweave.plans import registry, screening, case_plans  # noqa: F401
+from claimweave.plans import registry, screening, case_plans, claim_plans  # noqa: F401
