@@ -66,6 +66,18 @@ def named_documents(quotations: DataFrame, documents: DataFrame) -> DataFrame:
     return quotations.join(texts, "named", "left")
 
 
+def every_document(quotations: DataFrame, documents: DataFrame) -> DataFrame:
+    """quotations, which name no document, beside every document with an id: named, text, _low and _words (its distinct words), made once a document.
+
+    Only the quotations are sent around; the documents are dealt evenly, as each meets all of them.
+    """
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = documents.filter("doc_id is not null").groupBy(F.col("doc_id").alias("named")).agg(F.first("text", ignorenulls=True).alias("text"))
+    lowered = with_lowered(texts.repartition(n, "named"), "text")
+    words = F.array_join(F.array_distinct(F.split("_low", r"\s+")), " ")
+    return lowered.select("*", F.explode(F.array(words)).alias("_words")).join(F.broadcast(quotations))
+
+
 def gathered(windows: DataFrame, key: list[str], place: str, text: str, label_chars: int) -> DataFrame:
     """(key, keywords, chunks) of the windows of every document, in order, with their sizes and scores; label_chars is what an identifier takes."""
     scored = with_lowered(windows, text).withColumn("score", F.size(F.filter("keywords", lambda k: F.contains("_low", k))))
@@ -97,21 +109,31 @@ def is_verbatim(quote: Column, corpus: Column) -> Column:
     return (F.size(parts) > 0) & F.forall(parts, lambda s: F.contains(whole, s))
 
 
-def quote_status(quote: Column, corpus: Column, lowered: Column | None = None) -> Column:
-    """verified, partial, not_found, empty, short or no_doc. lowered: the corpus in lower case, where a column holds it."""
+def quote_probes(quote: Column) -> Column:
+    """What is looked for of every part of a quotation: array<struct<full, short, words>>. It depends on no document."""
     q = F.trim(F.coalesce(quote, F.lit("")))
-    low = F.lower(corpus) if lowered is None else lowered
     parts = F.filter(F.transform(F.split(q, _CUT), F.trim), lambda s: F.length(s) >= MIN_QUOTE)
     parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(q))
 
     def probe(s: Column) -> Column:
         full, short = F.lower(F.substring(s, 1, LONG_PROBE)), F.lower(F.substring(s, 1, SHORT_PROBE))
-        words = F.filter(F.split(full, r"\s+"), lambda w: F.length(w) >= 3)
-        found = F.size(F.filter(words, lambda w: F.contains(low, w)))
-        return F.when(F.contains(low, full), 2).when(F.contains(low, short), 1).when((F.size(words) > 0) & (found / F.size(words) >= WORD_SHARE), 1).otherwise(0)
+        return F.struct(full.alias("full"), short.alias("short"), F.filter(F.split(full, r"\s+"), lambda w: F.length(w) >= 3).alias("words"))
+
+    return F.transform(parts, probe)
+
+
+def quote_status(quote: Column, corpus: Column, lowered: Column | None = None, probes: Column | None = None, words: Column | None = None) -> Column:
+    """verified, partial, not_found, empty, short or no_doc. lowered, probes, words: the corpus in lower case, the quotation's probes and the corpus's distinct words, where columns hold them."""
+    q = F.trim(F.coalesce(quote, F.lit("")))
+    low = F.lower(corpus) if lowered is None else lowered
+
+    def mark(p: Column) -> Column:
+        n, found = F.size(p["words"]), F.size(F.filter(p["words"], lambda w: F.contains(low if words is None else words, w)))
+        return F.when(F.contains(low, p["full"]), 2).when(F.contains(low, p["short"]), 1).when((n > 0) & (found / n >= WORD_SHARE), 1).otherwise(0)
 
-    marks = F.transform(parts, probe)
-    status = F.when(F.array_min(marks) == 2, "verified").when(F.array_max(marks) > 0, "partial").otherwise("not_found")
+    marks = F.transform(quote_probes(quote) if probes is None else probes, mark)
+    of_marks = lambda m: F.when(F.array_min(m) == 2, "verified").when(F.array_max(m) > 0, "partial").otherwise("not_found")
+    status = F.get(F.transform(F.array(marks), of_marks), F.lit(0))  # so that the marks are made once
     return F.when(q == "", "empty").when(F.length(q) < MIN_QUOTE, "short").when(corpus.isNull(), "no_doc").otherwise(status)
 
 

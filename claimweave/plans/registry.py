@@ -322,18 +322,22 @@ def citing_documents(spark, sf_dir):
     return evidence.citing_pairs(fx.read(spark, sf_dir, "documents"), fx.read(spark, sf_dir, "benchmark"))
 
 
-@query(rf"""WITH {fx.QUOTATIONS},
-q AS (SELECT quote_id, trim(quote) AS q, d.doc_id IS NOT NULL AS known, lower(d.text) AS low FROM quotations n LEFT JOIN texts d ON d.doc_id = n.named),
+@query(rf"""WITH {fx.EVERYWHERE},
+q AS (SELECT quote_id, named, trim(quote) AS q, d.doc_id IS NOT NULL AS known, lower(d.text) AS low FROM everywhere n LEFT JOIN texts d ON d.doc_id = n.named),
 s AS (SELECT *, CASE WHEN len(list_filter(list_transform(string_split_regex(q, '\s*(?:…|\.{{3,}})\s*'), lambda x: trim(x)), lambda x: length(x) >= 15)) > 0
   THEN list_filter(list_transform(string_split_regex(q, '\s*(?:…|\.{{3,}})\s*'), lambda x: trim(x)), lambda x: length(x) >= 15) ELSE [q] END AS parts FROM q),
 m AS (SELECT *, list_transform(parts, lambda p: CASE WHEN contains(low, lower(substr(p, 1, 70))) THEN 2 WHEN contains(low, lower(substr(p, 1, 30))) THEN 1
   WHEN len(list_filter(string_split_regex(lower(substr(p, 1, 70)), '\s+'), lambda w: length(w) >= 3)) > 0 AND
     len(list_filter(string_split_regex(lower(substr(p, 1, 70)), '\s+'), lambda w: length(w) >= 3 AND contains(low, w))) / len(list_filter(string_split_regex(lower(substr(p, 1, 70)), '\s+'), lambda w: length(w) >= 3)) >= 0.6 THEN 1 ELSE 0 END) AS marks FROM s)
-SELECT quote_id, CASE WHEN coalesce(q, '') = '' THEN 'empty' WHEN length(q) < 15 THEN 'short' WHEN NOT known THEN 'no_doc' WHEN list_min(marks) = 2 THEN 'verified' WHEN list_max(marks) > 0 THEN 'partial' ELSE 'not_found' END AS status FROM m""")
+SELECT quote_id, named, CASE WHEN coalesce(q, '') = '' THEN 'empty' WHEN length(q) < 15 THEN 'short' WHEN NOT known THEN 'no_doc' WHEN list_min(marks) = 2 THEN 'verified' WHEN list_max(marks) > 0 THEN 'partial' ELSE 'not_found' END AS status FROM m""")
 def quote_verify(spark, sf_dir):
-    """Every quotation in the document that it names."""
-    rows = evidence.named_documents(fx.quotations(spark, sf_dir), fx.document_texts(spark, sf_dir))
-    return evidence.with_lowered(rows, "text").select("quote_id", evidence.quote_status(F.col("quote"), F.col("text"), F.col("_low")).alias("status"))
+    """Every quotation in the document that it names, and every item in all others too."""
+    texts = fx.document_texts(spark, sf_dir)
+    own = evidence.with_lowered(evidence.named_documents(fx.quotations(spark, sf_dir), texts), "text")
+    items = fx.items_as_quotations(spark, sf_dir).withColumn("probes", evidence.quote_probes(F.col("quote")))
+    others = evidence.every_document(items, texts).filter("named <> number")
+    status = [evidence.quote_status(F.col("quote"), F.col("text"), F.col("_low"), *more).alias("status") for more in ((), (F.col("probes"), F.col("_words")))]
+    return own.select("quote_id", "named", status[0]).unionByName(others.select("quote_id", "named", status[1]))
 
 
 @query(rf"""WITH {fx.QUOTATIONS}, q AS (SELECT quote_id, trim(lower(regexp_replace(quote, '\s+', ' ', 'g'))) AS q, trim(lower(regexp_replace(d.text, '\s+', ' ', 'g'))) AS low FROM quotations n JOIN texts d ON d.doc_id = n.named)

@@ -200,6 +200,17 @@ quotations AS (SELECT doc_id AS quote_id, CASE WHEN doc_id % 8 = 6 THEN -1 - doc
   UNION ALL SELECT -1 - item_id, item_id, text FROM benchmark)"""
 
 
+def items_as_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quote_id, quote, number: the benchmark items, which `quotations` holds against the document of their number alone."""
+    return read(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("quote_id"), F.col("text").alias("quote"), F.col("item_id").alias("number"))
+
+
+#: The quotations, and every item as one of every other document.
+EVERYWHERE = f"""{QUOTATIONS},
+everywhere AS (SELECT quote_id, named, quote FROM quotations
+  UNION ALL SELECT -1 - item_id, doc_id, text FROM benchmark JOIN (SELECT DISTINCT doc_id FROM documents) d ON doc_id <> item_id)"""
+
+
 def case_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """case_no, claim: of every five documents in a row the beginning of the first, as the claim that they are compared with."""
     docs = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / DOCS_PER_CASE).alias("case_no"), "doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("claim"))
