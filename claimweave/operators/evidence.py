@@ -67,15 +67,15 @@ def named_documents(quotations: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def every_document(quotations: DataFrame, documents: DataFrame) -> DataFrame:
-    """quotations, which name no document, beside every document with an id: named, text, _low and _words (its distinct words), made once a document.
+    """quotations, which name no document, beside every document with an id: named, text, _low, _words (its distinct words) and _whole (as verbatim quotations are compared), made once a document.
 
     Only the quotations are sent around; the documents are dealt evenly, as each meets all of them.
     """
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = documents.filter("doc_id is not null").groupBy(F.col("doc_id").alias("named")).agg(F.first("text", ignorenulls=True).alias("text"))
     lowered = with_lowered(texts.repartition(n, "named"), "text")
-    words = F.array_join(F.array_distinct(F.split("_low", r"\s+")), " ")
-    return lowered.select("*", F.explode(F.array(words)).alias("_words")).join(F.broadcast(quotations))
+    made = F.struct(F.array_join(F.array_distinct(F.split("_low", r"\s+")), " ").alias("_words"), verbatim_text("text").alias("_whole"))
+    return lowered.select("*", F.explode(F.array(made)).alias("_m")).select("*", "_m._words", "_m._whole").drop("_m").join(F.broadcast(quotations))
 
 
 def gathered(windows: DataFrame, key: list[str], place: str, text: str, label_chars: int) -> DataFrame:
@@ -101,14 +101,21 @@ def selected_context(chunks: str, n_keywords: Column, other: Column, hard: int,
     return F.struct(mode.alias("mode"), F.when(mode.isin("whole", "no_keywords"), cut(hard)).when(mode == "no_hit", cut(relevant)).alias("first_chars"), kept.alias("kept"))
 
 
-def is_verbatim(quote: Column, corpus: Column) -> Column:
-    """Whether every segment of MIN_SEGMENT characters and over, at least one, occurs in the corpus."""
+def verbatim_parts(quote: Column) -> Column:
+    """The segments of MIN_SEGMENT characters and over that a quotation's gaps leave, in the form that they are compared in."""
     parts = F.transform(F.split(quote, _CUT), lambda s: verbatim_text(F.regexp_replace(s, r"^\s*\[[^\]]+\]\s*", "")))
-    parts = F.filter(parts, lambda s: F.length(s) >= MIN_SEGMENT)
-    whole = verbatim_text(corpus)
+    return F.filter(parts, lambda s: F.length(s) >= MIN_SEGMENT)
+
+
+def holds_all(parts: Column, whole: Column) -> Column:
     return (F.size(parts) > 0) & F.forall(parts, lambda s: F.contains(whole, s))
 
 
+def is_verbatim(quote: Column, corpus: Column) -> Column:
+    """Whether every segment of MIN_SEGMENT characters and over, at least one, occurs in the corpus."""
+    return holds_all(verbatim_parts(quote), verbatim_text(corpus))
+
+
 def quote_probes(quote: Column) -> Column:
     """What is looked for of every part of a quotation: array<struct<full, short, words>>. It depends on no document."""
     q = F.trim(F.coalesce(quote, F.lit("")))

@@ -340,12 +340,18 @@ def quote_verify(spark, sf_dir):
     return own.select("quote_id", "named", status[0]).unionByName(others.select("quote_id", "named", status[1]))
 
 
-@query(rf"""WITH {fx.QUOTATIONS}, q AS (SELECT quote_id, trim(lower(regexp_replace(quote, '\s+', ' ', 'g'))) AS q, trim(lower(regexp_replace(d.text, '\s+', ' ', 'g'))) AS low FROM quotations n JOIN texts d ON d.doc_id = n.named)
-SELECT quote_id, length(q) >= 12 AND contains(low, q) AS verbatim FROM q WHERE NOT regexp_matches(q, '…|\.\.\.|^\[')""")
+@query(rf"""WITH {fx.EVERYWHERE}, low AS MATERIALIZED (SELECT doc_id, trim(lower(regexp_replace(text, '\s+', ' ', 'g'))) AS low FROM texts),
+q AS (SELECT quote_id, named, list_filter(list_transform(string_split_regex(quote, '\s*(?:…|\.{{3,}})\s*'), lambda x: trim(lower(regexp_replace(regexp_replace(x, '^\s*\[[^\]]+\]\s*', ''), '\s+', ' ', 'g')))), lambda x: length(x) >= 12) AS parts, low
+  FROM everywhere n LEFT JOIN low d ON d.doc_id = n.named)
+SELECT quote_id, named, coalesce(len(parts), 0) > 0 AND low IS NOT NULL AND len(list_filter(parts, lambda x: NOT contains(low, x))) = 0 AS verbatim FROM q""")
 def quote_verbatim(spark, sf_dir):
-    rows = evidence.named_documents(fx.quotations(spark, sf_dir), fx.document_texts(spark, sf_dir)).filter("text is not null")
-    rows = rows.filter(~F.trim(F.col("quote")).rlike(r"…|\.\.\.|^\["))
-    return rows.select("quote_id", evidence.is_verbatim(F.col("quote"), F.col("text")).alias("verbatim"))
+    """Whether a quotation stands word for word in the document that it names; of every item, in all others too. Not, where there is no such document."""
+    texts = fx.document_texts(spark, sf_dir)
+    own = evidence.named_documents(fx.quotations(spark, sf_dir), texts)
+    items = fx.items_as_quotations(spark, sf_dir).withColumn("parts", evidence.verbatim_parts(F.col("quote")))
+    others = evidence.every_document(items, texts).filter("named <> number")
+    found = [F.coalesce(c, F.lit(False)).alias("verbatim") for c in (evidence.is_verbatim(F.col("quote"), F.col("text")), evidence.holds_all(F.col("parts"), F.col("_whole")))]
+    return own.select("quote_id", "named", found[0]).unionByName(others.select("quote_id", "named", found[1]))
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in text.CLAIM_STOPWORDS) + "]"
