@@ -19,6 +19,21 @@ def keyword_scores(chunks: DataFrame, text: str = "window", keywords: str = "key
     return lowered.withColumn("score", F.size(F.filter(F.col(keywords), lambda k: F.contains("_low", k)))).filter("score > 0").drop("_low")
 
 
+def keyword_scores_of_all(chunks: DataFrame, items: DataFrame, key: str, text: str = "window", block: int = 256) -> DataFrame:
+    """Every chunk beside every item (key, keywords) of which it holds a keyword, with score, their number.
+
+    The items are dealt to blocks of about `block`; each different word of a block is looked for once a chunk.
+    """
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = items.groupBy(F.pmod(F.xxhash64(key), F.lit(-(-items.count() // block) or 1)).alias("_b"))
+    blocks = blocks.agg(F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("_words"), F.collect_list(F.struct(key, "keywords")).alias("_items")).drop("_b")
+    met = with_lowered(chunks.repartition(n), text).join(F.broadcast(blocks))
+    found = F.filter("_words", lambda w: F.contains("_low", w))
+    met = met.select(*chunks.columns, "_items", F.explode(F.array(found)).alias("_found"))
+    score = F.transform("_items", lambda i: F.struct(i[key].alias(key), F.size(F.array_intersect(i["keywords"], F.col("_found"))).alias("score")))
+    return met.select(*chunks.columns, F.explode(F.filter(score, lambda s: s["score"] > 0)).alias("_s")).select(*chunks.columns, "_s.*")
+
+
 def with_lowered(rows: DataFrame, text: str) -> DataFrame:
     """rows with _low, the text in lower case, made once a row however many words are looked for in it."""
     return rows.select("*", F.explode(F.array(F.lower(F.col(text)))).alias("_low"))

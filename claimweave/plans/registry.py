@@ -369,9 +369,18 @@ def claim_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.withColumn("case_no", F.floor(F.col("doc_id") / fx.DOCS_PER_CASE)).join(claims, "case_no")
 
 
-@query(f"WITH {SCORED_WINDOWS} SELECT doc_id, window_no, case_no, score FROM scored WHERE score > 0")
+@query(rf"""WITH {SCORED_WINDOWS},
+item_words AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9가-힣]{{2,}}|[ぁ-んァ-ヶー一-龯]{{2,}}'), lambda w: NOT list_contains({STOP}, w)) AS k FROM benchmark),
+item_first80 AS (SELECT item_id, coalesce(list_filter(k, lambda w, i: list_position(k, w) = i), [])[1:80] AS k FROM item_words),
+low AS MATERIALIZED (SELECT doc_id, window_no, lower(piece) AS low FROM windows WHERE piece <> ''),
+of_items AS (SELECT doc_id, window_no, -1 - item_id AS case_no, CAST(len(list_filter(k, lambda w: contains(low, w))) AS INTEGER) AS score FROM low, item_first80)
+SELECT doc_id, window_no, case_no, score FROM (SELECT doc_id, window_no, case_no, score FROM scored UNION ALL FROM of_items) WHERE score > 0""")
 def keyword_score(spark, sf_dir):
-    return evidence.keyword_scores(claim_windows(spark, sf_dir)).select("doc_id", "window_no", "case_no", "score")
+    """Every window against the claim of its document's case, and against every benchmark item; case_no is -1 - item_id there."""
+    own = evidence.keyword_scores(claim_windows(spark, sf_dir)).select("doc_id", "window_no", "case_no", "score")
+    items = fx.read(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("case_no"), text.claim_keywords("text").alias("keywords"))
+    cut = segments.fixed_windows(fx.read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "window_no", "window")
+    return own.unionByName(evidence.keyword_scores_of_all(cut, items, "case_no").drop("window"))
 
 
 #: Budgets of the context query: whole texts up to HARD characters, RELEVANT of longer ones, and of non-patent documents at most OTHER.
