@@ -4,7 +4,8 @@ Base patterns find e-mail addresses, IP addresses, card and phone numbers that p
 high recall propose further spans, which may overlap. A span's format and the characters around it are features
 of boosted trees, written as one column expression; a threshold for each kind, calibrated on documents held out
 of training for a precision, selects the spans that are added. The trees learn from the base spans: a candidate
-over one is an example, any other a counter-example, on a bounded sample of documents.
+over one is an example, any other a counter-example, in every document. Spans of equal features and outcome meet in
+one counted row before they reach the driver, which so learns from all of them.
 
 All patterns read a text once from left to right: runs are possessive and start only where a run starts, so that
 no text, however long, takes quadratic time. Places are code points, summed over the texts between the matches.
@@ -43,8 +44,8 @@ GENERATORS = {
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 CONTEXT = 24
-#: Different texts in the training sample, about, and the tasks that they are dealt to; spans of them, at most; precision of what is added; spans summed at a time.
-SAMPLE_DOCUMENTS, SAMPLE_TASKS, SAMPLE_SPANS, PRECISION, BLOCK = 20_000, 64, 50_000, 0.95, 128
+#: Precision of what is added; spans summed at a time.
+PRECISION, BLOCK = 0.95, 128
 SPAN = "struct<kind:int,start:int,end:int,hit:string,before:string,after:string>"
 
 
@@ -178,33 +179,34 @@ def _spans(docs: DataFrame, text: str) -> DataFrame:
     return held(df, _base=base, _more=more).drop("_t", *patterns)
 
 
-def train(docs: DataFrame, text: str = "text", most: int = SAMPLE_DOCUMENTS) -> Model:
-    """Trees and thresholds from a sample of about `most` different texts, chosen by their hashes: the same ones every time.
+def examples(docs: DataFrame, text: str = "text") -> DataFrame:
+    """x, y, apart, n: how many spans of all different texts have these features and outcome; apart is held out of training.
 
-    Copies of a text count once, however many there are. Spans beyond SAMPLE_SPANS are left out by a hash of their place.
+    Copies of a text count once, however many there are.
     """
-    n = docs.count()
-    span = 1 << 30
-    share = int(min(1.0, most / max(1, n)) * span)
-    sample = docs.select(F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("k")).filter(F.pmod(F.col("k"), F.lit(span)) < share)
-    sample = sample.groupBy("k").agg(F.min("t").alias("t")).repartition(SAMPLE_TASKS, "k")
-    one = _spans(sample, "t").select("k", "_base", F.posexplode("_more").alias("i", "s"))
-    over = F.exists("_base", lambda b: (b["kind"] == F.col("s")["kind"]) & (b["start"] < F.col("s")["end"]) & (b["end"] > F.col("s")["start"]))
-    rows = one.select(_features(F.col("s")).alias("x"), over.cast("int").alias("y"), (F.pmod(F.shiftright("k", 32), F.lit(3)) == 0).alias("apart"), F.xxhash64("k", "i").alias("h"))
-    rows = rows.orderBy("h").limit(SAMPLE_SPANS).drop("h")
-    rows = sorted((tuple(r["x"]), r["y"], r["apart"]) for r in rows.collect())  # at most SAMPLE_SPANS rows
+    own = docs.select(F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("k"))
+    over = lambda s: F.exists("_base", lambda b: (b["kind"] == s["kind"]) & (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    spans = F.transform("_more", lambda s: F.struct(_features(s).alias("x"), over(s).cast("int").alias("y")))
+    texts = _spans(own, "t").filter(F.size("_more") > 0).select("k", spans.alias("s")).groupBy("k").agg(F.min("s").alias("s"))
+    rows = texts.select((F.pmod(F.shiftright("k", 32), F.lit(3)) == 0).alias("apart"), F.explode("s").alias("s"))
+    return rows.groupBy(F.col("s.x").alias("x"), F.col("s.y").alias("y"), "apart").agg(F.count("*").alias("n"))
+
+
+def train(docs: DataFrame, text: str = "text") -> Model:
+    """Trees and thresholds from the spans of all different texts: the same ones every time."""
+    rows = sorted((tuple(r["x"]), r["y"], r["apart"], r["n"]) for r in examples(docs, text).collect())  # one row for each combination of features
     if not rows:
         return Model(None, (None,) * len(KINDS))
-    x = np.array([r[0] for r in rows], float)
+    x, n = np.array([r[0] for r in rows], float), np.array([r[3] for r in rows], float)
     y, apart = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], bool)
     if not 0 < y[~apart].sum() < (~apart).sum():
         return Model(None, (None,) * len(KINDS))
-    forest = trees.fit(x[~apart], y[~apart], trees=24, depth=3, rate=0.3)
+    forest = trees.fit(x[~apart], y[~apart], trees=24, depth=3, rate=0.3, times=n[~apart])
     raw = forest.raw(x)
     least = []
     for k in range(len(KINDS)):
         own = apart & (x[:, 0] == k)
-        at = trees.threshold_for(raw[own], y[own], PRECISION)
+        at = trees.threshold_for(raw[own], y[own], PRECISION, n[own])
         least.append(None if at == 2.0 else at)
     return Model(forest, tuple(least))
 

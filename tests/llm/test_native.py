@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from claimweave.llm import pii, quality_rules
+import numpy as np
+
+from claimweave.llm import pii, quality_rules, trees
 
 TEXTS = [
     None, "", " \n\t", "a b c a b c", "a b\n\na b\n a b", "x " * 7, "A B C " * 30, "### $$$ %%% " * 20, "a@b.c_d@e.f", "a@b.c..d@e.f x@y", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.0004",
@@ -124,3 +126,20 @@ def test_copies_do_not_fill_the_sample(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     a, b = pii.train(docs.repartition(3)), pii.train(docs.repartition(7))
     assert a.forest is not None and a.least == b.least and (a.forest.threshold == b.forest.threshold).all()
+
+
+def test_every_span_is_learned_from(spark):
+    rows = [(i, f"mail a{i}@b.co, not x{i}@y") for i in range(30_000)] + [(-1, "mail a1@b.co, not x1@y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.examples(docs).collect()
+    assert sum(r["n"] for r in got if r["y"]) == 30_000 and sum(r["n"] for r in got if not r["y"]) == 30_000
+    assert len(got) < 100 and {r["apart"] for r in got} == {True, False}
+
+
+def test_counted_rows_train_as_repeated_ones():
+    rng = np.random.default_rng(5)
+    x, y, n = rng.integers(0, 6, (80, 3)).astype(float), rng.integers(0, 2, 80).astype(float), rng.integers(1, 9, 80)
+    a, b = trees.fit(x, y, trees=5, times=n.astype(float)), trees.fit(np.repeat(x, n, 0), np.repeat(y, n), trees=5)
+    assert np.allclose(a.raw(x), b.raw(x))
+    raw = a.raw(x)
+    assert trees.threshold_for(raw, y, 0.6, n.astype(float)) == trees.threshold_for(np.repeat(raw, n), np.repeat(y, n), 0.6)
