@@ -13,7 +13,8 @@ No posting is expanded into all its pairs, however many copies it holds:
    d(z) to the pivot decide: the sets of y and z differ in |d(y)| + |d(z)| - 2 |d(y) & d(z)| shingles. If z is not
    linked to the pivot, a link of y and z asks that they share more than four ninths of d(y) at 80 %, the more, the
    farther z is. So differences are joined inverted too, by a prefix of the rarest shingles of each: y's prefix
-   shortens with the level of z's distance, and shingles that one member alone differs in are skipped. In a group of
+   shortens with the level of z's distance, and shingles that one member alone differs in are skipped. Where y and z
+   meet in a shingle of both prefixes, no more than what follows it in either can be shared. In a group of
    copies with edits of their own little but those is left of a prefix.
 3. The pairs so found are retained if their signatures collide MATCHES times, and confirmed on the full differences.
 
@@ -142,10 +143,12 @@ def _unlinked_pairs(apart: DataFrame, similarity: int) -> DataFrame:
     least = f"greatest(1, cast(floor({b} * pow(2, l / {STEPS}D)) as long) - 1)"
     fits = f"at <= far - greatest(1, cast(ceil((w + greatest(w, {b} * n_p + {least})) / {2 * a}D) as long))"
     levels = F.expr(f"filter(sequence(coalesce(level, 0), top), l -> {fits})")
-    near = ranked.select("pivot", "e", F.col("cid").alias("y"), F.col("w").alias("w_y"), F.explode(levels).alias("level"))
+    near = ranked.select("pivot", "e", F.col("cid").alias("y"), F.col("w").alias("w_y"), F.expr("far - at").alias("rest_y"), F.explode(levels).alias("level"))
     far = ranked.filter(f"level is not null and at <= far - greatest(1, cast(ceil((w + lowest) / {2 * a}D) as long))")
-    far = far.select("pivot", "e", "level", F.col("cid").alias("z"), F.col("w").alias("w_z"))
-    return near.join(far, ["pivot", "level", "e"]).filter("struct(w_y, y) < struct(w_z, z)").select("pivot", "y", "z").distinct()
+    far = far.select("pivot", "e", "level", F.col("cid").alias("z"), F.col("w").alias("w_z"), F.expr("far - at").alias("rest_z"))
+    # where y and z first meet, what is left of either holds all their overlap; so the w of both, not their bounds, decide how late that may be
+    both = near.join(far, ["pivot", "level", "e"]).filter("struct(w_y, y) < struct(w_z, z)")
+    return both.filter(f"{2 * a} * least(rest_y, rest_z) >= w_y + w_z").select("pivot", "y", "z").distinct()
 
 
 def _confirmed(pairs: DataFrame, apart: DataFrame, similarity: int) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,25 @@ def test_drifting_copies_around_the_threshold(spark, seed):
         expected = brute(docs, size)
         assert len({r[2] for r in expected}) > 20
         assert got == expected
+
+
+def test_pairs_that_meet_too_late_are_no_candidates(spark):
+    rng, a, b = random.Random(11), 180, 20
+    sets = {i: sorted(rng.sample(range(60), rng.choice([4, 12, 30, 45]))) for i in range(60)}
+    w = {i: a * len(s) - b * (len(s) + rng.randrange(200)) for i, s in sets.items()}
+    rows = [(0, i, s, len(s), w[i], 5) for i, s in sets.items()]
+    apart = spark.createDataFrame(rows, "pivot long, cid long, differ array<long>, far int, w long, n_p int")
+    got = {(r["y"], r["z"]) for r in near_dup._unlinked_pairs(apart, 80).collect()}
+    times = Counter(e for s in sets.values() for e in s)
+    ranked = {i: sorted(s, key=lambda e: (times[e], e)) for i, s in sets.items()}
+    links = set()
+    for y in sets:
+        for z in sets:
+            if (w[y], y) < (w[z], z) and w[z] > b * 5:
+                shared = set(sets[y]) & set(sets[z])
+                if shared and 2 * a * len(shared) >= w[y] + w[z]:
+                    links.add((y, z))
+                if (y, z) in got:
+                    first = min(shared, key=lambda e: (times[e], e))
+                    assert 2 * a * min(len(sets[i]) - ranked[i].index(first) for i in (y, z)) >= w[y] + w[z]
+    assert links and links <= got
