@@ -170,18 +170,21 @@ def gaps(rows: DataFrame) -> DataFrame:
 
 
 def _against(rows: DataFrame, weights: DataFrame | None, leads: DataFrame | None) -> DataFrame:
-    """The gaps of every document, or of those that leads names, as primary, met by every other document of the case."""
-    rows = weighted(rows, weights)
+    """The gaps of every document, or of those that leads names, as primary, met by every other document of the case.
+
+    Each row gets the gaps of its element, a few for each, from a window; rows are neither made nor dealt a second time.
+    """
     kind = F.when(F.col("gap_rank") < dims.COVER, "hard").when(F.col("gap_rank") == dims.SOFT, "soft")
-    first = rows.withColumn("gap", kind).filter("gap is not null").select(*CLAIM, "label", F.col("doc_idx").alias("primary_idx"), "gap", F.col("item_sim").alias("primary_sim"))
-    if leads is not None:
-        first = first.join(leads.select(*CLAIM, "primary_idx"), [*CLAIM, "primary_idx"], "left_semi")
-    return rows.join(first, [*CLAIM, "label"]).filter("doc_idx <> primary_idx")
+    first = F.when(kind.isNotNull(), F.struct(F.col("doc_idx").alias("primary_idx"), kind.alias("gap"), F.col("item_sim").alias("primary_sim")))
+    met = weighted(rows, weights).withColumn("_open", F.collect_list(first).over(Window.partitionBy(*CLAIM, "label")))
+    met = met.select(*[c for c in met.columns if c != "_open"], F.inline("_open")).filter("doc_idx <> primary_idx")
+    return met if leads is None else met.join(leads.select(*CLAIM, "primary_idx"), [*CLAIM, "primary_idx"], "left_semi")
 
 
 def secondary_scores(rows: DataFrame, weights: DataFrame | None = None, leads: DataFrame | None = None) -> DataFrame:
     """What every document adds to every other as primary, or to those of leads (case_id, claim_number, primary_idx): gains, fills and the reason of a combination.
 
+    rows are dense: a pair meets at every label once.
     risky marks a document with an explicit risk at any target: it takes no part in a combination. The score falls only
     for risks at targets that it reaches.
     """
@@ -190,7 +193,7 @@ def secondary_scores(rows: DataFrame, weights: DataFrame | None = None, leads: D
     w = F.when(hard, F.col("weight")).otherwise(F.col("weight") * 0.65)
     gain = F.greatest(F.lit(0.0), F.col("item_sim") - F.col("primary_sim"))
     rank = F.col("gap_rank")
-    filled = F.when(hard & (rank >= dims.FILL) | ~hard & (rank >= dims.IMPROVE), F.col("label"))
+    filled = hard & (rank >= dims.FILL) | ~hard & (rank >= dims.IMPROVE)
     reached = dims.similarity() >= 0.35
     clusters = [*text.CLUSTERS, text.GENERIC]
     g = m.groupBy(*CLAIM, "primary_idx", "doc_idx").agg(
@@ -201,7 +204,7 @@ def secondary_scores(rows: DataFrame, weights: DataFrame | None = None, leads: D
         F.count_if(hard & (rank >= dims.FILL)).alias("hard_fill"),
         F.count_if(~hard & (rank >= dims.IMPROVE)).alias("soft_fill"),
         F.count_if((F.col("primary_sim") > 0.15) & (F.col("primary_sim") <= 0.55) & (F.col("item_sim") >= 0.85)).alias("specific_fill"),
-        F.count_distinct(filled).alias("filled_labels"),
+        F.count_if(filled).alias("filled_labels"),
         F.count("*").alias("targets"),
         F.count_if(reached).alias("reached"),
         F.sum(F.when(reached, w).otherwise(0.0)).alias("reached_w"),
