@@ -99,7 +99,7 @@ def _numbered(parts: Column) -> Column:
     def step(s: Column, part: Column) -> Column:
         text = F.regexp_replace(part, "[; ]+$", "")
         bare = (F.length(_strip(text, ";")) <= BARE_CHARS) & ~text.rlike(VERBAL)
-        of = F.get(F.filter(s["names"], lambda x: F.rlike(text, F.concat(F.lit(r"(?U)상기\s+"), x["name"]))), F.lit(0))["label"]
+        of = F.when(F.contains(text, F.lit("상기")), F.get(F.filter(s["names"], lambda x: F.rlike(text, F.concat(F.lit(r"(?U)상기\s+"), x["name"]))), F.lit(0))["label"])
         label = _letter(s["n"])
         plain = ~bare & of.isNull()
         one = F.when(bare, _element(F.lit("_"), text, F.lit(2))).when(of.isNotNull(), _element(F.concat(of, F.lit("-1")), text, F.lit(3), of)).otherwise(_element(label, text, _weight(text, s["n"])))

@@ -593,7 +593,8 @@ FROM lettered l JOIN claims c USING (case_id, claim_number)""")
 def claim_elements(spark, sf_dir):
     """Parents, labels, weights and sub-elements that made-up claim texts are parsed to."""
     rows = claim_text.with_elements(claim_text.with_parents(fx.claim_texts(spark, sf_dir)))
-    return rows.select("case_id", "claim_number", "claim_type", "parent_claim", "split_method", F.posexplode("elements").alias("pos", "e")).select("case_id", "claim_number", "claim_type", "parent_claim", "pos", "e.label", "e.importance", "e.parent_label", "split_method")
+    # outer, as else a filter on the elements is put below them, which parses each claim many times over
+    return rows.select("case_id", "claim_number", "claim_type", "parent_claim", "split_method", F.posexplode_outer("elements").alias("pos", "e")).select("case_id", "claim_number", "claim_type", "parent_claim", "pos", "e.label", "e.importance", "e.parent_label", "split_method")
 
 
 RISKS = """rk AS (SELECT case_id, claim_number, doc_idx, label, quote_len % 6 = 0 AS motivated, quote_len % 11 <= 1 AS risky FROM cells),

@@ -16,3 +16,9 @@ def exchanges(df) -> list[str]:
 def test_secondary_scores_deal_rows_once(spark, sf_dir, name):
     found = exchanges(registry.QUERIES[name](spark, sf_dir))
     assert len(found) == 3 and all(x.split(", ")[:-1] == ["case_id"] for x in found)
+
+
+def test_claims_are_parsed_once(spark, sf_dir):
+    plan = registry.QUERIES["claim_elements"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 20
+    assert not [x for x in plan.splitlines() if "Filter" in x and "elements" in x]
