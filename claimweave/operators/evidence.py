@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from claimweave.functions.text import document_ids, folded, urls, verbatim_text
+from claimweave.operators.word_search import SPACE, Words, answered
 
 MIN_QUOTE, MIN_SEGMENT, LONG_PROBE, SHORT_PROBE, WORD_SHARE = 15, 12, 70, 30, 0.60
+STATUSES = ("verified", "partial", "not_found", "empty", "short", "no_doc")
 #: Words in a row that a document and a quotation share before the quotation is looked for in it.
 RUN = 8
+#: A word as claim_keywords finds it, or a longer one that holds it.
+KEYWORD = "[a-z0-9가-힣]+|[ぁ-んァ-ヶー一-龯]+"
 _CUT = r"\s*(?:…|\.{3,})\s*"
 
 
@@ -20,18 +26,26 @@ def keyword_scores(chunks: DataFrame, text: str = "window", keywords: str = "key
 
 
 def keyword_scores_of_all(chunks: DataFrame, items: DataFrame, key: str, text: str = "window", block: int = 256) -> DataFrame:
-    """Every chunk beside every item (key, keywords) of which it holds a keyword, with score, their number.
+    """Every chunk (without its text) beside every item (key, keywords) of which it holds a keyword, with score, their number.
 
-    The items are dealt to blocks of about `block`; each different word of a block is looked for once a chunk.
+    The items are dealt to blocks of about `block`; tokens of the chunks are searched for each different word of a block.
     """
-    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = items.groupBy(F.pmod(F.xxhash64(key), F.lit(-(-items.count() // block) or 1)).alias("_b"))
-    blocks = blocks.agg(F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("_words"), F.collect_list(F.struct(key, "keywords")).alias("_items")).drop("_b")
-    met = with_lowered(chunks.repartition(n), text).join(F.broadcast(blocks))
-    found = F.filter("_words", lambda w: F.contains("_low", w))
-    met = met.select(*chunks.columns, "_items", F.explode(F.array(found)).alias("_found"))
-    score = F.transform("_items", lambda i: F.struct(i[key].alias(key), F.size(F.array_intersect(i["keywords"], F.col("_found"))).alias("score")))
-    return met.select(*chunks.columns, F.explode(F.filter(score, lambda s: s["score"] > 0)).alias("_s")).select(*chunks.columns, "_s.*")
+
+    def answers(held: list[dict]):
+        words = Words([list({w for w in i["keywords"] or [] if w is not None}) for i in held], KEYWORD)
+
+        def scores(texts: list[str]) -> np.ndarray:
+            found = np.stack([words.counts(t) for t in texts])
+            return np.where(found > 0, found, -1)
+
+        return scores
+
+    lowered = chunks.withColumn(text, F.lower(F.col(text))).filter(F.col(text).isNotNull())
+    return answered(lowered, text, items.select(key, "keywords"), key, block, answers, _schema(chunks.drop(text), items.select(key), "score"))
+
+
+def _schema(texts: DataFrame, items: DataFrame, answer: str) -> StructType:
+    return StructType([*texts.schema.fields, *items.schema.fields, StructField(answer, IntegerType())])
 
 
 def with_lowered(rows: DataFrame, text: str) -> DataFrame:
@@ -159,6 +173,44 @@ def quote_status(quote: Column, corpus: Column, lowered: Column | None = None, p
     return F.when(q == "", "empty").when(F.length(q) < MIN_QUOTE, "short").when(corpus.isNull(), "no_doc").otherwise(status)
 
 
+def quote_status_everywhere(quotations: DataFrame, documents: DataFrame, block: int = 256) -> DataFrame:
+    """quotations (quote_id, quote), which name no document, beside every document with an id (named), with status as quote_status has it."""
+    q = F.trim(F.coalesce("quote", F.lit("")))
+    texts = documents.filter("doc_id is not null").groupBy(F.col("doc_id").alias("named")).agg(F.lower(F.first("text", ignorenulls=True)).alias("_low"))
+    fixed = F.when(q == "", STATUSES.index("empty")).when(F.length(q) < MIN_QUOTE, STATUSES.index("short"))
+    items = quotations.withColumns({"_fixed": fixed, "_probes": quote_probes(F.col("quote"))})
+
+    def answers(held: list[dict]):
+        probes = [(p["full"], p["short"], len(p["words"])) for i in held for p in i["_probes"]]
+        words = Words([p["words"] for i in held for p in i["_probes"]], f"[^{SPACE}]+")
+        sizes = np.array([len(i["_probes"]) for i in held])
+        begin, total = np.cumsum(sizes) - sizes, np.array([p[2] for p in probes])
+        given = np.array([-1 if i["_fixed"] is None else i["_fixed"] for i in held])
+        verified, partial, missing, none = (STATUSES.index(s) for s in ("verified", "partial", "not_found", "no_doc"))
+
+        def marks(low: str) -> np.ndarray:
+            n = words.counts(low)
+            out = ((total > 0) & (n / np.maximum(total, 1) >= WORD_SHARE)).astype(int)
+            for i in np.flatnonzero(out == 0):
+                out[i] = probes[i][1] in low
+            for i in np.flatnonzero(n == total):  # a text that holds the probe holds its words
+                if probes[i][0] in low:
+                    out[i] = 2
+            return out
+
+        def status(low: str | None) -> np.ndarray:
+            if low is None:
+                return np.where(given >= 0, given, none)
+            m = marks(low)
+            least, most = np.minimum.reduceat(m, begin), np.maximum.reduceat(m, begin)
+            return np.where(given >= 0, given, np.where(least == 2, verified, np.where(most > 0, partial, missing)))
+
+        return lambda texts: np.stack([status(t) for t in texts])
+
+    found = answered(texts, "_low", items, "quote_id", block, answers, _schema(texts.drop("_low"), quotations, "_s"))
+    return found.select("named", *quotations.columns, F.element_at(F.array(*map(F.lit, STATUSES)), F.col("_s") + 1).alias("status"))
+
+
 def search_stats(results: DataFrame, key: str, text: str) -> DataFrame:
     """Distinct URLs and document identifiers over each key's texts, and whether the search should be widened."""
     each = results.select(key, urls(text).alias("u"), document_ids(text).alias("i"))

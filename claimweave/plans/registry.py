@@ -380,7 +380,7 @@ def keyword_score(spark, sf_dir):
     own = evidence.keyword_scores(claim_windows(spark, sf_dir)).select("doc_id", "window_no", "case_no", "score")
     items = fx.read(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("case_no"), text.claim_keywords("text").alias("keywords"))
     cut = segments.fixed_windows(fx.read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "window_no", "window")
-    return own.unionByName(evidence.keyword_scores_of_all(cut, items, "case_no").drop("window"))
+    return own.unionByName(evidence.keyword_scores_of_all(cut, items, "case_no"))
 
 
 #: Budgets of the context query: whole texts up to HARD characters, RELEVANT of longer ones, and of non-patent documents at most OTHER.
