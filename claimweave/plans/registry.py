@@ -334,10 +334,9 @@ def quote_verify(spark, sf_dir):
     """Every quotation in the document that it names, and every item in all others too."""
     texts = fx.document_texts(spark, sf_dir)
     own = evidence.with_lowered(evidence.named_documents(fx.quotations(spark, sf_dir), texts), "text")
-    items = fx.items_as_quotations(spark, sf_dir).withColumn("probes", evidence.quote_probes(F.col("quote")))
-    others = evidence.every_document(items, texts).filter("named <> number")
-    status = [evidence.quote_status(F.col("quote"), F.col("text"), F.col("_low"), *more).alias("status") for more in ((), (F.col("probes"), F.col("_words")))]
-    return own.select("quote_id", "named", status[0]).unionByName(others.select("quote_id", "named", status[1]))
+    others = evidence.quote_status_everywhere(fx.items_as_quotations(spark, sf_dir), texts).filter("named <> number")
+    status = evidence.quote_status(F.col("quote"), F.col("text"), F.col("_low")).alias("status")
+    return own.select("quote_id", "named", status).unionByName(others.select("quote_id", "named", "status"))
 
 
 @query(rf"""WITH {fx.EVERYWHERE}, low AS MATERIALIZED (SELECT doc_id, trim(lower(regexp_replace(text, '\s+', ' ', 'g'))) AS low FROM texts),
