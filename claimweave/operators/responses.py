@@ -291,8 +291,9 @@ def normalized(responses: DataFrame, elements: DataFrame, documents: DataFrame,
     reject where it has no item and nothing too deep (no_payload).
     """
     found = stored(payloads(responses.select("response_id", "text")))
-    rows = faithful(validated(expanded(found), elements, documents), corpora, chunks)
-    whole = found.join(rows.select("response_id").distinct().withColumn("_any", F.lit(True)), "response_id", "left")
+    items = stored(expanded(found))  # else the checks are planned, compiled and kept by the driver once for each level
+    rows = faithful(validated(items, elements, documents), corpora, chunks)
+    whole = found.join(items.select("response_id").distinct().withColumn("_any", F.lit(True)), "response_id", "left")
     reject = F.when(F.col("refused") > 0, "too_deep").when(F.col("_any").isNull(), "no_payload")
     return rows.unionByName(whole.select("response_id", reject.alias("reject")).filter("reject is not null"), allowMissingColumns=True)
 

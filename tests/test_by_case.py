@@ -22,3 +22,8 @@ def test_claims_are_parsed_once(spark, sf_dir):
     plan = registry.QUERIES["claim_elements"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") <= 20
     assert not [x for x in plan.splitlines() if "Filter" in x and "elements" in x]
+
+
+def test_responses_are_checked_once_for_all_levels(spark, sf_dir):
+    plan = registry.QUERIES["response_rows"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1  # of the items and the responses that have none
