@@ -86,6 +86,8 @@ def layout_titles(documents: DataFrame, spans: DataFrame, key: str = "doc_id") -
 def with_pages(paragraphs: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """paragraphs (key, paragraph_no, paragraph, ..) with page_no: the first page that holds their first 40 characters, else their marker; null if none.
 
+    A marker in brackets counts anywhere, a bare one of three signs and over only where no digit is beside it: 0003 is not within 10003.
+
     pages: key, page_no, page_text. A document's pages and paragraphs meet as two arrays in one row, as large as the
     document itself, so that no page is copied to every paragraph and no pairs are made.
     """
@@ -95,7 +97,7 @@ def with_pages(paragraphs: DataFrame, pages: DataFrame, key: str = "doc_id") ->
 
     def place(x: Column) -> Column:
         needle, no = F.substring(body(x), 1, NEEDLE), x["paragraph_no"]
-        marked = lambda g: F.contains(g["t"], F.concat(F.lit("["), no, F.lit("]"))) | F.contains(g["t"], F.concat(F.lit("【"), no, F.lit("】"))) | F.contains(g["t"], F.concat(F.lit("("), no, F.lit(")"))) | ((F.length(no) > 2) & F.contains(g["t"], no))
+        marked = lambda g: F.contains(g["t"], F.concat(F.lit("["), no, F.lit("]"))) | F.contains(g["t"], F.concat(F.lit("【"), no, F.lit("】"))) | F.contains(g["t"], F.concat(F.lit("("), no, F.lit(")"))) | ((F.length(no) > 2) & F.rlike(g["t"], F.concat(F.lit(r"(?<![0-9])\Q"), no, F.lit(r"\E(?![0-9])"))))
         held = F.get(F.filter("_pages", lambda g: (needle != "") & F.contains(g["t"], needle)), F.lit(0))["page_no"]
         return F.coalesce(held, F.get(F.filter("_pages", marked), F.lit(0))["page_no"])
 

@@ -126,3 +126,10 @@ def test_basis_names_missing_evidence(spark):
     inherited = spark.createDataFrame([(1, 2, 0), (1, 3, 0)], "case_id long, claim_number long, doc_idx long")
     got = {r["claim_number"]: (r["basis"], r["remaining_labels"]) for r in chains.dependent_basis(rows, inherited, chains.added_documents(rows, inherited)).collect()}
     assert got == {2: ("covered_by_inherited", ""), 3: ("evidence_missing", "C")}
+
+
+def test_a_marker_within_a_longer_number_is_no_place(spark):
+    paragraphs = spark.createDataFrame([(1, "0003", "third words"), (2, "0003", "third words"), (3, "0003", None)], "doc_id long, paragraph_no string, paragraph string")
+    pages = spark.createDataFrame([(1, 2, "[0001] first words of 10003 in"), (2, 1, "of 100031"), (2, 4, "see (0003)"), (3, 5, "0003, x")], "doc_id long, page_no int, page_text string")
+    got = {r["doc_id"]: r["page_no"] for r in layout.with_pages(paragraphs, pages).collect()}
+    assert got == {1: None, 2: 4, 3: 5}
